@@ -200,7 +200,7 @@ def _fits(spark, sf):
 def elasticity_fit(spark, sf):
     return _fits(spark, sf).select(
         "sku_id", "base_price", "base_demand", round_to(F.col("slope"), 6).alias("slope"),
-        round_to(F.col("intercept"), 6).alias("intercept"), "elasticity_r2", "elasticity_mae",
+        round_to(F.col("intercept"), 3).alias("intercept"), "elasticity_r2", "elasticity_mae",
         "elasticity_mape")
 
 
