@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,16 +49,18 @@ def pct_change(new: Column, old: Column) -> Column:
     return ratio(new - old, old) * F.lit(100.0)
 
 
-def price_grid(price: Column, steps: int, low: float, high: float) -> list[Column]:
-    """`steps` evenly spaced prices from low*price to high*price, as in-row columns.
+def price_grid(price: Column, steps: int, low: float, high: float) -> Column:
+    """Array of `steps` evenly spaced prices from low*price to high*price.
 
     The arithmetic order (index * step + start, exact end point) matters: a cut such as
     `candidate > competitor` must not flip on the last bit.
     """
     start, stop = price * F.lit(low), price * F.lit(high)
     step = (stop - start) / F.lit(float(steps - 1))
-    inner = [F.lit(float(k)) * step + start for k in range(steps - 1)]
-    return inner + [stop]
+    last = steps - 1
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(last)),
+        lambda k: F.when(k == last, stop).otherwise(k.cast("double") * step + start))
 
 
 def exact_total(c: Column) -> Column:
@@ -71,7 +71,3 @@ def exact_total(c: Column) -> Column:
     """
     micros = F.rint(c * F.lit(1e6)).cast("bigint").cast("decimal(19,0)")
     return (F.sum(micros).cast("double") / F.lit(1e6))
-
-
-def add_all(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

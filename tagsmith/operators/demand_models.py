@@ -1,7 +1,9 @@
-"""Demand models behind one method: `score(df, {out_column: features})`.
+"""Demand models behind two methods.
 
-`features` is the tuple (price, competitor_price, inventory_level, price_diff_pct) as columns.
-Several outputs are scored in one call, so a price sweep needs neither `explode` nor a shuffle.
+`score(df, out, features)` adds demand for one tuple of feature columns: price,
+competitor_price, inventory_level, price_diff_pct. `score_grid(df, grid, rest)` serves price
+sweeps: it returns the frame and a function `(price, index) -> demand` for the entries of the
+array column `grid`, so a sweep stays inside the row, without `explode` and without a shuffle.
 """
 
 from __future__ import annotations
@@ -9,17 +11,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Features = tuple[Column, Column, Column, Column]
+GridDemand = Callable[[Column, Column], Column]
 
 
-def _as_column(value: float | str | Column) -> Column:
-    if isinstance(value, Column):
-        return value
+def _as_column(value: float | str) -> Column:
     return F.col(value) if isinstance(value, str) else F.lit(float(value))
 
 
@@ -34,14 +36,22 @@ class LinearDemand:
     inventory: float | str = 0.0
     gap: float | str = 0.0
 
-    def demand(self, features: Features) -> Column:
-        price, competitor, inventory, gap = features
-        return (_as_column(self.intercept) + _as_column(self.price) * price
-                + _as_column(self.competitor) * competitor
-                + _as_column(self.inventory) * inventory + _as_column(self.gap) * gap)
+    def _offset(self, rest: tuple[Column, Column, Column]) -> Column:
+        total = _as_column(self.intercept)
+        for weight, feature in zip((self.competitor, self.inventory, self.gap), rest):
+            if weight != 0.0:
+                total = total + _as_column(weight) * feature
+        return total
 
-    def score(self, df: DataFrame, requests: dict[str, Features]) -> DataFrame:
-        return df.withColumns({out: self.demand(f) for out, f in requests.items()})
+    def score(self, df: DataFrame, out: str, features: Features) -> DataFrame:
+        price, *rest = features
+        return df.withColumn(out, self._offset(tuple(rest)) + _as_column(self.price) * price)
+
+    def score_grid(self, df: DataFrame, grid: str, steps: int,
+                   rest: tuple[Column, Column, Column]) -> tuple[DataFrame, GridDemand]:
+        """Everything but the price is the same along the grid and is added up once."""
+        rows = df.withColumn("_offset", self._offset(rest))
+        return rows, lambda price, index: F.col("_offset") + _as_column(self.price) * price
 
 
 class MLlibDemand:
@@ -50,40 +60,62 @@ class MLlibDemand:
     def __init__(self, model) -> None:
         self.model = model
 
-    def score(self, df: DataFrame, requests: dict[str, Features]) -> DataFrame:
-        for out, features in requests.items():
-            names = [f"{out}_f{i}" for i in range(len(features))]
-            filled = {n: F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in zip(names, features)}
-            known = f"{out}_known"
-            complete = F.lit(True)
-            for c in features:
-                complete = complete & c.isNotNull()
-            df = df.withColumns({**filled, known: complete})
-            df = VectorAssembler(inputCols=names, outputCol=f"{out}_vector").transform(df)
-            scorer = self.model.copy()
-            scorer.setFeaturesCol(f"{out}_vector").setPredictionCol(f"{out}_raw")
-            df = scorer.transform(df)
-            df = df.withColumn(out, F.when(F.col(known), F.col(f"{out}_raw")))
-            df = df.drop(*names, known, f"{out}_vector", f"{out}_raw")
-        return df
+    def score(self, df: DataFrame, out: str, features: Features) -> DataFrame:
+        kept = df.columns
+        names = [f"{out}_f{i}" for i in range(len(features))]
+        rows = df.withColumns({n: c.cast("double") for n, c in zip(names, features)})
+        rows = VectorAssembler(inputCols=names, outputCol=f"{out}_vector",
+                               handleInvalid="keep").transform(rows)
+        scorer = self.model.copy()
+        scorer.setFeaturesCol(f"{out}_vector").setPredictionCol(f"{out}_raw")
+        complete = F.lit(True)
+        for n in names:
+            complete = complete & F.col(n).isNotNull()
+        scored = scorer.transform(rows)
+        return scored.select(*kept, F.when(complete, F.col(f"{out}_raw")).alias(out))
+
+    def score_grid(self, df: DataFrame, grid: str, steps: int,
+                   rest: tuple[Column, Column, Column]) -> tuple[DataFrame, GridDemand]:
+        names = [f"_demand_{i}" for i in range(steps)]
+        for i, name in enumerate(names):
+            df = self.score(df, name, (F.col(grid)[i], *rest))
+        gathered = df.withColumn("_demands", F.array(*names)).drop(*names)
+        return gathered, lambda price, index: F.col("_demands")[index]
 
 
 class PandasDemand:
     """A foreign Python model with a vectorised predict over the four features (Arrow batches)."""
 
     def __init__(self, predict: Callable[[pd.DataFrame], "pd.Series"]) -> None:
+        def frame(price, competitor, inventory, gap) -> pd.DataFrame:
+            return pd.DataFrame({"price": price, "competitor_price": competitor,
+                                 "inventory_level": inventory, "price_diff_pct": gap})
+
         @F.pandas_udf("double")
-        def run(price: pd.Series, competitor: pd.Series, inventory: pd.Series,
+        def one(price: pd.Series, competitor: pd.Series, inventory: pd.Series,
                 gap: pd.Series) -> pd.Series:
-            frame = pd.DataFrame({
-                "price": price, "competitor_price": competitor, "inventory_level": inventory,
-                "price_diff_pct": gap})
-            return pd.Series(predict(frame), dtype="float64")
+            values = predict(frame(price, competitor, inventory, gap))
+            return pd.Series(np.asarray(values, dtype="float64"))
+
+        @F.pandas_udf("array<double>")
+        def many(grid: pd.Series, competitor: pd.Series, inventory: pd.Series,
+                 gap: pd.Series) -> pd.Series:
+            sizes = grid.map(len).to_numpy()
+            flat = np.concatenate(grid.to_numpy()) if len(grid) else np.empty(0)
+            values = predict(frame(flat, *(c.to_numpy().repeat(sizes)
+                                           for c in (competitor, inventory, gap))))
+            cuts = np.cumsum(sizes)[:-1]
+            return pd.Series(np.split(np.asarray(values, dtype="float64"), cuts))
+
+        self._one, self._many = one, many
 
-        self._run = run
+    def score(self, df: DataFrame, out: str, features: Features) -> DataFrame:
+        return df.withColumn(out, self._one(*features))
 
-    def score(self, df: DataFrame, requests: dict[str, Features]) -> DataFrame:
-        return df.withColumns({out: self._run(*f) for out, f in requests.items()})
+    def score_grid(self, df: DataFrame, grid: str, steps: int,
+                   rest: tuple[Column, Column, Column]) -> tuple[DataFrame, GridDemand]:
+        scored = df.withColumn("_demands", self._many(F.col(grid), *rest))
+        return scored, lambda price, index: F.col("_demands")[index]
 
 
 def model_features(price: Column | None = None, inventory: str = "total_inventory") -> Features:
@@ -97,5 +129,5 @@ def model_features(price: Column | None = None, inventory: str = "total_inventor
 
 def predict_demand(df: DataFrame, model, out: str = "predicted_demand") -> DataFrame:
     """Demand at the current price, never below zero."""
-    scored = model.score(df, {out: model_features()})
+    scored = model.score(df, out, model_features())
     return scored.withColumn(out, F.greatest(F.nanvl(out, F.lit(None).cast("double")), F.lit(0.0)))

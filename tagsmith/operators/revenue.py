@@ -104,8 +104,8 @@ def score_champion_challenger(df: DataFrame, champion=None, challenger=None) ->
     if champion is None or challenger is None:
         rows = df.withColumns({n: F.lit(None).cast("double") for n in names})
     else:
-        rows = champion.score(df, {names[0]: model_features()})
-        rows = challenger.score(rows, {names[1]: model_features()})
+        rows = champion.score(df, names[0], model_features())
+        rows = challenger.score(rows, names[1], model_features())
     return rows.withColumns({
         "champion_revenue": F.col("champion_demand") * F.col("current_price"),
         "challenger_revenue": F.col("challenger_demand") * F.col("current_price"),

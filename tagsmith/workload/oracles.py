@@ -22,11 +22,11 @@ def zero_pct(change: str, base: str) -> str:
 
 
 def champion(p: str, c: str, v: str, g: str) -> str:
-    return f"(1500.0 + -0.5 * {p} + 0.1 * {c} + 0.02 * {v} + -1.0 * {g})"
+    return f"(1500.0 + 0.1 * {c} + 0.02 * {v} + -1.0 * {g} + -0.5 * {p})"
 
 
 def challenger(p: str, c: str, v: str, g: str) -> str:
-    return f"(1400.0 + -0.4 * {p} + 0.05 * {c} + 0.01 * {v} + -2.0 * {g})"
+    return f"(1400.0 + 0.05 * {c} + 0.01 * {v} + -2.0 * {g} + -0.4 * {p})"
 
 
 SQUEEZE = r"[ \t\n\x0B\f\r]+"
@@ -220,8 +220,7 @@ PARTS["swept_service"] = sweep(
     _MODEL, "demand_qty", 0.05)
 PARTS["lined"] = """SELECT r.*, slope, intercept FROM ruled r
     LEFT JOIN fits f ON r.sku_id = f.sku_id"""
-PARTS["swept_lines"] = sweep("lined", "(intercept + slope * p + 0.0 * rival + 0.0 * stock"
-                             " + 0.0 * gap)", _BATCH_BASE, 0.05)
+PARTS["swept_lines"] = sweep("lined", "(intercept + slope * p)", _BATCH_BASE, 0.05)
 _FEATURES = ("current_price", "coalesce(competitor_price, current_price)", "total_inventory",
              "coalesce(price_diff_pct, 0.0)")
 PARTS["paired"] = f"""SELECT *, champion_demand * current_price AS champion_revenue,

@@ -206,17 +206,16 @@ def elasticity_fit(spark, sf):
 
 @query
 def elasticity_price(spark, sf):
-    return elasticity.optimal_price(r.master(spark, sf), _fits(spark, sf)).select(
+    return elasticity.optimal_price(
+        elasticity.with_fit(r.master(spark, sf), _fits(spark, sf))).select(
         "sku_id", "current_price", "elasticity_price")
 
 
 @query
 def price_sweep_linear(spark, sf):
     """Sweep on each SKU's own demand line."""
-    rows = batch_rules(r.master_with_sales(spark, sf))
-    lines = _fits(spark, sf).select("sku_id", "slope", "intercept")
-    model = LinearDemand("intercept", price="slope")
-    return sweep_prices(rows.join(lines, "sku_id", "left"), model).select(
+    rows = elasticity.with_own_fit(_ruled(spark, sf))
+    return sweep_prices(rows, LinearDemand("intercept", price="slope")).select(
         "sku_id", "current_price", "ai_optimal_price", "pricing_reason")
 
 
@@ -237,8 +236,7 @@ def ai_output_rejections(spark, sf):
 
 @query
 def hybrid_price(spark, sf):
-    rows = elasticity.with_fit_quality(r.master_with_sales(spark, sf), _fits(spark, sf))
-    swept = with_ai(batch_rules(rows), r.CHAMPION)
+    swept = with_ai(elasticity.with_own_fit(_ruled(spark, sf)), r.CHAMPION)
     return choose_price(swept, max_mape=2.9).select(
         "sku_id", "new_price", "ai_optimal_price", "elasticity_r2", "elasticity_mape",
         "final_price", "pricing_strategy")
