@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PARTS = 64
+MOST_RANGES = 256
 
 
-def running_total(df: DataFrame, key: str, values: list[str], parts: int = _PARTS) -> DataFrame:
+def _ranges(df: DataFrame) -> int:
+    return max(2, min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def running_total(df: DataFrame, key: str, values: list[str],
+                  parts: int | None = None) -> DataFrame:
     """Adds `<value>_before`: the sum of each value over all smaller keys.
 
     `key` must be numeric and unique per row (group first), which makes a frequent key one row.
-    Keys are cut into `parts` ranges at approximate quantiles, so the ranges hold about equally
-    many rows. A window runs inside each range, and the totals of the ranges, at most `parts`
-    rows, are added in front.
+    Keys are cut into `parts` ranges (by default one per shuffle partition, at most 256) at
+    approximate quantiles, so the ranges hold about equally many rows. A window runs inside each
+    range, and the totals of the ranges, at most `parts` rows, are added in front.
     """
+    parts = parts or _ranges(df)
     marks = [i / parts for i in range(1, parts)]
     cuts = df.agg(F.percentile_approx(key, marks, 10000).alias("cuts")).scalar()
     ranged = df.withColumn("cuts", cuts)

@@ -54,9 +54,10 @@ def confident(predictions: DataFrame,
 
 def gaps(silver: DataFrame, sku_attributes: DataFrame) -> DataFrame:
     """Queries whose intent no SKU offers: (sku, standard_attribute_key) pairs not in the
-    catalogue. `sku_attributes` may repeat pairs; an anti join does not fan out."""
-    return silver.join(sku_attributes, ["sku", "standard_attribute_key"], "left_anti").select(
-        *fv.GAP_COLUMNS)
+    catalogue. The catalogue is reduced to its distinct pairs before it is shuffled."""
+    keys = ["sku", "standard_attribute_key"]
+    offered = sku_attributes.select(*keys).distinct()
+    return silver.join(offered, keys, "left_anti").select(*fv.GAP_COLUMNS)
 
 
 def gap_counts(gap_rows: DataFrame) -> DataFrame:

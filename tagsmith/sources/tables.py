@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,9 +121,26 @@ def write_snapshot(df: DataFrame, path: str) -> int:
     return number
 
 
-def shared_folder(spark: SparkSession, default: str | None = None) -> str:
-    """The folder all executors share, as the cluster names it in `spark.checkpoint.dir`."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or default
-    if folder is None:
-        raise ValueError("spark.checkpoint.dir is not set and no folder was given")
-    return folder.rstrip("/")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in `spark.checkpoint.dir`.
+
+    Only a local session, where every task runs on this machine, may fall back to a new
+    temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tagsmith-")
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once to the shared folder and read back.
+
+    For frames that many jobs pass over, such as training rows: the plan behind them runs once,
+    and a lost executor costs a re-read of files instead of a re-run.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

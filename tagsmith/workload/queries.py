@@ -30,7 +30,7 @@ from tagsmith.plans.request_pricing import price_requests
 from tagsmith.plans.training import TrainingSpec, train
 from tagsmith.sources import feeds
 from tagsmith.sources.columns import sanitize_names
-from tagsmith.sources.tables import shared_folder
+from tagsmith.sources.tables import materialized, shared_folder
 from tagsmith.streaming.web_events import start_event_counts, total_event_counts
 from tagsmith.workload import roles as r
 
@@ -443,7 +443,7 @@ def stream_ga4_counts(spark, sf):
     """All events through the stream in available-now mode, then the totals."""
     schema = r.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    base = f"{shared_folder(spark, '/tmp/tagsmith')}/event_counts_{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/event_counts_{uuid.uuid4().hex}"
     run = start_event_counts(r.shape_events(stream), f"{base}/deltas", f"{base}/checkpoint")
     run.awaitTermination()
     return total_event_counts(spark, f"{base}/deltas")
@@ -452,7 +452,7 @@ def stream_ga4_counts(spark, sf):
 # --- model training ---------------------------------------------------------------------------
 def _train(spark, sf, name, params=None):
     spec = TrainingSpec(model_name=name, params=params or {})
-    return train(_golden_raw(spark, sf), spec)
+    return train(materialized(_golden_raw(spark, sf), "golden"), spec)
 
 
 @query
@@ -472,7 +472,8 @@ def train_gbt(spark, sf):
 
 def _frame(spark, sf):
     raw = _golden_raw(spark, sf)
-    return training.training_frame(quality.clean_golden(raw, raw.columns), keep=("sku_id",))
+    rows = training.training_frame(quality.clean_golden(raw, raw.columns), keep=("sku_id",))
+    return materialized(rows, "training_rows")
 
 
 def _trial_table(spark, sf, trials):
@@ -513,7 +514,7 @@ def sweep_mllib(spark, sf):
 
 @query
 def intent_classifier(spark, sf):
-    queries = textgap.clean_queries(r.search_queries(spark, sf))
+    queries = materialized(textgap.clean_queries(r.search_queries(spark, sf)), "queries")
     model = textgap.train_intents(queries, max_iter=5)
     return textgap.confident(textgap.predict_intents(model, queries)).select(
         "user_pseudo_id", "standard_attribute_key",
