@@ -140,7 +140,7 @@ def match_offers_to_skus(parsed: DataFrame, sku: DataFrame) -> DataFrame:
     split a hot name on either side (the outer form pins the side that holds the SKUs).
     """
     names = sku.select("sku_id", "display_name")
-    offers = parsed.withColumnRenamed("name", "display_name")
+    offers = parsed.drop("sku_id").withColumnRenamed("name", "display_name")
     matched = offers.join(names, "display_name", "inner")
     # Only the names are needed here, once each, so a hot name is a single row.
     known = names.select("display_name").distinct()

@@ -35,7 +35,8 @@ def total_event_counts(spark: SparkSession, folder: str) -> DataFrame:
 def windowed_event_counts(events: DataFrame, time_col: str, window: str = "1 hour",
                           lateness: str = "1 day") -> DataFrame:
     """Counts per SKU and event-time window; events later than `lateness` are left out."""
-    timed = events.withWatermark(time_col, lateness)
+    timed = events.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    timed = timed.withWatermark(time_col, lateness)
     items = event_items(timed, keep=[time_col])
     return items.groupBy(F.window(time_col, window), "sku_id").agg(
         F.count_if(F.col("event_name") == "view_item").alias("views"),

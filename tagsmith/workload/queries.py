@@ -441,8 +441,7 @@ def gap_counts(spark, sf):
 @query
 def stream_ga4_counts(spark, sf):
     """All events through the stream in available-now mode, then the totals."""
-    schema = r.table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = spark.readStream.schema(r.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
     base = f"{shared_folder(spark)}/event_counts_{uuid.uuid4().hex}"
     run = start_event_counts(r.shape_events(stream), f"{base}/deltas", f"{base}/checkpoint")
     run.awaitTermination()

@@ -20,8 +20,24 @@ CHAMPION = LinearDemand(1500.0, price=-0.5, competitor=0.1, inventory=0.02, gap=
 CHALLENGER = LinearDemand(1400.0, price=-0.4, competitor=0.05, inventory=0.01, gap=-2.0)
 
 
+# Declared, so that no job reads file footers just to find the columns.
+SCHEMAS = {
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
 def _text(c: str) -> Column:
@@ -87,44 +103,42 @@ def event_count_maps(spark, sf) -> DataFrame:
         F.create_map(F.get_json_object("props", "$.k"), counts).alias("counts"))
 
 
-def _summary(price_of) -> Column:
-    """Site-to-price map from ten fixed shop columns, shops in number order."""
-    shops = F.array(*[
-        F.struct(F.lit(f"site_{k}").alias("site"),
-                 F.struct(price_of(k).cast("string").alias("price")).alias("offer"))
-        for k in range(SITES)])
-    return F.map_from_entries(F.filter(shops, lambda s: s["offer"]["price"].isNotNull()))
+def _summary() -> Column:
+    """Site-to-price map from the ten shop columns s0 to s9, shops in number order."""
+    shops = ", ".join(
+        f"struct('site_{k}' AS site, struct(cast(s{k} AS string) AS price) AS offer)"
+        for k in range(SITES))
+    return F.expr(f"map_from_entries(filter(array({shops}), s -> s.offer.price IS NOT NULL))")
 
 
 def _shop_prices(spark, sf) -> DataFrame:
     """Best price of each shop per SKU. Grouping keeps ten numbers per SKU, however many offer
     lines it has."""
     lines = table(spark, sf, "lineitem").filter("l_linenumber = 1 and l_returnflag = 'N'")
-    factor = 78 + (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13) % 45
-    best = lines.groupBy("l_partkey").agg(*[
-        F.min(F.when(F.col("l_suppkey") % SITES == k, factor)).alias(f"f{k}")
-        for k in range(SITES)])
+    offers = lines.selectExpr(
+        "l_partkey", f"l_suppkey % {SITES} AS site",
+        "78 + (l_partkey * 7 + l_suppkey * 13) % 45 AS factor")
+    best = offers.groupBy("l_partkey").agg(*[
+        F.expr(f"min(factor) FILTER (WHERE site = {k}) AS f{k}") for k in range(SITES)])
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
-    joined = best.join(part, best["l_partkey"] == part["p_partkey"], "inner")
-    return joined.select(
-        _text("p_partkey").alias("sku_id"), F.col("p_name").alias("name"),
-        F.col("p_partkey").alias("feed_pos"),
-        *[(F.col("p_retailprice") * F.col(f"f{k}") / 100).alias(f"s{k}") for k in range(SITES)])
+    return best.join(part, best["l_partkey"] == part["p_partkey"], "inner").selectExpr(
+        "cast(p_partkey AS string) AS sku_id", "p_name AS name", "p_partkey AS feed_pos",
+        *[f"p_retailprice * f{k} / 100 AS s{k}" for k in range(SITES)])
 
 
 def competitor_feed(spark, sf) -> DataFrame:
     """One feed item per SKU, carrying our id."""
     shops = _shop_prices(spark, sf)
     return shops.select("sku_id", "name", "feed_pos",
-                        _summary(lambda k: F.col(f"s{k}")).alias("summary"))
+                        _summary().alias("summary"))
 
 
 def competitor_feed_by_name(spark, sf) -> DataFrame:
     """One feed item per product name, as shops list it."""
     named = _shop_prices(spark, sf).groupBy("name").agg(
         F.min("feed_pos").alias("feed_pos"),
-        *[F.min(f"s{k}").alias(f"s{k}") for k in range(SITES)])
-    return named.select("name", "feed_pos", _summary(lambda k: F.col(f"s{k}")).alias("summary"))
+        *[F.expr(f"min(s{k}) AS s{k}") for k in range(SITES)])
+    return named.select("name", "feed_pos", _summary().alias("summary"))
 
 
 def master(spark, sf, variant: str = "service") -> DataFrame:
