@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tagsmith.workload.queries import registered  # noqa: E402
 
 HEADLINE = [
-    "sku_sales_totals", "ga4_signal_counts", "inventory_totals", "demand_score",
+    "sku_sales", "ga4_signal_counts", "inventory_totals", "demand_score",
     "lowest_competitor", "competitor_map", "competitor_position", "master_dataset",
     "master_dataset_batch", "sku_dedup", "null_report", "golden_clean", "price_rules_batch",
     "price_rules_service", "elasticity_fit", "elasticity_price", "price_sweep_linear",

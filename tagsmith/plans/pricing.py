@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +32,17 @@ class Run:
 
 
 def new_run(model_version: str, now: datetime | None = None) -> Run:
+    """A batch run: local time, six upper-case hex digits."""
     stamp = (now or datetime.now()).strftime(fv.RUN_DATE_FORMAT)
     return Run(stamp, model_version, uuid.uuid4().hex[:6].upper())
 
 
+def new_request_run(model_version: str, now: datetime | None = None) -> Run:
+    """A request run: UTC time, eight hex digits."""
+    stamp = (now or datetime.now(timezone.utc)).strftime(fv.RUN_DATE_FORMAT)
+    return Run(stamp, model_version, uuid.uuid4().hex[:8])
+
+
 @dataclass(frozen=True)
 class PricingSettings:
     tolerance: float = fv.TOLERANCE

@@ -268,6 +268,64 @@ _RESULT = f"""
             AS price_change_pct FROM swept_service))"""
 
 
+def _least_squares(name: str, condition: str) -> None:
+    """Parts for an ordinary least-squares fit on the rows of `clean` that meet a condition.
+
+    Features are made orthogonal one after the other; <name>_coef is one row with the means, the
+    projections a.. and the weights g.. of the orthogonal features.
+    """
+    PARTS[f"{name}_c"] = f"""SELECT sku_id, price - avg(price) OVER () AS z1,
+        competitor_price - avg(competitor_price) OVER () AS x2,
+        inventory_level - avg(inventory_level) OVER () AS x3,
+        price_diff_pct - avg(price_diff_pct) OVER () AS x4, demand_qty AS y
+      FROM clean WHERE {condition}"""
+    PARTS[f"{name}_m"] = f"""SELECT avg(price) AS m1, avg(competitor_price) AS m2,
+        avg(inventory_level) AS m3, avg(price_diff_pct) AS m4, avg(demand_qty) AS my
+      FROM clean WHERE {condition}"""
+    PARTS[f"{name}_s1"] = f"""SELECT sum(x2 * z1) / sum(z1 * z1) AS a21,
+        sum(x3 * z1) / sum(z1 * z1) AS a31, sum(x4 * z1) / sum(z1 * z1) AS a41,
+        sum(y * z1) / sum(z1 * z1) AS g1 FROM {name}_c"""
+    PARTS[f"{name}_d"] = f"SELECT *, x2 - a21 * z1 AS z2 FROM {name}_c, {name}_s1"
+    PARTS[f"{name}_s2"] = f"""SELECT sum(x3 * z2) / sum(z2 * z2) AS a32,
+        sum(x4 * z2) / sum(z2 * z2) AS a42, sum(y * z2) / sum(z2 * z2) AS g2 FROM {name}_d"""
+    PARTS[f"{name}_e"] = f"SELECT *, x3 - a31 * z1 - a32 * z2 AS z3 FROM {name}_d, {name}_s2"
+    PARTS[f"{name}_s3"] = f"""SELECT sum(x4 * z3) / sum(z3 * z3) AS a43,
+        sum(y * z3) / sum(z3 * z3) AS g3 FROM {name}_e"""
+    PARTS[f"{name}_f"] = f"""SELECT *, x4 - a41 * z1 - a42 * z2 - a43 * z3 AS z4
+      FROM {name}_e, {name}_s3"""
+    PARTS[f"{name}_s4"] = f"SELECT sum(y * z4) / sum(z4 * z4) AS g4 FROM {name}_f"
+    PARTS[f"{name}_coef"] = f"""SELECT * FROM {name}_m, {name}_s1, {name}_s2, {name}_s3,
+        {name}_s4"""
+
+
+def _predicted(p: str, c: str, v: str, g: str) -> str:
+    z1 = f"({p} - m1)"
+    z2 = f"({c} - m2 - a21 * {z1})"
+    z3 = f"({v} - m3 - a31 * {z1} - a32 * {z2})"
+    z4 = f"({g} - m4 - a41 * {z1} - a42 * {z2} - a43 * {z3})"
+    return f"(my + g1 * {z1} + g2 * {z2} + g3 * {z3} + g4 * {z4})"
+
+
+_IN_TEST = "substr(md5('42:' || sku_id), 1, 8) < '33333333'"
+_least_squares("tr", f"NOT ({_IN_TEST})")
+_least_squares("al", "true")
+PARTS["pairs"] = f"""SELECT sku_id, demand_qty AS actual,
+    {_predicted('price', 'competitor_price', 'inventory_level', 'price_diff_pct')} AS predicted
+  FROM clean, tr_coef WHERE {_IN_TEST}"""
+PARTS["ruled_coef"] = "SELECT * FROM ruled, al_coef"
+PARTS["swept_ml"] = sweep("ruled_coef", _predicted("p", "rival", "stock", "gap"), _BATCH_BASE, 0.05)
+
+
+def _metrics(y: str, p: str, source: str) -> str:
+    return f"""
+      WITH m AS (SELECT {y} AS y, {p} AS p FROM {source}),
+      s AS (SELECT {rnd('1 - avg((y - p) * (y - p)) / var_pop(y)', 6)} AS r2,
+          {rnd('avg(abs(y - p))', 6)} AS mae, {rnd('avg(abs((y - p) / (y + 1))) * 100', 6)} AS mape,
+          {rnd('sqrt(avg((y - p) * (y - p)))', 6)} AS rmse,
+          {rnd('100 - avg(abs((y - p) / nullif(y, 0))) * 100', 6)} AS pseudo_accuracy FROM m)
+      SELECT *, r2 >= 0.70 AND mae <= 50 AS passes_gate FROM s"""
+
+
 def _compare(old: str, new: str, names: tuple[str, str, str, str], source: str) -> str:
     o, n, d, p = names
     return f"""SELECT {rnd('o')} AS {o}, {rnd('n')} AS {n}, {rnd('n - o')} AS {d},
@@ -294,7 +352,7 @@ _DASH = {
 }
 
 BODIES: dict[str, str] = {
-    "sku_sales_totals": "SELECT * FROM sales",
+    "sku_sales": "SELECT * FROM sales",
     "ga4_signal_counts": "SELECT * FROM counts",
     "ga4_preagg_counts": """SELECT regexp_extract(props, '"k": *([0-9]+)', 1) AS sku_id,
         count(*) FILTER (WHERE event_type = 'view') AS views,
@@ -434,13 +492,14 @@ BODIES: dict[str, str] = {
         CASE WHEN row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC)
           <= (SELECT count(*) // 6 FROM orders) THEN 'test' ELSE 'train' END AS part
       FROM orders""",
-    "regression_metrics": f"""
-      WITH m AS (SELECT demand_qty AS y, total_inventory * 0.4 + 500.0 AS p FROM sold),
-      s AS (SELECT {rnd('1 - avg((y - p) * (y - p)) / var_pop(y)', 6)} AS r2,
-          {rnd('avg(abs(y - p))', 6)} AS mae, {rnd('avg(abs((y - p) / (y + 1))) * 100', 6)} AS mape,
-          {rnd('sqrt(avg((y - p) * (y - p)))', 6)} AS rmse,
-          {rnd('100 - avg(abs((y - p) / nullif(y, 0))) * 100', 6)} AS pseudo_accuracy FROM m)
-      SELECT *, r2 >= 0.70 AND mae <= 50 AS passes_gate FROM s""",
+    "regression_metrics": _metrics("demand_qty", "total_inventory * 0.4 + 500.0", "sold"),
+    "train_linear": _metrics("actual", "predicted", "pairs"),
+    "actual_vs_predicted": f"SELECT sku_id, actual, {rnd('predicted', 4)} AS predicted FROM pairs",
+    "sweep_mllib": f"SELECT {_AI_COLUMNS} FROM swept_ml",
+    "elasticity_training_rows": """SELECT sku_id, current_price, demand_qty, competitor_price,
+        inventory_bucket FROM sold WHERE demand_qty > 0""",
+    "date_texts": """SELECT event_id, strftime(ts, '%Y-%m-%d_%H%M%S') AS run_date,
+        strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS response_time FROM events""",
     "classification_metrics": f"""
       WITH classes AS (SELECT DISTINCT actual AS label FROM judged
           UNION SELECT DISTINCT predicted FROM judged),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsmith.functions.numeric import finite_or_zero, parse_number, round_to
-from tagsmith.functions.text import clean_query
+from tagsmith.functions.text import clean_query, response_time_text, run_date_text
 from tagsmith.operators import (
     elasticity, evaluation, golden, quality, registry, requests, revenue, splits, textgap,
     training,
@@ -40,7 +40,8 @@ _REGISTERED: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    _REGISTERED[fn.__name__] = fn
+    """Register under the function's name; a trailing underscore avoids an imported name."""
+    _REGISTERED[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -50,7 +51,7 @@ def registered() -> dict[str, Query]:
 
 # --- feeds and aggregates -------------------------------------------------------------------
 @query
-def sku_sales_totals(spark, sf):
+def sku_sales_(spark, sf):
     return sku_sales(r.orders(spark, sf))
 
 
@@ -169,6 +170,13 @@ def numeric_coercion(spark, sf):
                        finite_or_zero(special).alias("cleaned"))
 
 
+@query
+def date_texts(spark, sf):
+    return r.table(spark, sf, "events").select(
+        "event_id", run_date_text(F.col("ts")).alias("run_date"),
+        response_time_text(F.col("ts")).alias("response_time"))
+
+
 @query
 def clean_requests(spark, sf):
     return quality.clean_request_ids(r.requests(spark, sf))
@@ -196,6 +204,11 @@ def _fits(spark, sf):
     return elasticity.fit(elasticity.base_point(rows))
 
 
+@query
+def elasticity_training_rows(spark, sf):
+    return elasticity.training_rows(r.master(spark, sf), r.orders(spark, sf))
+
+
 @query
 def elasticity_fit(spark, sf):
     return _fits(spark, sf).select(
@@ -459,6 +472,12 @@ def train_linear(spark, sf):
     return _train(spark, sf, "linear")["metrics"]
 
 
+@query
+def actual_vs_predicted(spark, sf):
+    scored = _train(spark, sf, "linear")["scored"]
+    return scored.withColumn("predicted", round_to(F.col("predicted"), 4))
+
+
 @query
 def train_rf(spark, sf):
     return _train(spark, sf, "rf", {"n_estimators": 50})["metrics"]
