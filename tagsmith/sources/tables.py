@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -91,14 +92,15 @@ def write_priced_csv(df: DataFrame, folder: str, mode: str, run_date: str, model
 
 # --- snapshot tables -----------------------------------------------------------------------
 def latest_snapshot(spark: SparkSession, path: str) -> int | None:
-    """Highest snapshot number, from partition names; None when there is no table yet."""
+    """Highest snapshot number, from the names of the table's files; None when there is no
+    table yet. No data is read."""
     try:
-        table = spark.read.parquet(path)
+        files = spark.read.parquet(path).inputFiles()
     except AnalysisException as error:
         if _absent(error) or error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return None
         raise
-    return table.agg(F.max("snapshot")).first()[0]
+    return max((int(n) for f in files for n in re.findall(r"/snapshot=(\d+)/", f)), default=None)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:

@@ -7,11 +7,13 @@ were not returned are competitor offers (the supplier number picks one of ten sh
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsmith.operators.demand_models import LinearDemand
-from tagsmith.operators.features import demand_features, event_counts, sku_sales
+from tagsmith.operators.features import event_counts, sku_sales
 from tagsmith.operators.master import build_master, typed_features
 from tagsmith.sources.feeds import order_lines, prices, sku_names, stock
 
@@ -36,6 +38,11 @@ SCHEMAS = {
 }
 
 
+# Roles are immutable lazy plans, so each is put together once per session and folder.
+once = lru_cache(maxsize=256)
+
+
+@once
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
@@ -44,24 +51,28 @@ def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
 
+@once
 def sku(spark, sf) -> DataFrame:
     part = table(spark, sf, "part")
     return sku_names(part.select(_text("p_partkey").alias("sku_id"),
                                  F.col("p_name").alias("display_name")))
 
 
+@once
 def price(spark, sf) -> DataFrame:
     part = table(spark, sf, "part")
     return prices(part.select(_text("p_partkey").alias("sku_id"),
                               F.col("p_retailprice").alias("list_price")))
 
 
+@once
 def orders(spark, sf) -> DataFrame:
     lines = table(spark, sf, "lineitem")
     return order_lines(lines.select(_text("l_partkey").alias("sku_id"),
                                     F.col("l_quantity").alias("quantity")))
 
 
+@once
 def inventory(spark, sf) -> DataFrame:
     lines = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_linestatus = 'O'")
     return stock(lines.select(_text("l_partkey").alias("catalog_ref_id"),
@@ -90,10 +101,12 @@ def shape_events(raw: DataFrame) -> DataFrame:
         "ts")
 
 
+@once
 def events(spark, sf) -> DataFrame:
     return shape_events(table(spark, sf, "events"))
 
 
+@once
 def event_count_maps(spark, sf) -> DataFrame:
     """The pre-aggregated form, one small map per event."""
     kind = _event_kind()
@@ -111,6 +124,7 @@ def _summary() -> Column:
     return F.expr(f"map_from_entries(filter(array({shops}), s -> s.offer.price IS NOT NULL))")
 
 
+@once
 def _shop_prices(spark, sf) -> DataFrame:
     """Best price of each shop per SKU. Grouping keeps ten numbers per SKU, however many offer
     lines it has."""
@@ -126,6 +140,7 @@ def _shop_prices(spark, sf) -> DataFrame:
         *[f"p_retailprice * f{k} / 100 AS s{k}" for k in range(SITES)])
 
 
+@once
 def competitor_feed(spark, sf) -> DataFrame:
     """One feed item per SKU, carrying our id."""
     shops = _shop_prices(spark, sf)
@@ -133,6 +148,7 @@ def competitor_feed(spark, sf) -> DataFrame:
                         _summary().alias("summary"))
 
 
+@once
 def competitor_feed_by_name(spark, sf) -> DataFrame:
     """One feed item per product name, as shops list it."""
     named = _shop_prices(spark, sf).groupBy("name").agg(
@@ -141,12 +157,14 @@ def competitor_feed_by_name(spark, sf) -> DataFrame:
     return named.select("name", "feed_pos", _summary().alias("summary"))
 
 
+@once
 def master(spark, sf, variant: str = "service") -> DataFrame:
     return build_master(price(spark, sf), sku(spark, sf), orders(spark, sf),
                         inventory(spark, sf), event_counts(events(spark, sf)),
                         competitor_feed(spark, sf), variant, match_on="sku_id")
 
 
+@once
 def master_with_sales(spark, sf) -> DataFrame:
     """Service master with the ordered quantity, zero where nothing was ordered."""
     sold = sku_sales(orders(spark, sf), "demand_qty")
@@ -157,6 +175,7 @@ def _prefixed(df: DataFrame) -> DataFrame:
     return df.withColumn("sku_id", F.concat(F.lit("p"), "sku_id"))
 
 
+@once
 def features(spark, sf) -> DataFrame:
     """Published feature rows with real demand and web counts; ids carry the prefix `p`."""
     sold = sku_sales(orders(spark, sf), "demand_qty")
@@ -167,6 +186,7 @@ def features(spark, sf) -> DataFrame:
     return _prefixed(typed_features(master(spark, sf), signals))
 
 
+@once
 def requests(spark, sf) -> DataFrame:
     """Requested ids as people type them: padded, upper case, blank, unknown, plain."""
     number, kind = _text("o_custkey"), F.substring("o_orderpriority", 1, 1)
@@ -179,6 +199,7 @@ def requests(spark, sf) -> DataFrame:
         .otherwise(F.concat(F.lit("p"), number)).alias("sku_id"))
 
 
+@once
 def registry(spark, sf) -> DataFrame:
     """A long version history: orders as registered versions, priorities as models."""
     return table(spark, sf, "orders").select(
@@ -193,6 +214,7 @@ def registry(spark, sf) -> DataFrame:
         F.when(F.col("o_orderkey") % 50 == 0, "Production").otherwise("None").alias("stage"))
 
 
+@once
 def search_queries(spark, sf) -> DataFrame:
     """Documents as search texts, their language as the attribute asked for."""
     return table(spark, sf, "documents").select(
@@ -200,13 +222,10 @@ def search_queries(spark, sf) -> DataFrame:
         F.col("source").alias("sku"), F.col("lang").alias("standard_attribute_key"))
 
 
+@once
 def sku_attributes(spark, sf) -> DataFrame:
     """Attributes the catalogue has: those of documents labelled as good."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
     good = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
     return docs.join(good, "doc_id", "left_semi").select(
         F.col("source").alias("sku"), F.col("lang").alias("standard_attribute_key"))
-
-
-def demand(spark, sf) -> DataFrame:
-    return demand_features(orders(spark, sf), event_counts(events(spark, sf)))
