@@ -170,9 +170,10 @@ def load_events(spark: SparkSession, path: str, multi_line: bool = True) -> Data
         raise
 
 
-def load_event_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Pre-aggregated form: one JSON object per file, `{sku: {view_item, add_to_cart}}`."""
-    text = spark.read.text(path, wholetext=True)
+def load_event_counts(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Pre-aggregated form `{sku: {view_item, add_to_cart}}`: one JSON object per file, or per
+    line with `whole_files=False`."""
+    text = spark.read.text(path, wholetext=whole_files)
     return text.select(F.from_json("value", EVENT_COUNTS_TYPE).alias("counts"))
 
 
@@ -200,7 +201,7 @@ def load_competitors(spark: SparkSession, path: str, multi_line: bool = True) ->
 
 
 def load_all(spark: SparkSession, folder: str, variant: str = "service",
-             table_suffix: str = ".csv") -> dict[str, DataFrame]:
+             table_suffix: str = ".csv", multi_line: bool = True) -> dict[str, DataFrame]:
     """All six feeds of a folder as lazy frames."""
     base = folder.rstrip("/")
     return {
@@ -208,6 +209,6 @@ def load_all(spark: SparkSession, folder: str, variant: str = "service",
         "price": load_prices(spark, f"{base}/price.csv", variant),
         "inventory": load_inventory(spark, f"{base}/inventory{table_suffix}", variant),
         "orders": load_orders(spark, f"{base}/purchased_order{table_suffix}", variant),
-        "events": load_events(spark, f"{base}/ga4_events.json"),
-        "competitors": load_competitors(spark, f"{base}/competitor_pricing.json"),
+        "events": load_events(spark, f"{base}/ga4_events.json", multi_line),
+        "competitors": load_competitors(spark, f"{base}/competitor_pricing.json", multi_line),
     }

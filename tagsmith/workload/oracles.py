@@ -168,6 +168,18 @@ PARTS: dict[str, str] = {
             AS feature_columns, o_orderdate AS created_at, o_orderkey % 3 = 0 AS is_active,
           CASE WHEN o_orderkey % 50 = 0 THEN 'Production' ELSE 'None' END AS stage
         FROM orders""",
+    "shops": """SELECT p_name, site_no, min(price) AS price
+        FROM offers JOIN part ON p = p_partkey GROUP BY 1, 2""",
+    "name_items": f"""SELECT p_name, min(price) AS competitor_price,
+          'site_' || arg_min(site_no, (price, site_no)) AS competitor_name,
+          {SITE_JSON} AS all_competitors_json FROM shops GROUP BY 1""",
+    "unmet": """SELECT CAST(doc_id AS VARCHAR) AS user_pseudo_id, text AS search_query,
+          source AS sku, lang AS standard_attribute_key,
+          n_chars / (n_chars + 1000.0) AS confidence_score, 'v1' AS model_version,
+          TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS event_timestamp
+        FROM documents d WHERE n_chars / (n_chars + 1000.0) >= 0.70
+          AND NOT EXISTS (SELECT 1 FROM documents g JOIN labels l ON g.doc_id = l.doc_id
+            WHERE l.quality = 1 AND g.source = d.source AND g.lang = d.lang)""",
     "judged": """SELECT quality AS actual, CAST(n_chars >= 1000 AS INTEGER) AS predicted,
           n_chars / (n_chars + 1000.0) AS score
         FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
@@ -363,18 +375,13 @@ BODIES: dict[str, str] = {
     "lowest_competitor": "SELECT * FROM cheapest",
     "competitor_map": "SELECT * FROM maps",
     "competitor_position": f"""
-      WITH shops AS (SELECT p_name, site_no, min(price) AS price
-          FROM offers JOIN part ON p = p_partkey GROUP BY 1, 2),
-      items AS (SELECT p_name, min(price) AS competitor_price,
-          'site_' || arg_min(site_no, (price, site_no)) AS competitor_name,
-          {SITE_JSON} AS all_competitors_json FROM shops GROUP BY 1)
       SELECT CAST(p_partkey AS VARCHAR) AS sku_id, competitor_price, competitor_name,
         CASE WHEN competitor_price < p_retailprice THEN 'COMPETITOR_CHEAPER'
           WHEN competitor_price > p_retailprice THEN 'WE_CHEAPER' ELSE 'SAME' END
           AS competitor_bucket,
         {rnd('(p_retailprice - competitor_price) / competitor_price * 100.0')} AS price_diff_pct,
         all_competitors_json
-      FROM items JOIN part USING (p_name)""",
+      FROM name_items JOIN part USING (p_name)""",
     "master_dataset": "SELECT * FROM master",
     "master_dataset_batch": """SELECT * FROM master QUALIFY row_number() OVER (
         PARTITION BY display_name, current_price ORDER BY sku_id) = 1""",
@@ -545,11 +552,45 @@ BODIES: dict[str, str] = {
         trim(regexp_replace(regexp_replace(' ' || replace({_WORDS}, ' ', '  ') || ' ',
           ' (personally|tbh|in  my  opinion) ', ' ', 'g'), '{SQUEEZE}', ' ', 'g'))
           AS search_query FROM documents""",
-    "gap_counts": """SELECT d.lang AS standard_attribute_key, count(*) AS gap_queries,
-        count(DISTINCT source) AS skus_affected
-      FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents g JOIN labels l
-        ON g.doc_id = l.doc_id WHERE l.quality = 1 AND g.source = d.source AND g.lang = d.lang)
-      GROUP BY 1""",
+    "gap_rows": "SELECT * FROM unmet",
+    "gap_counts": """SELECT standard_attribute_key, count(*) AS gap_queries,
+        count(DISTINCT sku) AS skus_affected FROM unmet GROUP BY 1""",
+    "sku_csv_feed": "SELECT * FROM sku",
+    "price_csv_feed": "SELECT sku_id, list_price, list_price AS current_price FROM price",
+    "price_csv_feed_batch": "SELECT * FROM price",
+    "orders_csv_feed": "SELECT * FROM sales",
+    "inventory_csv_feed": "SELECT * FROM inv",
+    "events_json_feed": "SELECT * FROM counts",
+    "competitor_json_feed": """SELECT p_name AS name, competitor_price, competitor_name
+        FROM name_items""",
+    "feeds_to_master": f"""SELECT m.sku_id, m.display_name, m.list_price, m.current_price,
+        m.total_inventory, m.inventory_bucket, m.demand_bucket, n.competitor_price,
+        n.competitor_name, CASE WHEN n.competitor_price IS NULL THEN 'NO_COMPETITOR'
+          WHEN n.competitor_price < list_price THEN 'COMPETITOR_CHEAPER'
+          WHEN n.competitor_price > list_price THEN 'WE_CHEAPER' ELSE 'SAME' END
+          AS competitor_bucket,
+        {rnd('(list_price - n.competitor_price) / n.competitor_price * 100.0')} AS price_diff_pct,
+        n.all_competitors_json
+      FROM master m LEFT JOIN name_items n ON m.display_name = n.p_name""",
+    "golden_table": "SELECT * FROM clean",
+    "golden_csv_fallback": "SELECT *, 'x' AS note FROM clean",
+    "file_as_table": """SELECT p_partkey AS part_key, p_name AS name_en, p_retailprice AS price_eur
+        FROM part""",
+    "priced_table": """SELECT s.sku_id,
+        CASE WHEN alert_flag THEN current_price ELSE new_price END AS final_price,
+        CASE WHEN alert_flag THEN 'Manual review (alert triggered)' ELSE 'Rule-based pricing' END
+          AS pricing_strategy, champion_revenue, challenger_revenue,
+        '2024-01-31_120000' AS run_date, 'v1.0' AS model_version, 'A1B2C3' AS run_id
+      FROM swept s JOIN (SELECT sku_id, champion_revenue, challenger_revenue FROM paired) p
+        ON s.sku_id = p.sku_id""",
+    "registry_table": """
+      SELECT * REPLACE (CASE WHEN model_name = '5-LOW' AND environment = 'O' THEN false
+          ELSE is_active END AS is_active) FROM versions
+      UNION ALL SELECT '5-LOW', 'v999999999', 'O', 'models/new', '[]',
+        (SELECT max(created_at) FROM versions), true, 'None'""",
+    "sanitized_master": """SELECT sku_id, list_price / nullif(total_inventory - 500.0, 0)
+          AS per_unit, CASE WHEN abs(price_diff_pct) > 5 THEN 0.0 ELSE price_diff_pct END AS gap
+        FROM master""",
     "stream_ga4_counts": "SELECT * FROM counts",
     "rule_outcomes": f"""SELECT decision_reason, count(*) AS skus,
         {rnd(total(_CUR))} AS current_revenue, {rnd(total(_NEW))} AS new_revenue
@@ -568,6 +609,10 @@ def _needed(sql: str, seen: list[str]) -> list[str]:
     return seen
 
 
+BODIES["feature_snapshot"] = BODIES["published_features"]
+BODIES["event_counts_json_feed"] = BODIES["ga4_preagg_counts"]
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for key, body in BODIES.items():

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsmith.functions.numeric import finite_or_zero, parse_number, round_to
@@ -32,23 +29,10 @@ from tagsmith.sources import feeds
 from tagsmith.sources.columns import sanitize_names
 from tagsmith.sources.tables import materialized, shared_folder
 from tagsmith.streaming.web_events import start_event_counts, total_event_counts
-from tagsmith.workload import roles as r
+from tagsmith.workload import roles as r, storage_queries  # noqa: F401  (registers its own)
+from tagsmith.workload.catalog import query, registered  # noqa: F401
 
 RUN = Run("2024-01-31_120000", "v1.0", "A1B2C3")
-Query = Callable[[SparkSession, str], DataFrame]
-_REGISTERED: dict[str, Query] = {}
-
-
-def query(fn: Query) -> Query:
-    """Register under the function's name; a trailing underscore avoids an imported name."""
-    _REGISTERED[fn.__name__.rstrip("_")] = fn
-    return fn
-
-
-def registered() -> dict[str, Query]:
-    return dict(_REGISTERED)
-
-
 # --- feeds and aggregates -------------------------------------------------------------------
 @query
 def sku_sales_(spark, sf):
@@ -441,13 +425,19 @@ def query_text_clean(spark, sf):
         "user_pseudo_id", clean_query(F.col("search_query")).alias("search_query"))
 
 
+def _gaps(spark, sf):
+    return textgap.gaps(textgap.confident(r.scored_queries(spark, sf)),
+                        r.sku_attributes(spark, sf))
+
+
+@query
+def gap_rows(spark, sf):
+    return _gaps(spark, sf)
+
+
 @query
 def gap_counts(spark, sf):
-    silver = r.search_queries(spark, sf).withColumns({
-        "confidence_score": F.lit(1.0), "model_version": F.lit("v1"),
-        "event_timestamp": F.lit("2024-01-01").cast("timestamp_ntz")})
-    confident = textgap.confident(silver)
-    return textgap.gap_counts(textgap.gaps(confident, r.sku_attributes(spark, sf)))
+    return textgap.gap_counts(_gaps(spark, sf))
 
 
 # --- stream --------------------------------------------------------------------------------------

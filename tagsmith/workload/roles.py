@@ -222,6 +222,18 @@ def search_queries(spark, sf) -> DataFrame:
         F.col("source").alias("sku"), F.col("lang").alias("standard_attribute_key"))
 
 
+@once
+def scored_queries(spark, sf) -> DataFrame:
+    """Classified queries; longer texts are the surer ones, doc ids give the minute."""
+    docs = table(spark, sf, "documents")
+    return docs.selectExpr(
+        "cast(doc_id AS string) AS user_pseudo_id", "text AS search_query", "source AS sku",
+        "lang AS standard_attribute_key", "n_chars / (n_chars + 1000.0D) AS confidence_score",
+        "'v1' AS model_version",
+        "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(doc_id AS int)) "
+        "AS event_timestamp")
+
+
 @once
 def sku_attributes(spark, sf) -> DataFrame:
     """Attributes the catalogue has: those of documents labelled as good."""
