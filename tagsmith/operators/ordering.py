@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_RANGES = 256
 
@@ -16,7 +17,8 @@ def running_total(df: DataFrame, key: str, values: list[str],
                   parts: int | None = None) -> DataFrame:
     """Adds `<value>_before`: the sum of each value over all smaller keys.
 
-    `key` must be numeric and unique per row (group first), which makes a frequent key one row.
+    `key` must be a number, date or timestamp and unique per row (group first), which makes a
+    frequent key one row.
     Keys are cut into `parts` ranges (by default one per shuffle partition, at most 256) at
     approximate quantiles, so the ranges hold about equally many rows. A window runs inside each
     range, and the totals of the ranges, at most `parts` rows, are added in front.
@@ -43,23 +45,38 @@ def running_total(df: DataFrame, key: str, values: list[str],
         *df.columns, *[before(v).alias(f"{v}_before") for v in values])
 
 
-def last_rows_cut(df: DataFrame, date_col: str, key_col: str, size: int):
-    """(date, key) of the first of the last `size` rows in (date, key) order.
+def _stored(c: Column, kind: T.DataType) -> Column:
+    """A value in a form the driver can hold exactly, whatever the session time zone."""
+    return F.unix_micros(c) if isinstance(kind, T.TimestampType) else c.cast("string")
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    return (F.timestamp_micros(F.lit(value)) if isinstance(kind, T.TimestampType)
+            else F.lit(value).cast(kind))
+
+
+def last_rows_cut(df: DataFrame, date_col: str, key_col: str, size: int) -> tuple[Column, Column]:
+    """(date, key) of the first of the last `size` rows in (date, key) order, as literals.
 
     Two small reads: the boundary date from per-date counts, then the boundary key among the
-    rows of that date. `key_col` must be numeric and unique within a date. The driver gets one
-    row each time.
+    rows of that date. `key_col` must be unique within a date; dates and keys are numbers, dates
+    or timestamps. The driver gets one row each time.
     """
-    by_date = (df.groupBy(F.unix_micros(F.col(date_col).cast("timestamp")).alias("at"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    total = by_date.agg(F.sum("n")).first()[0]
-    start = total - size  # rows in front of the cut
+    date_type, key_type = df.schema[date_col].dataType, df.schema[key_col].dataType
+    by_date = df.groupBy(F.col(date_col).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    counts = by_date.agg(F.sum("n").alias("rows"), F.count_if(F.col("at").isNull()).alias("open"))
+    rows, without_date = counts.first()
+    if without_date:
+        raise ValueError(f"{date_col} is missing in some rows; they have no place in time")
+    start = rows - size  # rows in front of the cut
     counted = running_total(by_date, "at", ["n"])
-    edge = (counted.filter((F.col("n_before") <= start)
-                           & (start < F.col("n_before") + F.col("n"))).first())
-    boundary = F.timestamp_micros(F.lit(edge["at"]))
-    ties = df.filter(F.col(date_col) == boundary.cast(df.schema[date_col].dataType))
-    numbered = running_total(ties.select(key_col, F.lit(1).cast("bigint").alias("n")),
-                             key_col, ["n"])
-    key = numbered.filter(F.col("n_before") == start - edge["n_before"]).first()[key_col]
-    return boundary.cast(df.schema[date_col].dataType), F.lit(key)
+    edge = counted.filter((F.col("n_before") <= start)
+                          & (start < F.col("n_before") + F.col("n"))).select(
+        _stored(F.col("at"), date_type).alias("at"), "n_before").first()
+    date = _literal(edge["at"], date_type)
+    ties = df.filter(F.col(date_col) == date).select(
+        key_col, F.lit(1).cast("bigint").alias("n"))
+    first_late = running_total(ties, key_col, ["n"]).filter(
+        F.col("n_before") == start - edge["n_before"])
+    key = first_late.select(_stored(F.col(key_col), key_type)).first()[0]
+    return date, _literal(key, key_type)

@@ -14,7 +14,8 @@ def in_test_part(key: Column, test_size: float = 0.2, seed: int = 42) -> Column:
     The first eight hex digits of a hash of seed and key are compared as text.
     """
     limit = format(int(test_size * 2**32), "08x")
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), text).cast("binary"))
     return F.substring(digest, 1, 8) < limit
 
 

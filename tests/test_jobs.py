@@ -162,6 +162,33 @@ def test_time_split_cuts_exactly(spark, hot):
     assert before.count() == 999 - 166
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "double"])
+def test_time_split_in_another_time_zone(spark, kind):
+    """The night clocks change: instants repeat or are missing in local time."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        base = 1730606400 if kind != "timestamp_ntz" else 1710050400
+        seconds = spark.range(0, 600).select("id", (F.lit(base) + F.col("id") * 60).alias("s"))
+        at = F.timestamp_seconds("s")
+        at = {"timestamp": at, "date": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 50).cast("int")),
+              "double": F.col("id") / 7.0, "timestamp_ntz": F.expr(
+                  "timestamp_ntz'2024-03-10 00:00:00' + make_interval(0,0,0,0,0,cast(id AS int),0)")
+              }[kind]
+        df = seconds.select("id", at.alias("at"))
+        before, after = time_split(df, "at", "id", n_splits=2)
+        assert sorted(x["id"] for x in after.collect()) == list(range(400, 600))
+        assert before.count() == 400
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_time_split_needs_dates(spark):
+    df = spark.createDataFrame([(1, None), (2, day(2))] * 5, "id bigint, at timestamp_ntz")
+    with pytest.raises(ValueError):
+        time_split(df, "at", "id", 1)
+
+
 def test_random_split_is_stable(spark):
     df = spark.range(20000)
     train_rows, test_rows = random_split(df, "id")
