@@ -17,7 +17,7 @@ from tagsmith.operators.revenue import (
 )
 from tagsmith.operators.rules import batch_rules
 from tagsmith.operators.sweep import ai_output
-from tagsmith.sources.tables import write_priced
+from tagsmith.sources.tables import read_priced, write_priced
 
 MODES = ("rule", "ai", "hybrid")
 
@@ -85,10 +85,8 @@ def run_pricing(master: DataFrame, mode: str, folder: str, model=None, champion=
     """
     this = run or new_run(model_version)
     priced = stamp(price(master, mode, model, settings), this)
-    write_priced(score_champion_challenger(priced, champion, challenger), folder, mode)
-    written = master.sparkSession.read.parquet(folder).filter(
-        (F.col("mode") == mode) & (F.col("run_id") == this.run_id))
-    # Columns of other modes in the same table come back empty; keep those of this run.
-    kept = written.select(*priced.columns, "champion_revenue", "challenger_revenue")
+    scored = score_champion_challenger(priced, champion, challenger)
+    write_priced(scored, folder, mode)
+    kept = read_priced(master.sparkSession, folder, scored.schema, mode, this.run_id)
     return {"run": this, "priced": kept, "dashboard": strategy_dashboard(kept),
             "champion_challenger": champion_challenger_summary(kept)}

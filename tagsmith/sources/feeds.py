@@ -181,23 +181,28 @@ def load_event_counts(spark: SparkSession, path: str, whole_files: bool = True)
 def competitor_items(raw: DataFrame) -> DataFrame:
     """One row per feed item from either the bare list or the `results` wrapper.
 
-    `feed_pos` keeps the order of the feed, which decides between items of the same name.
+    `feed_pos` keeps the order of the feed, which decides between items of the same name: file
+    and block (columns `file` and `block`), row in the block, position in the wrapper.
     """
     single = F.array(F.struct("name", "summary"))
     items = F.when(F.col("results").isNotNull(), F.col("results")).otherwise(single)
-    numbered = raw.select(F.monotonically_increasing_id().alias("row"), items.alias("items"))
-    exploded = numbered.select("row", F.posexplode("items").alias("pos", "item"))
-    return exploded.select(F.struct("row", "pos").alias("feed_pos"), "item.name", "item.summary")
+    numbered = raw.select("file", "block", F.monotonically_increasing_id().alias("row"),
+                          items.alias("items"))
+    exploded = numbered.select("file", "block", "row", F.posexplode("items").alias("pos", "item"))
+    return exploded.select(F.struct("file", "block", "row", "pos").alias("feed_pos"),
+                           "item.name", "item.summary")
 
 
 def load_competitors(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     try:
         raw = spark.read.schema(COMPETITOR_SCHEMA).json(path, multiLine=multi_line)
+        placed = raw.select("*", F.col("_metadata.file_path").alias("file"),
+                            F.col("_metadata.file_block_start").alias("block"))
     except AnalysisException as error:
         if not _is_absent(error):
             raise
-        raw = spark.createDataFrame([], COMPETITOR_SCHEMA)
-    return competitor_items(raw)
+        placed = spark.createDataFrame([], f"{COMPETITOR_SCHEMA}, file string, block bigint")
+    return competitor_items(placed)
 
 
 def load_all(spark: SparkSession, folder: str, variant: str = "service",

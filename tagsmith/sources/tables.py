@@ -72,9 +72,23 @@ def output_name(mode: str, run_date: str, model_version: str, run_id: str) -> st
 
 
 def write_priced(df: DataFrame, folder: str, mode: str) -> None:
-    """Append one run to the priced table, partitioned so later reads prune by run."""
-    (df.withColumn("mode", F.lit(mode)).write.mode("append")
-       .partitionBy("mode", "run_id").parquet(folder))
+    """Put one run into the priced table, partitioned so later reads prune by run.
+
+    Only the partitions of this run are replaced, so a repeated run does not double its rows.
+    """
+    (df.withColumn("mode", F.lit(mode)).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("mode", "run_id").parquet(folder))
+
+
+def read_priced(spark: SparkSession, folder: str, schema: T.StructType, mode: str,
+                run_id: str) -> DataFrame:
+    """One run of the priced table. The schema is given: run ids are text even when they look
+    like numbers, and runs of other modes may have other columns."""
+    full = schema if "mode" in schema.names else T.StructType(
+        [*schema.fields, T.StructField("mode", T.StringType())])
+    table = spark.read.schema(full).parquet(folder)
+    return table.filter((F.col("mode") == mode) & (F.col("run_id") == run_id)).select(
+        *schema.names)
 
 
 def write_priced_csv(df: DataFrame, folder: str, mode: str, run_date: str, model_version: str,
@@ -91,35 +105,52 @@ def write_priced_csv(df: DataFrame, folder: str, mode: str, run_date: str, model
 
 
 # --- snapshot tables -----------------------------------------------------------------------
+def _commits(path: str) -> str:
+    return f"{path.rstrip('/')}.commits"
+
+
 def latest_snapshot(spark: SparkSession, path: str) -> int | None:
-    """Highest snapshot number, from the names of the table's files; None when there is no
-    table yet. No data is read."""
+    """Number of the newest complete snapshot; None when there is no table yet."""
     try:
-        files = spark.read.parquet(path).inputFiles()
+        return spark.read.schema("snapshot int").parquet(_commits(path)).agg(
+            F.max("snapshot")).first()[0]
     except AnalysisException as error:
-        if _absent(error) or error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+        if _absent(error):
             return None
         raise
-    return max((int(n) for f in files for n in re.findall(r"/snapshot=(\d+)/", f)), default=None)
+
+
+def _next_snapshot(spark: SparkSession, path: str) -> int:
+    """One above every number in use, also those of writes that never finished."""
+    try:
+        files = spark.read.schema("snapshot int").parquet(path).inputFiles()
+    except AnalysisException as error:
+        if not _absent(error):
+            raise
+        files = []
+    used = [int(n) for f in files for n in re.findall(r"/snapshot=(\d+)/", f)]
+    return max([latest_snapshot(spark, path) or 0, *used]) + 1
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest snapshot (a partition filter, so older ones are not read)."""
+    """Rows of the newest complete snapshot (one folder; older ones are not read)."""
     newest = latest_snapshot(spark, path)
     if newest is None:
         raise ValueError(f"no table at {path}")
-    return spark.read.parquet(path).filter(F.col("snapshot") == newest).drop("snapshot")
+    return spark.read.parquet(f"{path.rstrip('/')}/snapshot={newest}")
 
 
 def write_snapshot(df: DataFrame, path: str) -> int:
-    """Write the frame as the next snapshot beside the old ones.
+    """Write the frame as the next snapshot beside the old ones, then record it as complete.
 
     A Parquet table cannot be overwritten by a plan that reads it, and readers must keep a
-    whole table while a new one is being written; a new partition gives both.
+    whole table while a new one is being written or after a write has failed.
     """
-    number = (latest_snapshot(df.sparkSession, path) or 0) + 1
-    (df.withColumn("snapshot", F.lit(number)).write.mode("append")
-       .partitionBy("snapshot").parquet(path))
+    spark = df.sparkSession
+    number = _next_snapshot(spark, path)
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/snapshot={number}")
+    spark.range(1).select(F.lit(number).alias("snapshot")).coalesce(1).write.mode(
+        "append").parquet(_commits(path))
     return number
 
 

@@ -4,7 +4,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tagsmith.operators.features import event_counts, event_counts_from_map, parse_offers
+from tagsmith.operators.features import (
+    event_counts, event_counts_from_map, one_item_per, parse_offers,
+)
 from tagsmith.operators.master import master_from_feeds
 from tagsmith.plans.pricing import Run, stamp
 from tagsmith.plans.request_pricing import publish_features, reload_features
@@ -113,6 +115,18 @@ def test_competitor_feed_forms(spark, tmp_path):
     assert feeds.load_competitors(spark, str(tmp_path / "absent.json")).count() == 0
 
 
+def test_feed_order_goes_over_files(spark, tmp_path):
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    for n, price in ((1, 5), (2, 6), (3, 7)):  # the larger file would be read first
+        put(folder / f"part{n}.json", json.dumps({"name": "mug", "summary": {
+            "s": {"price": price}}, "pad": "x" * 1000 * n}))
+    items = feeds.load_competitors(spark, str(folder), multi_line=False)
+    last = parse_offers(one_item_per(items, "name", "last")).first()
+    first = parse_offers(one_item_per(items, "name", "first")).first()
+    assert (first["competitor_price"], last["competitor_price"]) == (5.0, 7.0)
+
+
 def test_whole_folder_to_published_features(spark, tmp_path):
     folder = tmp_path / "data"
     folder.mkdir()
@@ -181,6 +195,12 @@ def test_priced_output(spark, tmp_path):
     tables.write_priced(stamp(df, Run("x", "v1", "OTHER1")), folder, "ai")
     back = spark.read.parquet(folder)
     assert back.count() == 2 and back.filter("mode = 'rule'").first()["run_id"] == "ABCDEF"
+    for run_id in ("004512", "12E456"):  # text, although it looks like a number
+        again = stamp(df, Run("x", "v1", run_id))
+        tables.write_priced(again, folder, "rule")
+        tables.write_priced(again, folder, "rule")
+        got = tables.read_priced(spark, folder, again.schema, "rule", run_id).collect()
+        assert [x["run_id"] for x in got] == [run_id]
     target = tables.write_priced_csv(stamped, folder + "_csv", "rule", run.run_date,
                                      run.model_version, run.run_id)
     assert target.endswith("rule_pricing_output_2024-01-01_000000_v1_ABCDEF.csv")
@@ -196,6 +216,11 @@ def test_snapshots_keep_the_table_readable(spark, tmp_path):
     grown = tables.read_snapshot(spark, path).unionByName(spark.range(3, 5).toDF("id"))
     assert tables.write_snapshot(grown, path) == 2  # a table written from itself
     assert tables.read_snapshot(spark, path).count() == 5
+    # A write that stopped half-way is neither read nor written into.
+    spark.range(99).toDF("id").write.parquet(f"{path}/snapshot=3")
+    assert tables.read_snapshot(spark, path).count() == 5
+    assert tables.write_snapshot(spark.range(7).toDF("id"), path) == 4
+    assert tables.read_snapshot(spark, path).count() == 7
 
 
 def test_shared_folder_is_the_one_of_the_session(spark):
