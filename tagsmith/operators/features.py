@@ -20,7 +20,7 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     """The first row of each key. Spark trims every task to one row per key before the
     shuffle (window group limit), so hot keys stay small."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(window)).filter("rn = 1").drop("rn")
+    return df.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")
 
 
 # --- demand --------------------------------------------------------------------------------
@@ -80,14 +80,14 @@ def score_demand(signals: DataFrame) -> DataFrame:
     """
     names = ["total_sales", "add_to_cart", "views"]
     tops = signals.agg(F.struct(*[F.max(c).alias(c) for c in names]).alias("tops")).scalar()
-    scaled = signals.withColumn("tops", tops)
+    scaled = signals.withColumn("_tops", tops)
 
     def share(c: str) -> Column:
-        top = F.col("tops")[c]
+        top = F.col("_tops")[c]
         return F.when(top > 0, F.col(c) / top).otherwise(F.col(c))
 
     scored = scaled.withColumn("score", demand_score(*[share(c) for c in names]))
-    return scored.withColumn("demand_bucket", demand_label(F.col("score"))).drop("tops")
+    return scored.withColumn("demand_bucket", demand_label(F.col("score"))).drop("_tops")
 
 
 def demand_features(orders: DataFrame, counts: DataFrame) -> DataFrame:
@@ -155,7 +155,8 @@ def competitor_features(items: DataFrame, sku: DataFrame, price: DataFrame,
 
     `match_on="display_name"` follows the feed, which names products; `"sku_id"` is for feeds
     that carry our id. `keep` chooses what happens when the feed lists a product again: `all`
-    keeps every item, `first`/`last` keep one, before the join rather than after a fan-out.
+    keeps every item beside every SKU of the name, `first`/`last` keep one, before the join
+    rather than after a fan-out. The master table always keeps one.
     """
     key = "name" if match_on == "display_name" else "sku_id"
     chosen = items if keep == "all" else one_item_per(items, key, keep)

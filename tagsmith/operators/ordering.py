@@ -26,22 +26,22 @@ def running_total(df: DataFrame, key: str, values: list[str],
     parts = parts or _ranges(df)
     marks = [i / parts for i in range(1, parts)]
     cuts = df.agg(F.percentile_approx(key, marks, 10000).alias("cuts")).scalar()
-    ranged = df.withColumn("cuts", cuts)
+    ranged = df.withColumn("_cuts", cuts)
     ranged = ranged.withColumn(
-        "part", F.size(F.filter("cuts", lambda c: c < F.col(key)))).drop("cuts")
-    inside = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("part").agg(*[F.sum(v).alias(f"{v}_part") for v in values])
+        "_part", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
+    inside = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
     # At most `parts` rows, whatever the table size: collected into one row and looked up.
     history = totals.agg(F.collect_list(
-        F.struct("part", *[f"{v}_part" for v in values])).alias("history")).scalar()
+        F.struct("_part", *[f"_{v}" for v in values])).alias("history")).scalar()
 
     def before(v: str) -> Column:
-        earlier = F.filter("history", lambda t: t["part"] < F.col("part"))
+        earlier = F.filter("_history", lambda t: t["_part"] < F.col("_part"))
         front = F.aggregate(earlier, F.lit(0).cast(df.schema[v].dataType),
-                            lambda acc, t: acc + t[f"{v}_part"])
+                            lambda acc, t: acc + t[f"_{v}"])
         return F.coalesce(F.sum(v).over(inside), F.lit(0)) + front
 
-    return ranged.withColumn("history", history).select(
+    return ranged.withColumn("_history", history).select(
         *df.columns, *[before(v).alias(f"{v}_before") for v in values])
 
 
@@ -75,8 +75,8 @@ def last_rows_cut(df: DataFrame, date_col: str, key_col: str, size: int) -> tupl
         _stored(F.col("at"), date_type).alias("at"), "n_before").first()
     date = _literal(edge["at"], date_type)
     ties = df.filter(F.col(date_col) == date).select(
-        key_col, F.lit(1).cast("bigint").alias("n"))
-    first_late = running_total(ties, key_col, ["n"]).filter(
+        F.col(key_col).alias("key"), F.lit(1).cast("bigint").alias("n"))
+    first_late = running_total(ties, "key", ["n"]).filter(
         F.col("n_before") == start - edge["n_before"])
-    key = first_late.select(_stored(F.col(key_col), key_type)).first()[0]
+    key = first_late.select(_stored(F.col("key"), key_type)).first()[0]
     return date, _literal(key, key_type)

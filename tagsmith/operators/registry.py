@@ -77,9 +77,9 @@ def champion_challenger(registry: DataFrame) -> DataFrame:
     """Newest and second newest version of every (model, environment), active or not."""
     window = Window.partitionBy("model_name", "environment").orderBy(
         F.col("created_at").desc(), F.col("model_path").desc())
-    ranked = registry.withColumn("rank", F.row_number().over(window)).filter("rank <= 2")
-    return ranked.withColumn("role", F.when(F.col("rank") == 1, "champion")
-                             .otherwise("challenger")).drop("rank")
+    ranked = registry.withColumn("_rank", F.row_number().over(window)).filter("_rank <= 2")
+    return ranked.withColumn("role", F.when(F.col("_rank") == 1, "champion")
+                             .otherwise("challenger")).drop("_rank")
 
 
 def _version_number(c: Column) -> Column:

@@ -26,9 +26,9 @@ def find_requested(requests: DataFrame, features: DataFrame) -> DataFrame:
     asked = F.col("sku_id")
     spellings = F.array_distinct(F.array(asked, F.lower(asked)))
     candidates = requests.select(
-        asked.alias("requested_id"), "pos", F.posexplode(spellings).alias("choice", "sku_id"))
+        asked.alias("requested_id"), "pos", F.posexplode(spellings).alias("_choice", "sku_id"))
     found = candidates.join(features, "sku_id", "inner")
-    return first_per_key(found, ["requested_id"], [F.col("choice")]).drop("choice")
+    return first_per_key(found, ["requested_id"], [F.col("_choice")]).drop("_choice")
 
 
 def missing_requests(requests: DataFrame, features: DataFrame) -> DataFrame:

@@ -66,5 +66,5 @@ def service_rules(master: DataFrame, alert_gap: float = fv.SERVICE_ALERT_GAP) ->
 
 def _spread(master: DataFrame, choice: Column, names: list[str]) -> DataFrame:
     kept = [c for c in master.columns if c not in names]
-    return master.select(*kept, choice.alias("choice")).select(
-        *kept, *[F.col(f"choice.{n}").alias(n) for n in names])
+    return master.select(*kept, choice.alias("_choice")).select(
+        *kept, *[F.col(f"_choice.{n}").alias(n) for n in names])

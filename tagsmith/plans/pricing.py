@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagsmith.functions import fixed_values as fv
+from tagsmith.operators.elasticity import with_own_fit
 from tagsmith.operators.hybrid import choose_price
 from tagsmith.operators.quality import require_columns
 from tagsmith.operators.revenue import (
@@ -45,9 +46,13 @@ def new_request_run(model_version: str, now: datetime | None = None) -> Run:
 
 @dataclass(frozen=True)
 class PricingSettings:
+    """`fit_elasticity` gives hybrid pricing the fit quality of each SKU's own price line;
+    without it the frame must carry elasticity_r2 and elasticity_mape, or rules decide."""
+
     tolerance: float = fv.TOLERANCE
     min_r2: float = fv.HYBRID_MIN_R2
     max_mape: float = fv.HYBRID_MAX_MAPE
+    fit_elasticity: bool = False
     enabled: tuple[str, ...] = field(default=MODES)
 
 
@@ -65,7 +70,11 @@ def price(master: DataFrame, mode: str, model=None,
     if model is None:
         raise ValueError(f"mode {mode!r} needs a demand model")
     swept = ai_output(ruled, model, "batch", settings.tolerance)
-    return swept if mode == "ai" else choose_price(swept, settings.min_r2, settings.max_mape)
+    if mode == "ai":
+        return swept
+    if settings.fit_elasticity:
+        swept = with_own_fit(swept)
+    return choose_price(swept, settings.min_r2, settings.max_mape)
 
 
 def stamp(priced: DataFrame, run: Run) -> DataFrame:

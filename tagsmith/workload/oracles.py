@@ -441,11 +441,14 @@ BODIES: dict[str, str] = {
                         ai="'AI optimized pricing'", rule="'Rule-based pricing'")}
           AS pricing_strategy
       FROM swept s LEFT JOIN fits f ON s.sku_id = f.sku_id""",
-    "priced_output_stamped": """SELECT sku_id,
-        CASE WHEN alert_flag THEN current_price ELSE new_price END AS final_price,
-        CASE WHEN alert_flag THEN 'Manual review (alert triggered)' ELSE 'Rule-based pricing' END
+    "priced_output_stamped": f"""SELECT s.sku_id,
+        {_HYBRID.format(alert='current_price', ai='ai_optimal_price', rule='new_price')}
+          AS final_price,
+        {_HYBRID.format(alert="'Manual review (alert triggered)'",
+                        ai="'AI optimized pricing'", rule="'Rule-based pricing'")}
           AS pricing_strategy, '2024-01-31_120000' AS run_date, 'v1.0' AS model_version,
-        'A1B2C3' AS run_id FROM swept""",
+        'A1B2C3' AS run_id
+      FROM swept s LEFT JOIN fits f ON s.sku_id = f.sku_id""",
     "predicted_demand": f"""SELECT sku_id, current_price,
         greatest({champion(*_FEATURES)}, 0.0) AS predicted_demand FROM master""",
     "request_pricing": _RESULT,

@@ -241,7 +241,7 @@ def hybrid_price(spark, sf):
 
 @query
 def priced_output_stamped(spark, sf):
-    settings = PricingSettings(max_mape=2.9)
+    settings = PricingSettings(max_mape=2.9, fit_elasticity=True)
     priced = price(r.master_with_sales(spark, sf), "hybrid", r.CHAMPION, settings)
     return stamp(priced, RUN).select(
         "sku_id", "final_price", "pricing_strategy", "run_date", "model_version", "run_id")
