@@ -76,12 +76,12 @@ def typed_features(master: DataFrame, signals: DataFrame | None = None) -> DataF
     demand_qty, ga4_views, ga4_add_to_cart) to publish the real values instead.
     """
     names = ["demand_qty", "ga4_views", "ga4_add_to_cart"]
-    rows = master.drop(*names).withColumn("sku_id", strip(F.col("sku_id")))
-    rows = rows.filter(F.col("sku_id") != "")
+    rows = master.drop(*names)
     if signals is None:
         rows = rows.withColumns({c: F.lit(0.0) for c in names})
-    else:
+    else:  # joined before ids are trimmed, while the master is still hashed on them
         rows = rows.join(signals.select("sku_id", *names), "sku_id", "left")
+    rows = rows.withColumn("sku_id", strip(F.col("sku_id"))).filter(F.col("sku_id") != "")
 
     def amount(c: str):
         return F.coalesce(real(F.col(c)), F.lit(0.0))

@@ -594,6 +594,15 @@ BODIES: dict[str, str] = {
     "sanitized_master": """SELECT sku_id, list_price / nullif(total_inventory - 500.0, 0)
           AS per_unit, CASE WHEN abs(price_diff_pct) > 5 THEN 0.0 ELSE price_diff_pct END AS gap
         FROM master""",
+    "stream_ga4_windows": """
+      WITH timed AS (SELECT ts, event_type, regexp_extract(props, '"k": *([0-9]+)', 1) AS sku_id
+        FROM events WHERE event_type IN ('view', 'click'))
+      SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, sku_id,
+        count(*) FILTER (WHERE event_type = 'view') AS views,
+        count(*) FILTER (WHERE event_type = 'click') AS add_to_cart
+      FROM timed GROUP BY date_trunc('hour', ts), sku_id
+      HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR
+        <= (SELECT max(ts) FROM timed) - INTERVAL 1 DAY""",
     "stream_ga4_counts": "SELECT * FROM counts",
     "rule_outcomes": f"""SELECT decision_reason, count(*) AS skus,
         {rnd(total(_CUR))} AS current_revenue, {rnd(total(_NEW))} AS new_revenue

@@ -28,7 +28,9 @@ from tagsmith.plans.training import TrainingSpec, train
 from tagsmith.sources import feeds
 from tagsmith.sources.columns import sanitize_names
 from tagsmith.sources.tables import materialized, shared_folder
-from tagsmith.streaming.web_events import start_event_counts, total_event_counts
+from tagsmith.streaming.web_events import (
+    start_event_counts, total_event_counts, windowed_event_counts,
+)
 from tagsmith.workload import roles as r, storage_queries  # noqa: F401  (registers its own)
 from tagsmith.workload.catalog import query, registered  # noqa: F401
 
@@ -451,6 +453,20 @@ def stream_ga4_counts(spark, sf):
     return total_event_counts(spark, f"{base}/deltas")
 
 
+@query
+def stream_ga4_windows(spark, sf):
+    """Closed hourly windows per SKU, events up to a day late."""
+    stream = spark.readStream.schema(r.SCHEMAS["events"]).option(
+        "pathGlobFilter", "events.parquet").parquet(sf)
+    base = f"{shared_folder(spark)}/event_windows_{uuid.uuid4().hex}"
+    run = (windowed_event_counts(r.shape_events(stream), "ts").writeStream.format("parquet")
+           .outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
+           .trigger(availableNow=True).start(f"{base}/windows"))
+    run.awaitTermination()
+    windows = spark.read.parquet(f"{base}/windows")
+    return windows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
 # --- model training ---------------------------------------------------------------------------
 def _train(spark, sf, name, params=None):
     spec = TrainingSpec(model_name=name, params=params or {})

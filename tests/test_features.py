@@ -150,7 +150,7 @@ def test_typed_features(spark, small_feeds):
     assert got["1"]["all_competitors_json"] == {"t": "11.0"} and got["1"]["demand_qty"] == 0.0
     assert got["3"]["all_competitors_json"] is None
     signals = spark.createDataFrame(
-        [("1", 5.0, 3, 1)],
+        [(" 1", 5.0, 3, 1)],
         "sku_id string, demand_qty double, ga4_views bigint, ga4_add_to_cart bigint")
     real = {x["sku_id"]: x for x in typed_features(base, signals).collect()}
     assert (real["1"]["demand_qty"], real["1"]["ga4_views"], real["2"]["demand_qty"]) == (
