@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tagsmith.functions.labels import (
     competitor_label, demand_label, demand_score, price_gap_pct, stock_label,
 )
+from tagsmith.functions.maps import entries_of
 from tagsmith.functions.numeric import parse_number, real, round_to
 
 
@@ -58,10 +59,10 @@ def event_counts(events: DataFrame) -> DataFrame:
 
 def event_counts_from_map(counts: DataFrame) -> DataFrame:
     """The same from the pre-aggregated `{sku: {view_item, add_to_cart}}` form."""
-    each = counts.select(F.explode("counts").alias("sku_id", "n"))
-    return each.groupBy("sku_id").agg(
-        F.sum(F.coalesce("n.view_item", F.lit(0))).alias("views"),
-        F.sum(F.coalesce("n.add_to_cart", F.lit(0))).alias("add_to_cart"))
+    each = counts.select(F.explode(entries_of(F.col("counts"))).alias("e"))
+    return each.groupBy(F.col("e.key").alias("sku_id")).agg(
+        F.sum(F.coalesce("e.value.view_item", F.lit(0))).alias("views"),
+        F.sum(F.coalesce("e.value.add_to_cart", F.lit(0))).alias("add_to_cart"))
 
 
 def demand_signals(sales: DataFrame, counts: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def parse_offers(items: DataFrame) -> DataFrame:
     A summary is one product's list of shops; nothing is exploded and nothing is shuffled.
     """
     entries = F.transform(
-        F.map_entries("summary"),
+        entries_of(F.col("summary")),
         lambda e, i: F.struct(parse_number(e["value"]["price"]).alias("price"),
                               i.alias("pos"), e["key"].alias("site")))
     valid = F.filter(F.coalesce(entries, F.array()),

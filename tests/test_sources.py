@@ -115,6 +115,16 @@ def test_competitor_feed_forms(spark, tmp_path):
     assert feeds.load_competitors(spark, str(tmp_path / "absent.json")).count() == 0
 
 
+def test_keys_written_twice(spark, tmp_path):
+    path = put(tmp_path / "twice.json",
+               '{"name":"mug","summary":{"s":{"price":1},"t":{"price":5},"s":{"price":7}}}')
+    row = parse_offers(feeds.load_competitors(spark, path)).first()
+    assert (row["competitor_price"], row["competitor_name"]) == (5.0, "t")
+    assert row["all_competitors"] == {"s": "7.0", "t": "5.0"}
+    counts = put(tmp_path / "counts.json", '{"a":{"view_item":3},"a":{"view_item":4}}')
+    assert rows(event_counts_from_map(feeds.load_event_counts(spark, counts))) == [("a", 4, 0)]
+
+
 def test_feed_order_goes_over_files(spark, tmp_path):
     folder = tmp_path / "feed"
     folder.mkdir()
