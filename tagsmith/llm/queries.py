@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagsmith.llm import bpe, decontamination, token_counts, urls
+from tagsmith.llm import ann, bpe, decontamination, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,11 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.vectors(read(spark, sf_dir, "embeddings"))
+    return ann.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(read(spark, sf_dir, "pages"))
     return judged.withColumn("soft_terms", F.array_join("soft_terms", ","))
@@ -49,6 +54,7 @@ def registered() -> dict[str, Query]:
         "op1_token_counts": op1_token_counts,
         "op2_decontamination": op2_decontamination,
         "op3_bpe_round_trip": op3_bpe_round_trip,
+        "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_url_filter": op10_url_filter,
     }
 
