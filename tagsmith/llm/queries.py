@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagsmith.llm import ann, bpe, decontamination, token_counts, urls
+from tagsmith.llm import ann, bpe, decontamination, ngram_join, pii, quality, token_counts, urls
 
+#: Whoever runs this on real data passes a secret of their own to `pii.pseudonymised`.
+PII_KEY = "tagsmith-demonstration-key"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -39,6 +41,23 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(read(spark, sf_dir, "documents"), 4, 85).drop("text_hash")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, found="mentions")
+    return done.select(
+        "doc_id", "text", F.size("mentions").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("mentions", lambda m: m["kind"]))), ",").alias("kinds"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    done = quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    return done.select("doc_id", "quality_score.*", (F.col("quality_score.score") < 0.5).alias("rejected"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ann.vectors(read(spark, sf_dir, "embeddings"))
     return ann.nearest(rows, rows.where("vec_id % 20 = 0"))
@@ -54,6 +73,9 @@ def registered() -> dict[str, Query]:
         "op1_token_counts": op1_token_counts,
         "op2_decontamination": op2_decontamination,
         "op3_bpe_round_trip": op3_bpe_round_trip,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op7_pii": op7_pii,
+        "op8_quality": op8_quality,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_url_filter": op10_url_filter,
     }
