@@ -37,19 +37,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles; of all words, if there are fewer but some."""
+def rolling(words: list[bytes], size: int) -> np.ndarray:
+    """64-bit hashes of all runs of `size` words, of which there is one at least."""
     from xxhash import xxh3_64_intdigest
 
-    words = text.encode().translate(_LOWER).split() if text else []
-    if not words:
-        return np.empty(0, np.int64)
     w = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    size = min(n, len(w))
     h = np.full(len(w) - size + 1, size, np.uint64)
     for k in range(size):
         h = _mixed(h * _MIX[0] + w[k : len(w) - size + 1 + k])
-    return np.unique(h.view(np.int64))
+    return h
+
+
+def shingles(text: str | None, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the n-word shingles; of all words, if there are fewer but some."""
+    words = text.encode().translate(_LOWER).split() if text else []
+    if not words:
+        return np.empty(0, np.int64)
+    return np.unique(rolling(words, min(n, len(words))).view(np.int64))
 
 
 def least_overlap(size: int, percent: int) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagsmith.llm import ann, bpe, decontamination, ngram_join, pii, quality, token_counts, urls
+from tagsmith.llm import ann, bpe, decontamination, licenses, ngram_join, pii, quality, suffix_tree, token_counts, urls
 
 #: Whoever runs this on real data passes a secret of their own to `pii.pseudonymised`.
 PII_KEY = "tagsmith-demonstration-key"
@@ -41,10 +41,22 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.size("licenses").cast("bigint").alias("n_licenses"),
+        F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"),
+        F.array_max(F.transform("licenses", lambda x: x["containment"])).alias("best_containment"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(read(spark, sf_dir, "documents"), 4, 85).drop("text_hash")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, found="mentions")
     return done.select(
@@ -73,7 +85,9 @@ def registered() -> dict[str, Query]:
         "op1_token_counts": op1_token_counts,
         "op2_decontamination": op2_decontamination,
         "op3_bpe_round_trip": op3_bpe_round_trip,
+        "op4_license_scan": op4_license_scan,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op6_lm_scores": op6_lm_scores,
         "op7_pii": op7_pii,
         "op8_quality": op8_quality,
         "op9_nearest_neighbours": op9_nearest_neighbours,
