@@ -178,7 +178,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, block: int = 256,
         """Blocks of the cells that have more than one; there are at most MOST_CELLS of them."""
         most = max(block, -(-total // MOST_CELLS))
         counts = side.groupBy("t", "cell").count().where(F.col("count") > most)
-        return {(r["t"], r["cell"]): -(-r["count"] // most) for r in counts.toLocalIterator()}, most
+        return {(r["t"], r["cell"]): -(-r["count"] // most) for r in counts.collect()}, most
 
     many = spark.sparkContext.broadcast((large(indexed, n * tables)[0], large(visits, visits.count())[0]))
 

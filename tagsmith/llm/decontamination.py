@@ -147,7 +147,7 @@ def _with_matches(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[D
     out, names = docs, []
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        side = spark.sparkContext.broadcast(Suffixes([(r["i"], r["t"]) for r in block.toLocalIterator()], window))
+        side = spark.sparkContext.broadcast(Suffixes([(r["i"], r["t"]) for r in block.collect()], window))
         names.append(name := fresh(out, f"match{k}"))
         kind = (
             "struct<n_words:bigint,spans:array<struct<a:int,b:int>>,item_ids:array<string>,"

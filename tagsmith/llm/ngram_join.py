@@ -197,10 +197,10 @@ def _links(rows: DataFrame, percent: int, block: int) -> DataFrame:
     large = rows.groupBy("grp").count().where(F.col("count") > most).select("grp")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
     # groups with more than `most` rows, of which there are at most MOST_BANDS
-    wide = [r["grp"] for r in large.toLocalIterator()]
+    wide = [r["grp"] for r in large.collect()]
     counted = rows.join(F.broadcast(spark.createDataFrame([(g,) for g in wide], "grp bigint")), "grp").groupBy("grp", band.alias("band")).count()
     bands: dict[int, dict[int, int]] = {g: {} for g in wide}
-    for r in counted.toLocalIterator():
+    for r in counted.collect():
         bands[r["grp"]][r["band"]] = -(-r["count"] // most)
     shared = spark.sparkContext.broadcast(bands)
 

@@ -225,7 +225,8 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, most: int
     tokens = counts.where("token is not null").select("token", "n")
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bottom = float(np.log10(total + distinct + 1))
-    common = {bytes(r["token"]): float(np.log10(r["n"] + 1)) for r in tokens.where(F.col("n") * F.lit(most) >= F.lit(total)).toLocalIterator()}
+    frequent = tokens.where(F.col("n") * F.lit(most) >= F.lit(total)).toArrow()
+    common = dict(zip(frequent["token"].to_pylist(), np.log10(frequent["n"].to_numpy() + 1.0).tolist(), strict=True))
     by_hash = dict(zip(hashes(list(common)).view(np.int64).tolist(), (v - bottom for v in common.values()), strict=True))
     shared = spark.sparkContext.broadcast((fit(train, counts, total, by_hash, most), common))
     names = ("doc_id", "text_key", "held_out", "token", "times", "times_root", "part", "n_known", "n_tokens", "score")

@@ -1,10 +1,11 @@
 """Token counts of documents from piece counts of distinct pre-tokens; ids are never made.
 
-1. One pass finds the pre-tokens that hold more than about 1/HEAVY of all (document, pre-token) rows.
-   There can't be more than HEAVY of them, so their piece counts may be broadcast at any size of corpus.
+1. One pass finds the pre-tokens that hold more than about 1/HEAVY of all occurrences (once for each
+   document and word). There can't be more than HEAVY of them, so their piece counts may be broadcast at
+   any size of corpus.
 2. A second pass makes each document's pre-token frequencies. The heavy ones are summed on the spot;
-   the rest go, by pre-token, to the tasks that count each distinct pre-token once and join the count
-   to the frequencies. No key that is left can hold more than 2/HEAVY of all rows.
+   the rest go, by pre-token and packed, to the tasks that count each distinct pre-token once and join the
+   count to the frequencies. No key that is left can hold more than 2/HEAVY of all occurrences.
 3. The products are summed by document.
 """
 
@@ -13,15 +14,19 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagsmith.llm.common import map_arrow, stored, text_key
 from tagsmith.llm.pretokens import PreTokenizer
 
 #: At most so many pre-tokens are broadcast.
-HEAVY = 1 << 16
-#: Distinct strings that a task keeps at once.
-KEPT = 300_000
+HEAVY = 1 << 19
+#: Distinct strings, and bytes of packed frequencies, that a task keeps at once.
+KEPT, PACKED = 300_000, 24_000_000
+#: One frequency: document, 32 bits of its text's key, times; the highest bit of times marks a null id.
+_POST = np.dtype([("id", "<i8"), ("key", "<i4"), ("times", "<u4")])
+_NULL = 1 << 31
 
 
 class _Frequencies:
@@ -57,26 +62,31 @@ class _Frequencies:
 def heavy_pretokens(docs: DataFrame, path: str, most: int = HEAVY) -> DataFrame:
     """(token, n_pieces) of the heavy pre-tokens; at most `most` rows.
 
-    A pre-token with a share of 2/most of all rows has a share of 1/most in tasks that hold half of its
-    rows or more, so counting where it is heavy is enough to find it.
+    A pre-token with a share of 2/most of all occurrences has a share of 1/most in tasks that hold half of
+    them or more, so counting where it is heavy is enough to find it.
     """
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
-        freq, seen, rows = _Frequencies(path), Counter(), 0
+        pre, after_space, tokens = PreTokenizer(path), Counter(), Counter()
 
         def flush() -> dict:
-            own = [(t, n) for t, n in seen.items() if n * most >= rows]
+            for w, n in after_space.items():
+                for t in pre.cut(" " + w):
+                    tokens[t] += n
+            rows = tokens.total()
+            own = [(t, n) for t, n in tokens.items() if n * most >= rows]
+            after_space.clear(), tokens.clear()
             return {"token": [None, *(t for t, _ in own)], "n": [rows, *(n for _, n in own)]}
 
         for b in batches:
             for text in b["text"]:
-                tokens = freq.of(text or "")[0]
-                seen.update(tokens.keys())
-                rows += len(tokens)
-                if len(seen) > KEPT * 2:
+                for part in pre.parts(text or "")[::2]:
+                    words = pre.words(part)
+                    tokens.update(set(pre.cut(part if words is None else words[0])))
+                    if words is not None:
+                        after_space.update(set(words[1:]))
+                if len(after_space) + len(tokens) > KEPT * 2:
                     yield flush()
-                    seen.clear()
-                    rows = 0
         yield flush()
 
     counted = stored(map_arrow(docs.select("text"), count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "heavy")
@@ -100,44 +110,67 @@ def token_counts(docs: DataFrame, path: str, heavy: int = HEAVY, doc_id: str | C
     """
     spark = docs.sparkSession
     docs = docs.select(docs[doc_id].cast("bigint").alias("doc_id") if isinstance(doc_id, str) else doc_id.alias("doc_id"), "text")
-    common = spark.sparkContext.broadcast({r["token"]: r["n_pieces"] for r in heavy_pretokens(docs, path, heavy).toLocalIterator()})
+    pieces = heavy_pretokens(docs, path, heavy).toArrow()
+    common = spark.sparkContext.broadcast(dict(zip(pieces["token"].to_pylist(), pieces["n_pieces"].to_pylist(), strict=True)))
 
     def frequencies(batches: Iterator[dict]) -> Iterator[dict]:
-        freq, light = _Frequencies(path), common.value
-        out: dict[str, list] = {c: [] for c in ("doc_id", "text_key", "token", "times", "n_bytes")}
-        ids, keys, tokens, times, sizes = out.values()
+        freq, light, small = _Frequencies(path), common.value, [n.to_bytes(4, "little") for n in range(256)]
+        posts: dict[str, bytearray] = {}
+        size = 0
         for b in batches:
+            whole: dict[str, list] = {c: [] for c in ("doc_id", "text_key", "n_bytes", "n_tokens")}
             for i, text in zip(b["doc_id"], b["text"], strict=True):
-                text, key = text or "", text_key(text)
+                text = text or ""
+                key = text_key(text) >> 32
                 found, done = freq.of(text)
+                head, flag = (i or 0).to_bytes(8, "little", signed=True) + key.to_bytes(4, "little", signed=True), _NULL * (i is None)
                 for t, n in found.items():
                     p = light.get(t)
-                    if p is None:
-                        ids.append(i), keys.append(key), tokens.append(t), times.append(n), sizes.append(None)
-                    else:
+                    if p is not None:
                         done += p * n
-                ids.append(i), keys.append(key), tokens.append(None), times.append(done), sizes.append(len(text.encode()))
-                if len(ids) > 50_000:
-                    yield out
-                    for x in out.values():
-                        x.clear()
-        yield out
+                        continue
+                    post = head + (small[n] if n < 256 and not flag else (n | flag).to_bytes(4, "little"))
+                    size += 16
+                    if t in posts:
+                        posts[t] += post
+                    else:
+                        posts[t] = bytearray(post)
+                whole["doc_id"].append(i), whole["text_key"].append(key), whole["n_bytes"].append(len(text.encode())), whole["n_tokens"].append(done)
+            none = [None] * len(whole["doc_id"])
+            yield whole | {"token": none, "posts": none}
+            if size > PACKED:
+                yield packed(posts)
+                size = 0
+        yield packed(posts)
+
+    def packed(posts: dict[str, bytearray]) -> dict:
+        none = [None] * len(posts)
+        out = {"token": list(posts), "posts": [bytes(p) for p in posts.values()]} | dict.fromkeys(("doc_id", "text_key", "n_bytes", "n_tokens"), none)
+        posts.clear()
+        return out
 
     def join(batches: Iterator[dict]) -> Iterator[dict]:
-        pre, known = PreTokenizer(path), {None: 1}
+        pre, known = PreTokenizer(path), {}
         for b in batches:
             if len(known) > KEPT:
-                known = {None: 1}
-            for t in set(b["token"]) - known.keys():
+                known.clear()
+            at = [k for k, t in enumerate(b["token"]) if t is None]
+            if at:
+                yield {c: [b[c][k] for k in at] for c in ("doc_id", "text_key", "n_bytes", "n_tokens")}
+            tokens, posts = [t for t in b["token"] if t is not None], [p for p in b["posts"] if p is not None]
+            if not tokens:
+                continue
+            for t in set(tokens) - known.keys():
                 known[t] = pre.pieces(t)
-            yield b | {"n_tokens": [known[t] * n for t, n in zip(b["token"], b["times"], strict=True)]}
-
-    rows = map_arrow(docs, frequencies, "doc_id bigint, text_key bigint, token string, times bigint, n_bytes bigint")
-    by = F.coalesce(F.xxhash64("token"), F.xxhash64("doc_id", "text_key"))
-    joined = map_arrow(
-        rows.withColumn("by", F.when(F.col("token").isNotNull(), F.xxhash64("token")).otherwise(by)).repartition("by").drop("by"),
-        join, "doc_id bigint, text_key bigint, n_bytes bigint, n_tokens bigint",
-    )
+            each = np.frombuffer(b"".join(posts), _POST)
+            pieces = np.repeat(np.array([known[t] for t in tokens], np.int64), np.array([len(p) // 16 for p in posts]))
+            null = each["times"] >= _NULL
+            ids = each["id"] if not null.any() else [None if x else i for i, x in zip(each["id"].tolist(), null.tolist(), strict=True)]
+            yield {"doc_id": ids, "text_key": each["key"], "n_bytes": [None] * len(each), "n_tokens": pieces * (each["times"] % _NULL)}
+
+    rows = map_arrow(docs, frequencies, "doc_id bigint, text_key int, n_bytes bigint, n_tokens bigint, token string, posts binary")
+    by = F.when(F.col("token").isNotNull(), F.xxhash64("token")).otherwise(F.xxhash64("doc_id", "text_key"))
+    joined = map_arrow(rows.repartition(by), join, "doc_id bigint, text_key int, n_bytes bigint, n_tokens bigint")
     summed = joined.groupBy("doc_id", "text_key").agg(
         F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n"), F.count("n_bytes").alias("copies"))
     return summed.select(
