@@ -66,8 +66,7 @@ def price_grid(price: Column, steps: int, low: float, high: float) -> Column:
 def exact_total(c: Column) -> Column:
     """Sum of money amounts that does not depend on row or partition order.
 
-    Each amount is taken to a millionth and added as DECIMAL, so retried or re-partitioned
-    runs give the same total to the last digit. Amounts up to nine trillion keep all digits.
+    Amounts are added as DECIMAL with twelve decimals, so retried or re-partitioned runs give the
+    same total to the last digit. NaN, infinite and larger amounts than 1e26 count as null.
     """
-    micros = F.rint(c * F.lit(1e6)).cast("bigint").cast("decimal(19,0)")
-    return (F.sum(micros).cast("double") / F.lit(1e6))
+    return F.try_sum(c.try_cast("decimal(38,12)")).cast("double")

@@ -19,21 +19,27 @@ def _clean(c: Column) -> Column:
 def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "predicted",
                        min_r2: float = fv.GATE_MIN_R2,
                        max_mae: float = fv.GATE_MAX_MAE) -> DataFrame:
-    """r2, mae, mape (actual + 1 below), rmse, pseudo accuracy and the quality gate, one pass."""
+    """r2, mae, mape (actual + 1 below), rmse, pseudo accuracy and the quality gate, one pass.
+
+    No row is left out of a relative error: pseudo accuracy is null if an actual is zero
+    (`zero_actuals` counts them), mape is zero, as any metric that can't be computed, if one is -1.
+    """
     y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     error = F.abs(y - p)
     sums = df.agg(
         F.avg(error).alias("mae"),
         F.avg(error * error).alias("mse"),
         F.var_pop(y).alias("spread"),
-        F.avg(F.abs(ratio(y - p, y + 1.0))).alias("mape"),
-        F.avg(F.abs(ratio(y - p, y))).alias("relative"))
+        F.when(F.count_if(y == -1.0) == 0, F.avg(F.abs(ratio(y - p, y + 1.0)))).alias("mape"),
+        F.count_if(y == 0.0).alias("zero_actuals"),
+        F.when(F.count_if(y == 0.0) == 0, F.avg(F.abs(ratio(y - p, y)))).alias("relative"))
     r2 = _clean(F.lit(1.0) - ratio(F.col("mse"), F.col("spread")))
     shaped = sums.select(
         round_to(r2, 6).alias("r2"), round_to(_clean(F.col("mae")), 6).alias("mae"),
         round_to(_clean(F.col("mape") * 100.0), 6).alias("mape"),
         round_to(F.sqrt("mse"), 6).alias("rmse"),
-        round_to(F.lit(100.0) - F.col("relative") * 100.0, 6).alias("pseudo_accuracy"))
+        round_to(F.lit(100.0) - F.col("relative") * 100.0, 6).alias("pseudo_accuracy"),
+        "zero_actuals")
     return shaped.withColumn(
         "passes_gate", (F.col("r2") >= min_r2) & (F.col("mae") <= max_mae))
 

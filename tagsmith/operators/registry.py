@@ -82,14 +82,20 @@ def champion_challenger(registry: DataFrame) -> DataFrame:
                              .otherwise("challenger")).drop("_rank")
 
 
-def _version_number(c: Column) -> Column:
-    return F.regexp_extract(c, r"(\d+)", 1).try_cast("bigint")
+def _version_numbers(c: Column) -> Column:
+    """All number parts of a version, so that v1.10 is above v1.9."""
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+)"), 1),
+                       lambda part: part.try_cast("decimal(38,0)"))
+
+
+def _newest_first(registry: DataFrame) -> Column:
+    return F.struct(_version_numbers(registry["model_version"]).alias("numbers"),
+                    registry["created_at"], registry["model_path"])
 
 
 def latest_versions(registry: DataFrame) -> DataFrame:
-    """Highest version by number (not by text) of every model."""
-    return registry.groupBy("model_name").agg(
-        F.max(_version_number(F.col("model_version"))).alias("latest_version"))
+    """The highest version by its numbers (not by text) of every model, the newest of equal ones."""
+    return registry.groupBy("model_name").agg(F.max(_newest_first(registry)).alias("latest_version"))
 
 
 def transition(registry: DataFrame, model_name: str, version: str, stage: str) -> DataFrame:
@@ -104,15 +110,20 @@ def transition(registry: DataFrame, model_name: str, version: str, stage: str) -
 def promote_latest(registry: DataFrame) -> DataFrame:
     """The highest version of every model goes to Production, older Production ones to the
     archive. One row per model is joined back, not the versions themselves."""
-    rows = registry.join(latest_versions(registry), "model_name", "left")
-    newest = _version_number(F.col("model_version")) == F.col("latest_version")
+    keyed = registry.withColumn("own_version", _newest_first(registry))
+    rows = keyed.join(latest_versions(registry), "model_name", "left")
+    newest = F.col("own_version").eqNullSafe(F.col("latest_version"))
     return rows.withColumn(
         "stage", F.when(newest, "Production")
         .when(F.col("stage") == "Production", "Archived").otherwise(F.col("stage"))
-    ).drop("latest_version")
+    ).drop("latest_version", "own_version")
 
 
 def rollback(registry: DataFrame, model_name: str, version: str) -> DataFrame:
+    """Put a version back to Production; a version that the model doesn't have is an error."""
+    known = (F.col("model_name") == model_name) & (F.col("model_version") == version)
+    if registry.filter(known).isEmpty():
+        raise ValueError(f"model {model_name!r} has no version {version!r}")
     return transition(registry, model_name, version, "Production")
 
 

@@ -20,12 +20,20 @@ from tagsmith.functions import fixed_values as fv
 SEED = 42
 
 
+_BOOSTED = {"n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree"}
+_PARAMETERS = {
+    "linear": set(), "xgboost": _BOOSTED, "lightgbm": _BOOSTED,
+    "rf": {"n_estimators", "max_depth", "min_samples_leaf", "min_samples_split", "max_features"}}
+
+
 def make_estimator(name: str, params: dict | None = None) -> Estimator:
     """`linear`, `rf`, `xgboost` or `lightgbm` (both boosted trees); others are an error.
 
     Parameter names are the usual ones (n_estimators, max_depth, learning_rate, ...).
     """
     p = params or {}
+    if unknown := sorted(set(p) - _PARAMETERS.get(name, set(p))):
+        raise ValueError(f"unsupported parameters of {name}: {unknown}")
     common = {"featuresCol": "features", "labelCol": "label"}
     if name == "linear":
         return LinearRegression(**common)
@@ -135,9 +143,12 @@ def grid_search(train: DataFrame, name: str, grid: dict[str, list], key: str, fo
 
 
 def as_pipeline(model, features: list[str] | None = None) -> PipelineModel:
-    """Assembler plus model, ready to be saved and to score raw feature columns."""
+    """Assembler plus model, ready to be saved and to score raw feature columns.
+
+    Rows of incomplete features stay, with NaN in place of what is missing.
+    """
     names = features or fv.MODEL_FEATURES
-    assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
     return PipelineModel(stages=[assembler, model])
 
 

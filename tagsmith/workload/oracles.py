@@ -334,7 +334,9 @@ def _metrics(y: str, p: str, source: str) -> str:
       s AS (SELECT {rnd('1 - avg((y - p) * (y - p)) / var_pop(y)', 6)} AS r2,
           {rnd('avg(abs(y - p))', 6)} AS mae, {rnd('avg(abs((y - p) / (y + 1))) * 100', 6)} AS mape,
           {rnd('sqrt(avg((y - p) * (y - p)))', 6)} AS rmse,
-          {rnd('100 - avg(abs((y - p) / nullif(y, 0))) * 100', 6)} AS pseudo_accuracy FROM m)
+          CASE WHEN count(*) FILTER (WHERE y = 0) = 0 THEN
+            {rnd('100 - avg(abs((y - p) / nullif(y, 0))) * 100', 6)} END AS pseudo_accuracy,
+          count(*) FILTER (WHERE y = 0) AS zero_actuals FROM m)
       SELECT *, r2 >= 0.70 AND mae <= 50 AS passes_gate FROM s"""
 
 
@@ -542,11 +544,12 @@ BODIES: dict[str, str] = {
         CASE WHEN n = 1 THEN 'champion' ELSE 'challenger' END AS role
       FROM (SELECT *, row_number() OVER (PARTITION BY model_name, environment
             ORDER BY created_at DESC, model_path DESC) AS n FROM versions) WHERE n <= 2""",
-    "registry_promote": """SELECT v.* REPLACE (
-        CASE WHEN CAST(substr(v.model_version, 2) AS BIGINT) = latest THEN 'Production'
-          WHEN stage = 'Production' THEN 'Archived' ELSE stage END AS stage)
-      FROM versions v JOIN (SELECT model_name, max(CAST(substr(model_version, 2) AS BIGINT))
-        AS latest FROM versions GROUP BY 1) m ON v.model_name = m.model_name""",
+    "registry_promote": """SELECT v.* EXCLUDE (n) REPLACE (
+        CASE WHEN n = 1 THEN 'Production' WHEN stage = 'Production' THEN 'Archived'
+          ELSE stage END AS stage)
+      FROM (SELECT *, row_number() OVER (PARTITION BY model_name
+            ORDER BY CAST(substr(model_version, 2) AS BIGINT) DESC, created_at DESC,
+              model_path DESC) AS n FROM versions) v""",
     "registry_rollback": """SELECT * REPLACE (
         CASE WHEN model_name = '2-HIGH' AND model_version = 'v10' THEN 'Production'
           WHEN model_name = '2-HIGH' AND stage = 'Production' THEN 'Archived' ELSE stage END
@@ -600,9 +603,7 @@ BODIES: dict[str, str] = {
       SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, sku_id,
         count(*) FILTER (WHERE event_type = 'view') AS views,
         count(*) FILTER (WHERE event_type = 'click') AS add_to_cart
-      FROM timed GROUP BY date_trunc('hour', ts), sku_id
-      HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR
-        <= (SELECT max(ts) FROM timed) - INTERVAL 1 DAY""",
+      FROM timed GROUP BY date_trunc('hour', ts), sku_id""",
     "stream_ga4_counts": "SELECT * FROM counts",
     "rule_outcomes": f"""SELECT decision_reason, count(*) AS skus,
         {rnd(total(_CUR))} AS current_revenue, {rnd(total(_NEW))} AS new_revenue

@@ -29,7 +29,7 @@ from tagsmith.sources import feeds
 from tagsmith.sources.columns import sanitize_names
 from tagsmith.sources.tables import materialized, shared_folder
 from tagsmith.streaming.web_events import (
-    start_event_counts, total_event_counts, windowed_event_counts,
+    start_event_counts, total_event_counts, start_window_counts, total_window_counts,
 )
 from tagsmith.workload import roles as r, storage_queries  # noqa: F401  (registers its own)
 from tagsmith.workload.catalog import query, registered  # noqa: F401
@@ -455,15 +455,13 @@ def stream_ga4_counts(spark, sf):
 
 @query
 def stream_ga4_windows(spark, sf):
-    """Closed hourly windows per SKU, events up to a day late."""
+    """Hourly windows per SKU, the open ones included."""
     stream = spark.readStream.schema(r.SCHEMAS["events"]).option(
         "pathGlobFilter", "events.parquet").parquet(sf)
     base = f"{shared_folder(spark)}/event_windows_{uuid.uuid4().hex}"
-    run = (windowed_event_counts(r.shape_events(stream), "ts").writeStream.format("parquet")
-           .outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
-           .trigger(availableNow=True).start(f"{base}/windows"))
-    run.awaitTermination()
-    windows = spark.read.parquet(f"{base}/windows")
+    start_window_counts(r.shape_events(stream), "ts", f"{base}/windows",
+                        f"{base}/checkpoint").awaitTermination()
+    windows = total_window_counts(spark, f"{base}/windows")
     return windows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 
@@ -486,7 +484,7 @@ def actual_vs_predicted(spark, sf):
 
 @query
 def train_rf(spark, sf):
-    return _train(spark, sf, "rf", {"n_estimators": 50})["metrics"]
+    return _train(spark, sf, "rf")["metrics"]
 
 
 @query
@@ -526,7 +524,7 @@ def tune_grid(spark, sf):
 
 @query
 def feature_importances(spark, sf):
-    out = _train(spark, sf, "rf", {"n_estimators": 20})
+    out = _train(spark, sf, "rf")
     return spark.createDataFrame(out["importances"], "feature string, importance double")
 
 
@@ -539,7 +537,7 @@ def sweep_mllib(spark, sf):
 @query
 def intent_classifier(spark, sf):
     queries = materialized(textgap.clean_queries(r.search_queries(spark, sf)), "queries")
-    model = textgap.train_intents(queries, max_iter=5)
+    model = textgap.train_intents(queries)
     return textgap.confident(textgap.predict_intents(model, queries)).select(
         "user_pseudo_id", "standard_attribute_key",
         round_to(F.col("confidence_score"), 6).alias("confidence_score"))
