@@ -99,10 +99,15 @@ def latest_versions(registry: DataFrame) -> DataFrame:
 
 
 def transition(registry: DataFrame, model_name: str, version: str, stage: str) -> DataFrame:
-    """Move a version to a stage; a new Production version archives the other ones."""
+    """Move a version to a stage; a new Production version archives the other ones.
+
+    A version that the model doesn't have changes nothing.
+    """
     mine = F.col("model_name") == model_name
     chosen = mine & (F.col("model_version") == version)
-    replaced = mine & ~chosen & (F.col("stage") == "Production") & F.lit(stage == "Production")
+    known = F.max(chosen).over(Window.partitionBy("model_name"))
+    replaced = (mine & ~chosen & (F.col("stage") == "Production") & F.lit(stage == "Production")
+                & known)
     return registry.withColumn(
         "stage", F.when(chosen, stage).when(replaced, "Archived").otherwise(F.col("stage")))
 
@@ -119,10 +124,11 @@ def promote_latest(registry: DataFrame) -> DataFrame:
     ).drop("latest_version", "own_version")
 
 
-def rollback(registry: DataFrame, model_name: str, version: str) -> DataFrame:
-    """Put a version back to Production; a version that the model doesn't have is an error."""
+def rollback(registry: DataFrame, model_name: str, version: str,
+             must_exist: bool = False) -> DataFrame:
+    """Put a version back to Production; with `must_exist`, an unknown version is an error."""
     known = (F.col("model_name") == model_name) & (F.col("model_version") == version)
-    if registry.filter(known).isEmpty():
+    if must_exist and registry.filter(known).isEmpty():
         raise ValueError(f"model {model_name!r} has no version {version!r}")
     return transition(registry, model_name, version, "Production")
 

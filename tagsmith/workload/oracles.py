@@ -552,8 +552,9 @@ BODIES: dict[str, str] = {
               model_path DESC) AS n FROM versions) v""",
     "registry_rollback": """SELECT * REPLACE (
         CASE WHEN model_name = '2-HIGH' AND model_version = 'v10' THEN 'Production'
-          WHEN model_name = '2-HIGH' AND stage = 'Production' THEN 'Archived' ELSE stage END
-          AS stage) FROM versions""",
+          WHEN model_name = '2-HIGH' AND stage = 'Production' AND EXISTS (
+            FROM versions WHERE model_name = '2-HIGH' AND model_version = 'v10') THEN 'Archived'
+          ELSE stage END AS stage) FROM versions""",
     "query_text_clean": f"""SELECT CAST(doc_id AS VARCHAR) AS user_pseudo_id,
         trim(regexp_replace(regexp_replace(' ' || replace({_WORDS}, ' ', '  ') || ' ',
           ' (personally|tbh|in  my  opinion) ', ' ', 'g'), '{SQUEEZE}', ' ', 'g'))

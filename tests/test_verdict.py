@@ -25,9 +25,12 @@ def test_only_the_highest_dotted_version_is_promoted(spark):
     assert got["v1.0", "/p/0"] == "Archived"
 
 
-def test_rollback_to_an_unknown_version_is_an_error(spark):
+def test_rollback_to_an_unknown_version_changes_nothing(spark):
+    before = _versions(spark, "v1", "v2")
+    assert _stages(registry.rollback(before, "m", "v9")) == _stages(before)
+    assert _stages(registry.rollback(before, "m", "v2")) == {("v1", "/p/0"): "Archived", ("v2", "/p/1"): "Production"}
     with pytest.raises(ValueError, match="no version"):
-        registry.rollback(_versions(spark, "v1", "v2"), "m", "v9")
+        registry.rollback(before, "m", "v9", must_exist=True)
 
 
 def test_zero_actuals_are_not_left_out(spark):
