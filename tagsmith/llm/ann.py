@@ -134,7 +134,7 @@ def fit(rows: DataFrame, k: int, tables: int = 2, chance: float = 0.97, sample:
     scaled = (unit[:256] @ x.T) / norm
     kth = np.sort(scaled, axis=1)[:, -min(k + 1, scaled.shape[1])]
     distance = float(np.sqrt(np.maximum(2 - 2 * np.median(kth), 1e-4)))
-    projections = min(8, max(2, round(math.log2(n) / 4)))
+    projections = min(8, max(2, round(math.log2(n) / 5)))
     return Hashing(tables, projections, float(norm), 1.6 * distance, distance, chance, x.shape[1]), n
 
 
