@@ -138,7 +138,7 @@ def fit(rows: DataFrame, k: int, tables: int = 2, chance: float = 0.97, sample:
     return Hashing(tables, projections, float(norm), 1.6 * distance, distance, chance, x.shape[1]), n
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, block: int = 1024, tables: int = 2, chance: float = 0.97) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, block: int = 2048, tables: int = 2, chance: float = 0.97) -> DataFrame:
     """The k nearest rows of `rows` to each of `queries`, both as `vectors` gives them.
 
     query_id, rank (from 1), vec_id, score: the inner product in double precision; nearest first, ties to
