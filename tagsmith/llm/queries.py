@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagsmith.llm import ann, bpe, decontamination, licenses, ngram_join, pii, quality, suffix_tree, token_counts, urls
+from tagsmith.llm.oracles import oracle_sql  # noqa: F401 (the entry reads it here)
 
 #: Whoever runs this on real data passes a secret of their own to `pii.pseudonymised`.
 PII_KEY = "tagsmith-demonstration-key"
@@ -93,7 +94,3 @@ def registered() -> dict[str, Query]:
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_url_filter": op10_url_filter,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": urls.oracle_sql()}

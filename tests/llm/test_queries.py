@@ -20,7 +20,8 @@ def test_names():
 
 def test_sql(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    for table in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = queries.registered()[name](spark, SF)
         assert Counter(map(tuple, got.collect())) == Counter(con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall())
