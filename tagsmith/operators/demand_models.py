@@ -13,10 +13,13 @@ from typing import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagsmith.functions import fixed_values as fv
+
 Features = tuple[Column, Column, Column, Column]
 GridDemand = Callable[[Column, Column], Column]
 
@@ -55,9 +58,15 @@ class LinearDemand:
 
 
 class MLlibDemand:
-    """A fitted Spark ML regression model. Rows whose features are missing score NULL."""
+    """A fitted Spark ML regression model, alone or behind the assembler it was saved with. Rows
+    whose features are missing score NULL."""
 
     def __init__(self, model) -> None:
+        if isinstance(model, PipelineModel):
+            assembler, model = model.stages
+            if assembler.getInputCols() != fv.MODEL_FEATURES:
+                raise ValueError(f"prices need a model of {fv.MODEL_FEATURES}, "
+                                 f"not of {assembler.getInputCols()}")
         self.model = model
 
     def score(self, df: DataFrame, out: str, features: Features) -> DataFrame:

@@ -134,10 +134,10 @@ def one_item_per(items: DataFrame, key: str, keep: str) -> DataFrame:
     return first_per_key(items.filter(F.col(key).isNotNull()), [key], [order])
 
 
-def match_offers_to_skus(parsed: DataFrame, sku: DataFrame) -> DataFrame:
-    """Feed items beside every SKU of the same name; items without a SKU keep a null id.
+def matched_and_unmatched(parsed: DataFrame, sku: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Feed items beside every SKU of the same name, and the items without a SKU (null id).
 
-    Built as inner join plus the unmatched items instead of one outer join: Spark can then
+    An inner join and the unmatched items instead of one outer join: Spark can then
     split a hot name on either side (the outer form pins the side that holds the SKUs).
     """
     names = sku.select("sku_id", "display_name")
@@ -147,6 +147,12 @@ def match_offers_to_skus(parsed: DataFrame, sku: DataFrame) -> DataFrame:
     known = names.select("display_name").distinct()
     unmatched = offers.join(known, "display_name", "left_anti").withColumn(
         "sku_id", F.lit(None).cast("string"))
+    return matched, unmatched
+
+
+def match_offers_to_skus(parsed: DataFrame, sku: DataFrame) -> DataFrame:
+    """Feed items beside every SKU of the same name; items without a SKU keep a null id."""
+    matched, unmatched = matched_and_unmatched(parsed, sku)
     return matched.unionByName(unmatched)
 
 
@@ -162,11 +168,14 @@ def competitor_features(items: DataFrame, sku: DataFrame, price: DataFrame,
     key = "name" if match_on == "display_name" else "sku_id"
     chosen = items if keep == "all" else one_item_per(items, key, keep)
     parsed = parse_offers(chosen)
+    prices = price.select("sku_id", "list_price")
     if match_on == "display_name":
-        placed = match_offers_to_skus(parsed, sku)
+        placed, unmatched = matched_and_unmatched(parsed, sku)
+        # without an id there is no price: these stay out of the join, where they'd be one key
+        unpriced = unmatched.withColumn("list_price", F.lit(None).cast("double"))
+        priced = placed.join(prices, "sku_id", "left").unionByName(unpriced)
     else:
-        placed = parsed
-    priced = placed.join(price.select("sku_id", "list_price"), "sku_id", "left")
+        priced = parsed.join(prices, "sku_id", "left")
     ours, theirs = F.col("list_price"), F.col("competitor_price")
     return priced.select(
         "sku_id", "competitor_price", "competitor_name",

@@ -18,7 +18,7 @@ def clean_queries(queries: DataFrame, text_col: str = "search_query") -> DataFra
 
 
 def train_intents(labelled: DataFrame, text_col: str = "search_query",
-                  label_col: str = "standard_attribute_key", n_features: int = 1 << 16,
+                  label_col: str = "standard_attribute_key", n_features: int = 1 << 18,
                   max_iter: int = 20) -> PipelineModel:
     """Hashed, weighted words into a multinomial logistic regression."""
     return Pipeline(stages=[

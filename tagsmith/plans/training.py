@@ -5,16 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 
 from tagsmith.functions import fixed_values as fv
 from tagsmith.operators import registry
+from tagsmith.operators.demand_models import MLlibDemand
 from tagsmith.operators.evaluation import actual_vs_predicted, regression_metrics
 from tagsmith.operators.quality import clean_golden
 from tagsmith.operators.splits import random_split
 from tagsmith.operators.training import (
     as_pipeline, feature_importances, fit_model, random_search, training_frame,
 )
+from tagsmith.sources.tables import read_snapshot
 
 
 @dataclass(frozen=True)
@@ -66,3 +69,22 @@ def train_and_register(golden: DataFrame, spec: TrainingSpec, model_folder: str,
     registry.save_version(golden.sparkSession, registry_path, spec.model_name,
                           spec.environment, row)
     return {**out, "path": path}
+
+
+def registered_model(spark: SparkSession, registry_path: str, model_name: str,
+                     environment: str = "dev", version: str | None = None) -> MLlibDemand:
+    """The model that the registry resolves to, ready to price with."""
+    rows = read_snapshot(spark, registry_path)
+    row = registry.resolve_one(rows, model_name, environment, version)
+    return MLlibDemand(PipelineModel.load(row["model_path"]))
+
+
+def champion_and_challenger(spark: SparkSession, registry_path: str, model_name: str,
+                            environment: str = "dev") -> tuple[MLlibDemand, MLlibDemand | None]:
+    """The newest version and the one before it, if there is one."""
+    rows = registry.versions(read_snapshot(spark, registry_path), model_name, environment)
+    paths = {r["role"]: r["model_path"] for r in registry.champion_challenger(rows).collect()}
+    if not paths:
+        raise ValueError(f"no row for model {model_name!r} in environment {environment!r}")
+    models = {role: MLlibDemand(PipelineModel.load(p)) for role, p in paths.items()}
+    return models["champion"], models.get("challenger")

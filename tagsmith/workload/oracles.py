@@ -326,6 +326,9 @@ PARTS["pairs"] = f"""SELECT sku_id, demand_qty AS actual,
   FROM clean, tr_coef WHERE {_IN_TEST}"""
 PARTS["ruled_coef"] = "SELECT * FROM ruled, al_coef"
 PARTS["swept_ml"] = sweep("ruled_coef", _predicted("p", "rival", "stock", "gap"), _BATCH_BASE, 0.05)
+PARTS["ruled_train"] = "SELECT * FROM ruled, tr_coef"
+PARTS["swept_registered"] = sweep(
+    "ruled_train", _predicted("p", "rival", "stock", "gap"), _BATCH_BASE, 0.05)
 
 
 def _metrics(y: str, p: str, source: str) -> str:
@@ -508,6 +511,7 @@ BODIES: dict[str, str] = {
     "train_linear": _metrics("actual", "predicted", "pairs"),
     "actual_vs_predicted": f"SELECT sku_id, actual, {rnd('predicted', 4)} AS predicted FROM pairs",
     "sweep_mllib": f"SELECT {_AI_COLUMNS} FROM swept_ml",
+    "registered_model_price": f"SELECT {_AI_COLUMNS} FROM swept_registered",
     "elasticity_training_rows": """SELECT sku_id, current_price, demand_qty, competitor_price,
         inventory_bucket FROM sold WHERE demand_qty > 0""",
     "date_texts": """SELECT event_id, strftime(ts, '%Y-%m-%d_%H%M%S') AS run_date,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tagsmith.functions.numeric import finite_or_zero, parse_number, round_to
@@ -24,7 +26,7 @@ from tagsmith.operators.rules import batch_rules, service_rules
 from tagsmith.operators.sweep import ai_output as with_ai, sweep_prices
 from tagsmith.plans.pricing import PricingSettings, Run, price, stamp
 from tagsmith.plans.request_pricing import price_requests
-from tagsmith.plans.training import TrainingSpec, train
+from tagsmith.plans.training import TrainingSpec, registered_model, train, train_and_register
 from tagsmith.sources import feeds
 from tagsmith.sources.columns import sanitize_names
 from tagsmith.sources.tables import materialized, shared_folder
@@ -534,6 +536,16 @@ def sweep_mllib(spark, sf):
     return with_ai(_ruled(spark, sf), MLlibDemand(model)).select(*_AI)
 
 
+@query
+def registered_model_price(spark, sf):
+    """A model trained and registered, resolved from the registry, loaded, and priced with."""
+    base = f"{shared_folder(spark)}/models_{uuid.uuid4().hex}"
+    train_and_register(materialized(_golden_raw(spark, sf), "golden"), TrainingSpec("linear"),
+                       f"{base}/models", f"{base}/registry", datetime(2024, 1, 1))
+    model = registered_model(spark, f"{base}/registry", "linear")
+    return with_ai(_ruled(spark, sf), model).select(*_AI)
+
+
 @query
 def intent_classifier(spark, sf):
     queries = materialized(textgap.clean_queries(r.search_queries(spark, sf)), "queries")

@@ -18,7 +18,9 @@ from tagsmith.operators.splits import random_split, time_split
 from tagsmith.operators.sweep import sweep_prices
 from tagsmith.plans.pricing import Run
 from tagsmith.plans.request_pricing import price_requests
-from tagsmith.plans.training import TrainingSpec, train, train_and_register
+from tagsmith.plans.training import (
+    TrainingSpec, champion_and_challenger, registered_model, train, train_and_register,
+)
 from tagsmith.streaming.web_events import (
     start_event_counts, total_event_counts, windowed_event_counts,
 )
@@ -296,6 +298,29 @@ def test_linear_training_and_registry(spark, golden, tmp_path):
     assert out["importances"] == []
 
 
+def test_pricing_with_registered_models(spark, golden, tmp_path):
+    path, models = str(tmp_path / "registry"), str(tmp_path / "models")
+    with pytest.raises(ValueError, match="no row"):
+        train_and_register(golden, TrainingSpec("linear"), models, path, day(1))
+        registered_model(spark, path, "rf")
+    assert champion_and_challenger(spark, path, "linear")[1] is None
+    train_and_register(golden, TrainingSpec("linear", "v2.0", seed=7), models, path, day(2))
+    champion, challenger = champion_and_challenger(spark, path, "linear")
+    assert not np.array_equal(champion.model.coefficients, challenger.model.coefficients)
+    latest = registered_model(spark, path, "linear")
+    assert np.array_equal(latest.model.coefficients, champion.model.coefficients)
+    features = tuple(F.col(c) for c in ("price", "competitor_price", "inventory_level",
+                                        "price_diff_pct"))
+    holes = golden.withColumn("inventory_level", F.when(F.col("sku_id") != "7", F.col("inventory_level")))
+    scored = latest.score(holes, "demand", features)
+    assert scored.count() == golden.count()
+    assert [x["sku_id"] for x in scored.filter("demand is null").collect()] == ["7"]
+    few = training.training_frame(golden, ["price", "inventory_level"])
+    saved = training.as_pipeline(training.fit_model(few, "linear"), ["price", "inventory_level"])
+    with pytest.raises(ValueError, match="need a model of"):
+        MLlibDemand(saved)
+
+
 def test_ml_sweep_equals_linear_expression(spark, golden):
     model = training.fit_model(training.training_frame(golden), "linear")
     rows = golden.select(
