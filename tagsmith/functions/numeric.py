@@ -70,3 +70,11 @@ def exact_total(c: Column) -> Column:
     same total to the last digit. NaN, infinite and larger amounts than 1e26 count as null.
     """
     return F.try_sum(c.try_cast("decimal(38,12)")).cast("double")
+
+
+def price_text(c: Column) -> Column:
+    """A price of two decimals as text without an exponent: 12.5, 15000000.0."""
+    rounded = round_to(c, 2)
+    whole = F.regexp_replace(rounded.cast("decimal(38,2)").cast("string"), r"(\.\d)0$", "$1")
+    return F.when(F.abs(rounded) < 1e7, rounded.cast("string")).otherwise(
+        F.coalesce(whole, rounded.cast("string")))

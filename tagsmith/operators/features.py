@@ -14,7 +14,7 @@ from tagsmith.functions.labels import (
     competitor_label, demand_label, demand_score, price_gap_pct, stock_label,
 )
 from tagsmith.functions.maps import entries_of
-from tagsmith.functions.numeric import parse_number, real, round_to
+from tagsmith.functions.numeric import parse_number, price_text, real
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -120,7 +120,7 @@ def parse_offers(items: DataFrame) -> DataFrame:
     parsed = items.withColumn("offers", valid)
     cheapest = F.array_min("offers")
     texts = F.map_from_entries(F.transform(
-        "offers", lambda o: F.struct(o["site"], round_to(o["price"], 2).cast("string"))))
+        "offers", lambda o: F.struct(o["site"], price_text(o["price"]))))
     return parsed.withColumns({
         "competitor_price": cheapest["price"],
         "competitor_name": cheapest["site"],
@@ -157,13 +157,13 @@ def match_offers_to_skus(parsed: DataFrame, sku: DataFrame) -> DataFrame:
 
 
 def competitor_features(items: DataFrame, sku: DataFrame, price: DataFrame,
-                        match_on: str = "display_name", keep: str = "all") -> DataFrame:
+                        match_on: str = "display_name", keep: str = "last") -> DataFrame:
     """Competitor position per SKU.
 
     `match_on="display_name"` follows the feed, which names products; `"sku_id"` is for feeds
-    that carry our id. `keep` chooses what happens when the feed lists a product again: `all`
-    keeps every item beside every SKU of the name, `first`/`last` keep one, before the join
-    rather than after a fan-out. The master table always keeps one.
+    that carry our id. `keep` chooses what happens when the feed lists a product again:
+    `first`/`last` keep one item, before the join rather than after a fan-out, as the master table
+    does. `all` keeps every item beside every SKU of the name: items times SKUs of a hot name.
     """
     key = "name" if match_on == "display_name" else "sku_id"
     chosen = items if keep == "all" else one_item_per(items, key, keep)

@@ -33,8 +33,13 @@ def find_requested(requests: DataFrame, features: DataFrame) -> DataFrame:
 
 def missing_requests(requests: DataFrame, features: DataFrame) -> DataFrame:
     """Requested ids that match no feature row in either spelling."""
-    found = find_requested(requests, features.select("sku_id")).select("requested_id")
-    missing = requests.join(found, requests["sku_id"] == found["requested_id"], "left_anti")
+    return not_found(requests, find_requested(requests, features.select("sku_id")))
+
+
+def not_found(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """Requested ids that a lookup has not answered."""
+    answered = found.select("requested_id")
+    missing = requests.join(answered, requests["sku_id"] == answered["requested_id"], "left_anti")
     return missing.select("sku_id", F.lit(NOT_FOUND).alias("error"))
 
 
@@ -79,17 +84,18 @@ def result_rows(priced: DataFrame, run_date: str, run_id: str, model_version: st
         computed[c].alias(c) if c in computed else F.col(c) for c in fv.RESULT_COLUMNS])
 
 
-def run_summary(requests: DataFrame, results: DataFrame, missing: DataFrame) -> DataFrame:
-    """One row: counts, status and the summary sentence."""
+def run_summary(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """One row: counts, status and the summary sentence. Every requested id is either a result
+    or missing."""
     asked = requests.agg(F.count(F.lit(1)).alias("requested")).scalar()
-    lost = missing.agg(F.count(F.lit(1)).alias("missing")).scalar()
     counts = results.agg(
         F.count(F.lit(1)).alias("found"),
         F.count_if(F.col("ai_strategy") == "AI_OPTIMISED").alias("ai_optimised"),
         F.count_if(F.col("ai_strategy") == "RULE_OVERRIDE").alias("rule_overrides"),
         F.count_if("alert_flag").alias("alerts"))
-    counts = counts.select(asked.alias("requested"), "found", lost.alias("missing"),
-                           "ai_optimised", "rule_overrides", "alerts")
+    counts = counts.withColumn("requested", asked).select(
+        "requested", "found", (F.col("requested") - F.col("found")).alias("missing"),
+        "ai_optimised", "rule_overrides", "alerts")
     status = (F.when(F.col("missing") == 0, "SUCCESS")
               .when(F.col("found") > 0, "PARTIAL_SUCCESS").otherwise("FAILURE"))
     sentence = F.format_string(

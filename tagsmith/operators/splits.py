@@ -31,9 +31,6 @@ def time_split(df: DataFrame, date_col: str, key_col: str,
 
     The cut is found once; both parts are then plain filters that reach the scan.
     """
-    size = df.count() // (n_splits + 1)
-    if size == 0:
-        raise ValueError("too few rows for this number of splits")
-    date, key = last_rows_cut(df, date_col, key_col, size)
+    date, key = last_rows_cut(df, date_col, key_col, n_splits + 1)
     late = (F.col(date_col) > date) | ((F.col(date_col) == date) & (F.col(key_col) >= key))
     return df.filter(~late), df.filter(late)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from tagsmith.functions import fixed_values as fv
 from tagsmith.operators.quality import clean_request_ids
 from tagsmith.operators.requests import (
-    find_requested, missing_requests, pricing_frame, result_rows, run_summary,
+    find_requested, not_found, pricing_frame, result_rows, run_summary,
 )
 from tagsmith.operators.rules import service_rules
 from tagsmith.operators.sweep import ai_output
@@ -20,12 +20,11 @@ def price_requests(requests: DataFrame, features: DataFrame, model, run: Run,
                    tolerance: float = fv.TOLERANCE) -> dict[str, DataFrame]:
     """Result rows, missing ids and the one-row summary, all lazy."""
     wanted = clean_request_ids(requests)
-    frame = pricing_frame(find_requested(wanted, features))
-    priced = ai_output(service_rules(frame), model, "service", tolerance)
+    found = find_requested(wanted, features)
+    priced = ai_output(service_rules(pricing_frame(found)), model, "service", tolerance)
     results = result_rows(priced, run.run_date, run.run_id, run.model_version)
-    missing = missing_requests(wanted, features)
-    return {"results": results, "missing": missing,
-            "summary": run_summary(wanted, results, missing)}
+    return {"results": results, "missing": not_found(wanted, found),
+            "summary": run_summary(wanted, results)}
 
 
 def publish_features(feeds: dict[str, DataFrame], counts: DataFrame, path: str,

@@ -39,7 +39,7 @@ class TrainingSpec:
 
 
 def train(golden: DataFrame, spec: TrainingSpec = TrainingSpec()) -> dict:
-    """Model, chosen parameters, test scores, metrics and importances."""
+    """Model, chosen parameters, training rows, test scores, metrics and importances."""
     needed = list(dict.fromkeys([spec.key, *spec.expected_columns()]))
     rows = clean_golden(golden, needed)
     names = list(spec.features)
@@ -53,7 +53,7 @@ def train(golden: DataFrame, spec: TrainingSpec = TrainingSpec()) -> dict:
         model = fit_model(frame, spec.model_name, params)
     test = training_frame(test_rows, names, spec.target, keep=(spec.key,))
     scored = actual_vs_predicted(model.transform(test), spec.key, "label")
-    return {"model": model, "params": params, "scored": scored,
+    return {"model": model, "params": params, "rows": frame, "scored": scored,
             "metrics": regression_metrics(scored),
             "importances": feature_importances(model, names)}
 

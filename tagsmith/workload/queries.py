@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tagsmith.functions.numeric import finite_or_zero, parse_number, round_to
 from tagsmith.functions.text import clean_query, response_time_text, run_date_text
 from tagsmith.operators import (
-    elasticity, evaluation, golden, quality, registry, requests, revenue, splits, textgap,
-    training,
+    elasticity, evaluation, golden, quality, registry, revenue, splits, textgap, training,
 )
 from tagsmith.operators.demand_models import LinearDemand, MLlibDemand, predict_demand
 from tagsmith.operators.features import (
@@ -259,7 +258,7 @@ def predicted_demand(spark, sf):
 
 # --- requests ---------------------------------------------------------------------------------
 def _answers(spark, sf):
-    return price_requests(r.requests(spark, sf), r.features(spark, sf), r.CHAMPION, RUN)
+    return price_requests(r.requests(spark, sf), r.published(spark, sf), r.CHAMPION, RUN)
 
 
 @query
@@ -270,8 +269,7 @@ def request_pricing(spark, sf):
 
 @query
 def missing_requests(spark, sf):
-    wanted = quality.clean_request_ids(r.requests(spark, sf))
-    return requests.missing_requests(wanted, r.features(spark, sf))
+    return _answers(spark, sf)["missing"]
 
 
 @query
@@ -484,14 +482,30 @@ def actual_vs_predicted(spark, sf):
     return scored.withColumn("predicted", round_to(F.col("predicted"), 4))
 
 
+def _facts(out):
+    """What holds for any model that has learnt: all rows used, all scores finite, and a smaller
+    error on its training rows than the mean."""
+    fitted = out["model"].transform(out["rows"])
+    mean = fitted.agg(F.avg("label").alias("mean")).scalar()
+    learnt = fitted.withColumn("mean", mean).agg(
+        F.count(F.lit(1)).alias("train_rows"),
+        (F.avg(F.abs(F.col("label") - F.col("prediction")))
+         < F.avg(F.abs(F.col("label") - F.col("mean")))).alias("closer_than_mean"))
+    tested = out["scored"].withColumn("mean", mean).agg(
+        F.count(F.lit(1)).alias("test_rows"),
+        F.count_if(F.abs("predicted") < float("inf")).alias("finite_scores"),
+        round_to(F.avg(F.abs(F.col("actual") - F.col("mean"))), 6).alias("mean_model_mae"))
+    return learnt.select("*", *[tested.select(c).scalar().alias(c) for c in tested.columns])
+
+
 @query
 def train_rf(spark, sf):
-    return _train(spark, sf, "rf")["metrics"]
+    return _facts(_train(spark, sf, "rf"))
 
 
 @query
 def train_gbt(spark, sf):
-    return _train(spark, sf, "xgboost", {"n_estimators": 20})["metrics"]
+    return _facts(_train(spark, sf, "xgboost"))
 
 
 def _frame(spark, sf):
@@ -500,34 +514,39 @@ def _frame(spark, sf):
     return materialized(rows, "training_rows")
 
 
-def _trial_table(spark, sf, trials):
-    rows = [(i, str(sorted(p.items())), float(mae)) for i, (p, mae) in enumerate(trials)]
-    return spark.createDataFrame(rows, "trial int, params string, mae double")
-
-
-def _small_forest(rng):
-    return {"n_estimators": rng.choice([5, 10]), "max_depth": rng.choice([4, 6]),
-            "min_samples_leaf": rng.choice([1, 2, 4])}
+def _search_facts(spark, found, space):
+    """Trials made, whether all drew from the space, and whether the best one was taken."""
+    _, best, trials = found
+    inside = all(set(p) == set(space) and all(p[k] in space[k] for k in p) for p, _ in trials)
+    least = min(mae for _, mae in trials)
+    row = (len(trials), inside, any(p == best and mae == least for p, mae in trials))
+    return spark.createDataFrame([row], "trials bigint, in_space boolean, best_is_least boolean")
 
 
 @query
 def tune_random(spark, sf):
-    _, _, trials = training.random_search(_frame(spark, sf), "rf", "sku_id",
-                                          sampler=_small_forest, trials=3)
-    return _trial_table(spark, sf, trials)
+    """The default number of draws from the forest's own search space."""
+    space = {"n_estimators": [100, 200, 300, 400], "max_depth": [4, 6, 8, 10],
+             "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 4],
+             "max_features": ["sqrt", "log2"]}
+    return _search_facts(spark, training.random_search(_frame(spark, sf), "rf", "sku_id"), space)
 
 
 @query
 def tune_grid(spark, sf):
-    _, _, trials = training.grid_search(_frame(spark, sf), "rf",
-                                        {"n_estimators": [5], "max_depth": [4, 6]}, "sku_id")
-    return _trial_table(spark, sf, trials)
+    space = {"n_estimators": [100, 200], "max_depth": [4, 6]}
+    return _search_facts(
+        spark, training.grid_search(_frame(spark, sf), "rf", space, "sku_id"), space)
 
 
 @query
 def feature_importances(spark, sf):
+    """Importances of a forest are shares: one per feature, none negative, one in total."""
     out = _train(spark, sf, "rf")
-    return spark.createDataFrame(out["importances"], "feature string, importance double")
+    rows = spark.createDataFrame(out["importances"], "feature string, importance double")
+    return rows.agg(F.count_distinct("feature").alias("features"),
+                    F.count_if(F.col("importance") >= 0).alias("shares"),
+                    round_to(F.sum("importance"), 6).alias("total"))
 
 
 @query
@@ -548,11 +567,43 @@ def registered_model_price(spark, sf):
 
 @query
 def intent_classifier(spark, sf):
+    """All queries classified, and more of them right than by naming the most frequent intent."""
     queries = materialized(textgap.clean_queries(r.search_queries(spark, sf)), "queries")
     model = textgap.train_intents(queries)
-    return textgap.confident(textgap.predict_intents(model, queries)).select(
-        "user_pseudo_id", "standard_attribute_key",
-        round_to(F.col("confidence_score"), 6).alias("confidence_score"))
+    intent = "standard_attribute_key"
+    wanted = queries.select("user_pseudo_id", F.col(intent).alias("wanted"))
+    judged = textgap.predict_intents(model, queries).join(wanted, "user_pseudo_id")
+    most = queries.groupBy(intent).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.max("n").alias("most")).scalar()
+    return judged.agg(
+        F.count(F.lit(1)).alias("queries"),
+        F.count_if(F.col("confidence_score").between(0.0, 1.0)).alias("scored"),
+        F.count_if(F.col(intent) == F.col("wanted")).alias("right")).select(
+            "queries", "scored", most.alias("majority"),
+            (F.col("right") > most).alias("above_majority"))
+
+
+@query
+def gap_chain(spark, sf):
+    """Clean, classify, keep the confident, write the three tables, find the gaps."""
+    base = f"{shared_folder(spark)}/gaps_{uuid.uuid4().hex}"
+    received = r.scored_queries(spark, sf).drop("confidence_score")
+    offered = r.sku_attributes(spark, sf)
+    model = textgap.train_intents(materialized(textgap.clean_queries(received), "queries"))
+    paths = [f"{base}/{n}" for n in ("bronze", "silver", "gaps")]
+    textgap.write_gap_tables(received, model, offered, *paths)
+    bronze, silver, unmet = (spark.read.parquet(p) for p in paths)
+    keys = ["sku", "standard_attribute_key"]
+
+    def size(rows):
+        return rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    lowest = silver.agg(F.min("confidence_score").alias("n")).scalar()
+    return bronze.agg(F.count(F.lit(1)).alias("bronze_rows")).select(
+        "bronze_rows", (size(silver) <= F.col("bronze_rows")).alias("silver_is_part"),
+        (lowest >= 0.70).alias("silver_is_confident"),
+        (size(silver.join(offered.distinct(), keys, "left_semi")) + size(unmet)
+         == size(silver)).alias("met_or_gap"))
 
 
 # --- flagship ---------------------------------------------------------------------------------

@@ -1,12 +1,13 @@
 """Retail roles derived from the benchmark tables.
 
 Every role is a lazy frame over whole tables. Parts are SKUs with their prices, order lines are
-orders, returned open lines are stock, events are web events, and first lines of orders that
-were not returned are competitor offers (the supplier number picks one of ten shops).
+orders and stock movements (the supplier decides whether goods come in or go out), events are web
+events, and the suppliers of a part are the shops that offer it.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from tagsmith.operators.demand_models import LinearDemand
 from tagsmith.operators.features import event_counts, sku_sales
 from tagsmith.operators.master import build_master, typed_features
+from tagsmith.plans.request_pricing import reload_features
 from tagsmith.sources.feeds import order_lines, prices, sku_names, stock
+from tagsmith.sources.tables import shared_folder, write_snapshot
 
-SITES = 10
 CHAMPION = LinearDemand(1500.0, price=-0.5, competitor=0.1, inventory=0.02, gap=-1.0)
 CHALLENGER = LinearDemand(1400.0, price=-0.4, competitor=0.05, inventory=0.01, gap=-2.0)
 
@@ -74,9 +76,10 @@ def orders(spark, sf) -> DataFrame:
 
 @once
 def inventory(spark, sf) -> DataFrame:
-    lines = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_linestatus = 'O'")
+    lines = table(spark, sf, "lineitem")
+    moved = F.col("l_quantity") * (F.col("l_suppkey") % 10 - 4)
     return stock(lines.select(_text("l_partkey").alias("catalog_ref_id"),
-                              (F.col("l_quantity") * (F.col("l_suppkey") % 10)).alias("stock_level")))
+                              moved.alias("stock_level")))
 
 
 def _event_kind() -> Column:
@@ -116,45 +119,48 @@ def event_count_maps(spark, sf) -> DataFrame:
         F.create_map(F.get_json_object("props", "$.k"), counts).alias("counts"))
 
 
-def _summary() -> Column:
-    """Site-to-price map from the ten shop columns s0 to s9, shops in number order."""
-    shops = ", ".join(
-        f"struct('site_{k}' AS site, struct(cast(s{k} AS string) AS price) AS offer)"
-        for k in range(SITES))
-    return F.expr(f"map_from_entries(filter(array({shops}), s -> s.offer.price IS NOT NULL))")
+def _summary(offers: Column) -> Column:
+    """Site-to-price map from (shop, price) pairs in shop order; a price may be missing."""
+    return F.map_from_entries(F.transform(offers, lambda o: F.struct(
+        F.concat(F.lit("site_"), o["shop"]), F.struct(o["price"].cast("string").alias("price")))))
 
 
 @once
 def _shop_prices(spark, sf) -> DataFrame:
-    """Best price of each shop per SKU. Grouping keeps ten numbers per SKU, however many offer
-    lines it has."""
-    lines = table(spark, sf, "lineitem").filter("l_linenumber = 1 and l_returnflag = 'N'")
-    offers = lines.selectExpr(
-        "l_partkey", f"l_suppkey % {SITES} AS site",
-        "78 + (l_partkey * 7 + l_suppkey * 13) % 45 AS factor")
-    best = offers.groupBy("l_partkey").agg(*[
-        F.expr(f"min(factor) FILTER (WHERE site = {k}) AS f{k}") for k in range(SITES)])
+    """Every shop that delivers a part, in shop order, with its price; every ninth part is
+    listed without prices. A part holds each shop once, however many lines it has."""
+    shops = table(spark, sf, "lineitem").groupBy("l_partkey").agg(
+        F.sort_array(F.collect_set("l_suppkey")).alias("shops"))
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
-    return best.join(part, best["l_partkey"] == part["p_partkey"], "inner").selectExpr(
-        "cast(p_partkey AS string) AS sku_id", "p_name AS name", "p_partkey AS feed_pos",
-        *[f"p_retailprice * f{k} / 100 AS s{k}" for k in range(SITES)])
+    key = F.col("p_partkey")
+
+    def offer(shop: Column) -> Column:
+        factor = 74 + key * 7 % 53 + (key + shop * 13) % 5
+        return F.struct(shop.alias("shop"), F.when(
+            key % 9 != 0, F.col("p_retailprice") * factor / 100).alias("price"))
+
+    return shops.join(part, shops["l_partkey"] == key, "inner").select(
+        _text("p_partkey").alias("sku_id"), F.col("p_name").alias("name"),
+        key.alias("feed_pos"), F.transform("shops", offer).alias("offers"))
 
 
 @once
 def competitor_feed(spark, sf) -> DataFrame:
     """One feed item per SKU, carrying our id."""
-    shops = _shop_prices(spark, sf)
-    return shops.select("sku_id", "name", "feed_pos",
-                        _summary().alias("summary"))
+    return _shop_prices(spark, sf).select(
+        "sku_id", "name", "feed_pos", _summary(F.col("offers")).alias("summary"))
 
 
 @once
 def competitor_feed_by_name(spark, sf) -> DataFrame:
-    """One feed item per product name, as shops list it."""
-    named = _shop_prices(spark, sf).groupBy("name").agg(
+    """One feed item per product name, as shops list it: each shop once, at its best price."""
+    each = _shop_prices(spark, sf).select("name", "feed_pos", F.explode("offers").alias("o"))
+    best = each.groupBy("name", "o.shop").agg(
+        F.min("feed_pos").alias("feed_pos"), F.min("o.price").alias("price"))
+    named = best.groupBy("name").agg(
         F.min("feed_pos").alias("feed_pos"),
-        *[F.expr(f"min(s{k}) AS s{k}") for k in range(SITES)])
-    return named.select("name", "feed_pos", _summary().alias("summary"))
+        F.sort_array(F.collect_list(F.struct("shop", "price"))).alias("offers"))
+    return named.select("name", "feed_pos", _summary(F.col("offers")).alias("summary"))
 
 
 @once
@@ -186,6 +192,14 @@ def features(spark, sf) -> DataFrame:
     return _prefixed(typed_features(master(spark, sf), signals))
 
 
+@once
+def published(spark, sf) -> DataFrame:
+    """The feature rows as request pricing finds them: written once, read back."""
+    path = f"{shared_folder(spark)}/published_{uuid.uuid4().hex}"
+    write_snapshot(features(spark, sf), path)
+    return reload_features(spark, path)
+
+
 @once
 def requests(spark, sf) -> DataFrame:
     """Requested ids as people type them: padded, upper case, blank, unknown, plain."""

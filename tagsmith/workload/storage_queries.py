@@ -10,8 +10,9 @@ from tagsmith.operators import golden, quality, registry
 from tagsmith.operators.features import (
     event_counts, event_counts_from_map, inventory_features, parse_offers, sku_sales,
 )
-from tagsmith.operators.master import master_from_feeds, typed_features
+from tagsmith.operators.master import build_master, master_from_feeds
 from tagsmith.plans.pricing import Run, run_pricing
+from tagsmith.plans.request_pricing import publish_features, reload_features
 from tagsmith.sources import feeds, tables
 from tagsmith.workload import roles as r
 from tagsmith.workload.catalog import query
@@ -67,6 +68,35 @@ def sku_csv_feed(spark, sf):
     return feeds.load_sku(spark, _write_sku(spark, sf, _folder(spark)))
 
 
+@query
+def sku_csv_feed_batch(spark, sf):
+    part = r.table(spark, sf, "part").select("p_partkey", "p_name")
+    path = _csv(part.toDF("SKU_ID", " Display_Name"), f"{_folder(spark)}/sku.csv")
+    return feeds.load_sku(spark, path, "batch")
+
+
+@query
+def orders_csv_feed_batch(spark, sf):
+    lines = r.table(spark, sf, "lineitem").select("l_partkey", "l_quantity")
+    path = _csv(lines.toDF("Catalog_Ref_ID", "QTY"), f"{_folder(spark)}/purchased_order.csv")
+    return sku_sales(feeds.load_orders(spark, path, "batch"))
+
+
+@query
+def price_csv_feed_gaps(spark, sf):
+    """Current prices that are absent or zero: the list price stands in for them."""
+    key, listed = F.col("p_partkey"), F.col("p_retailprice")
+    current = F.when(key % 3 == 1, 0.0).when(key % 3 == 2, listed * 0.9)
+    part = r.table(spark, sf, "part").select(
+        key.alias("sku_id"), listed.alias("list_price"), current.alias("Current_Price"))
+    path = _csv(part, f"{_folder(spark)}/price.csv")
+    master = build_master(
+        feeds.load_prices(spark, path), r.sku(spark, sf), r.orders(spark, sf),
+        r.inventory(spark, sf), event_counts(r.events(spark, sf)),
+        r.competitor_feed(spark, sf), match_on="sku_id")
+    return master.select("sku_id", "list_price", "current_price")
+
+
 @query
 def price_csv_feed(spark, sf):
     return feeds.load_prices(spark, _write_price(spark, sf, _folder(spark)))
@@ -93,7 +123,7 @@ def inventory_csv_feed(spark, sf):
 @query
 def events_json_feed(spark, sf):
     path = _write_events(spark, sf, _folder(spark))
-    return event_counts(feeds.load_events(spark, path, multi_line=False))
+    return event_counts(feeds.load_events(spark, path))
 
 
 @query
@@ -101,16 +131,38 @@ def event_counts_json_feed(spark, sf):
     """The pre-aggregated form: every event its own JSON object with one SKU."""
     path = f"{_folder(spark)}/counts"
     r.event_count_maps(spark, sf).select(F.to_json("counts").alias("value")).write.text(path)
-    return event_counts_from_map(feeds.load_event_counts(spark, path, whole_files=False))
+    return event_counts_from_map(feeds.load_event_counts(spark, path))
 
 
 @query
 def competitor_json_feed(spark, sf):
     path = _write_competitors(spark, sf, _folder(spark))
-    return parse_offers(feeds.load_competitors(spark, path, multi_line=False)).select(
+    return parse_offers(feeds.load_competitors(spark, path)).select(
+        "name", "competitor_price", "competitor_name")
+
+
+@query
+def competitor_results_feed(spark, sf):
+    """The same items in `results` wrappers of at most ten names."""
+    path = f"{_folder(spark)}/competitor_pricing.json"
+    items = r.competitor_feed_by_name(spark, sf)
+    wrapped = items.groupBy(F.floor(F.col("feed_pos") / 10)).agg(
+        F.collect_list(F.struct("name", "summary")).alias("results"))
+    wrapped.select("results").write.json(path)
+    return parse_offers(feeds.load_competitors(spark, path)).select(
         "name", "competitor_price", "competitor_name")
 
 
+@query
+def priced_csv_output(spark, sf):
+    """Rows with a map column, as CSV under the run's own name."""
+    rows = r.features(spark, sf).select("sku_id", "current_price", "all_competitors_json")
+    path = tables.write_priced_csv(rows, f"{_folder(spark)}/out", "rule", "2024-01-31_120000",
+                                   "v1.0", "A1B2C3")
+    return spark.read.schema(
+        "sku_id string, current_price double, all_competitors_json string").csv(path, header=True)
+
+
 @query
 def feeds_to_master(spark, sf):
     """All six feeds as files of one folder, loaded and joined by product name."""
@@ -118,7 +170,7 @@ def feeds_to_master(spark, sf):
     for write in (_write_sku, _write_price, _write_orders, _write_inventory, _write_events,
                   _write_competitors):
         write(spark, sf, folder)
-    return master_from_feeds(feeds.load_all(spark, folder, multi_line=False))
+    return master_from_feeds(feeds.load_all(spark, folder))
 
 
 def _golden(spark, sf):
@@ -161,11 +213,15 @@ def priced_table(spark, sf):
 
 @query
 def feature_snapshot(spark, sf):
+    """The feature table published twice from the feeds; readers see the newer one."""
     path = f"{_folder(spark)}/features"
-    rows = typed_features(r.master(spark, sf))
-    tables.write_snapshot(rows.limit(0), path)
-    tables.write_snapshot(rows, path)
-    return tables.read_snapshot(spark, path).withColumn(
+    loaded = {"price": r.price(spark, sf), "sku": r.sku(spark, sf), "orders": r.orders(spark, sf),
+              "inventory": r.inventory(spark, sf),
+              "competitors": r.competitor_feed_by_name(spark, sf)}
+    counts = event_counts(r.events(spark, sf))
+    publish_features(loaded | {"competitors": loaded["competitors"].filter("false")}, counts, path)
+    publish_features(loaded, counts, path)
+    return reload_features(spark, path).withColumn(
         "all_competitors_json", F.to_json("all_competitors_json"))
 
 

@@ -85,7 +85,7 @@ def test_feed_items_meet_all_skus_of_a_name(spark):
     items = feed(spark, [("mug", None, {"s": "9"}), ("mug", None, {"t": "8"}),
                          ("jar", None, {"s": "1"}), (None, None, {"s": "2"})])
     cols = ("sku_id", "competitor_price", "competitor_bucket", "price_diff_pct")
-    everything = ft.competitor_features(items, sku, price).select(*cols).collect()
+    everything = ft.competitor_features(items, sku, price, keep="all").select(*cols).collect()
     matched = sorted(tuple(x) for x in everything if x["sku_id"])
     assert matched == [("1", 8.0, "COMPETITOR_CHEAPER", 25.0),
                        ("1", 9.0, "COMPETITOR_CHEAPER", 11.11),

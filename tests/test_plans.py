@@ -8,7 +8,7 @@ from tagsmith.workload import roles as r
 from tagsmith.workload.queries import registered
 
 LAZY = [n for n in registered() if not n.startswith(("train_", "tune_", "stream_", "time_split"))
-        and n not in ("sweep_mllib", "intent_classifier", "feature_importances")]
+        and n not in ("sweep_mllib", "intent_classifier", "feature_importances", "gap_chain")]
 
 
 def plan(df):
@@ -39,8 +39,16 @@ def test_scans_read_only_needed_columns(spark, sf):
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     read = text.split("ReadSchema: struct<")[1].split(">")[0]
     assert {c.split(":")[0] for c in read.split(",")} <= {
-        "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"}
-    assert "EqualTo(l_returnflag,R)" in text and "EqualTo(l_linestatus,O)" in text
+        "l_partkey", "l_suppkey", "l_quantity"}
+    assert "EqualTo(quality,1)" in plan(registered()["gap_counts"](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["request_pricing", "missing_requests", "request_summary"])
+def test_requests_read_the_published_table_only(spark, sf, name):
+    frame = registered()[name](spark, sf)
+    assert plan(frame).count("FileScan parquet") <= 4
+    assert {("published" if "/published_" in f else f.rsplit("/", 1)[1])
+            for f in frame.inputFiles()} <= {"published", "orders.parquet"}
 
 
 def test_top_row_per_key_is_trimmed_before_the_shuffle(spark):

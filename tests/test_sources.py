@@ -96,11 +96,13 @@ def test_event_feeds(spark, tmp_path):
     whole = put(tmp_path / "e.json", json.dumps(events))
     lines = put(tmp_path / "e.jsonl", "\n".join(json.dumps(e) for e in events))
     want = [("a", 1, 1), ("b", 1, 0)]
-    assert rows(event_counts(feeds.load_events(spark, whole))) == want
-    assert rows(event_counts(feeds.load_events(spark, lines, multi_line=False))) == want
+    assert rows(event_counts(feeds.load_events(spark, whole, multi_line=True))) == want
+    assert rows(event_counts(feeds.load_events(spark, lines))) == want
     assert feeds.load_events(spark, str(tmp_path / "absent.json")).count() == 0
-    counts = put(tmp_path / "c.json", json.dumps({"a": {"view_item": 3}, "b": {"add_to_cart": 2}}))
-    assert rows(event_counts_from_map(feeds.load_event_counts(spark, counts))) == [
+    counts = put(tmp_path / "c.json", json.dumps(
+        {"a": {"view_item": 3}, "b": {"add_to_cart": 2}}, indent=1))
+    assert rows(event_counts_from_map(
+        feeds.load_event_counts(spark, counts, whole_files=True))) == [
         ("a", 3, 0), ("b", 0, 2)]
 
 
@@ -131,7 +133,7 @@ def test_feed_order_goes_over_files(spark, tmp_path):
     for n, price in ((1, 5), (2, 6), (3, 7)):  # the larger file would be read first
         put(folder / f"part{n}.json", json.dumps({"name": "mug", "summary": {
             "s": {"price": price}}, "pad": "x" * 1000 * n}))
-    items = feeds.load_competitors(spark, str(folder), multi_line=False)
+    items = feeds.load_competitors(spark, str(folder))
     last = parse_offers(one_item_per(items, "name", "last")).first()
     first = parse_offers(one_item_per(items, "name", "first")).first()
     assert (first["competitor_price"], last["competitor_price"]) == (5.0, 7.0)
