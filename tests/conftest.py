@@ -9,6 +9,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SMALL = "/root/testdata/sf0.001"
 
 
+def pytest_addoption(parser):
+    parser.addoption("--slow", action="store_true", help="also fit models for minutes")
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (

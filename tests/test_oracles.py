@@ -24,8 +24,14 @@ def test_every_twin_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
+#: Default sizes on any table: minutes of small jobs. Run with --slow.
+MINUTES = {"train_gbt", "tune_random", "tune_grid"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_rows_equal(spark, sf, duck, name):
+def test_rows_equal(spark, sf, duck, name, request):
+    if name in MINUTES and not request.config.getoption("--slow"):
+        pytest.skip("needs --slow")
     frame = QUERIES[name](spark, sf)
     columns = sorted(frame.columns)
     got = sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=repr)

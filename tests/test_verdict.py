@@ -5,8 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tagsmith.functions.numeric import exact_total
+from tagsmith.functions.numeric import exact_total, price_text
 from tagsmith.operators import evaluation, registry, training
+from tagsmith.operators.ordering import running_total
 
 
 def _versions(spark, *names):
@@ -47,3 +48,20 @@ def test_totals_survive_any_amount(spark):
 def test_unknown_parameters_are_an_error():
     with pytest.raises(ValueError, match="num_leaves"):
         training.make_estimator("lightgbm", {"num_leaves": 31})
+
+
+def test_prices_as_text_have_no_exponent(spark):
+    df = spark.createDataFrame([(15000000.0,), (12.5,), (9999999.994,), (123456789.126,), (0.01,), (None,)], "x double")
+    assert [r[0] for r in df.select(price_text(F.col("x"))).collect()] == [
+        "15000000.0", "12.5", "9999999.99", "123456789.13", "0.01", None]
+
+
+def test_running_total_over_many_ranges(spark):
+    """More ranges than one block of totals holds, and ranges without rows."""
+    df = spark.range(0, 3000, 1, 3).select((F.col("id") * 7 % 3000).alias("k"), (F.col("id") % 5).alias("n"))
+    got = sorted(running_total(df, "k", ["n"], parts=600).collect())
+    before = 0
+    for _, n, total in got:
+        assert total == before
+        before += n
+    assert len(got) == 3000
