@@ -6,27 +6,29 @@ bits than its entries cost to write down. Followers of a state are smoothed towa
 that aren't listed share the rest of the state's mass in the suffix's proportions. The empty context is the
 add-one unigram model, so every word has a probability, and every distribution adds up to one.
 
-N-grams are known by 64-bit hashes. Only those with a share of 1/MOST of all places can be followers; they
-are found where they are frequent within a block of text, then counted exactly over all training texts.
-Unigram counts cover every word; the rare ones meet their counts in a shuffled join.
+Words and n-grams are known by 64-bit hashes. All of them are counted: a task adds up its own, the sums meet by
+slices of the hashes, and only those sums are held against LEAST. States are found by grouped aggregates, order
+by order. For scoring, documents are dealt to blocks, which ask the slices for the n-grams they have; a filter
+of fixed size spares them most questions about n-grams that no state lists, and changes no result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tagsmith.llm.common import map_arrow, stored, text_key
+from tagsmith.llm.common import map_arrow, partitions, ship, stored
 
-#: Longest n-gram (context and follower); most followers of an order, and most words that are broadcast.
-ORDER, MOST = 4, 1 << 18
+#: Longest n-gram (context and follower); cells of 64 bits in the filter that is broadcast.
+ORDER, MOST = 4, 1 << 22
 #: A follower occurs so often at least; weight of the suffix in smoothing.
 LEAST, SMOOTHING = 2, 2.0
-KEPT, CHARS = 300_000, 4_000_000
+#: Characters that are hashed at once, of a block of documents, and for each slice of the hashes.
+CHARS, BLOCK_CHARS, SLICE_CHARS = 4_000_000, 16_000_000, 4_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _END = b" "  # no word holds a space, so this stands for the end of a text
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -126,86 +128,114 @@ def build(grams: dict[str, np.ndarray], order: np.ndarray, n: np.ndarray, contex
     return tree
 
 
-def _blocks(batches: Iterator[dict]) -> Iterator[tuple[list[int], list[list[bytes]], dict]]:
-    """(rows, their words, the batch), about CHARS characters at once."""
-    for b in batches:
-        at, texts, n = [], [], 0
-        for i, t in enumerate(b["text"]):
-            at.append(i), texts.append(words(t))
-            n += len(t or "")
-            if n > CHARS:
-                yield at, texts, b
-                at, texts, n = [], [], 0
-        if at:
-            yield at, texts, b
+def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(first row, words of the texts from there on), about CHARS characters at once."""
+    first, own, n = 0, [], 0
+    for i, t in enumerate(texts):
+        own.append(words(t))
+        n += len(t or "")
+        if n > CHARS or i == len(texts) - 1:
+            yield first, own
+            first, own, n = i + 1, [], 0
 
 
-def _counted(train: DataFrame, most: int) -> DataFrame:
-    """Exact counts of all words (token, n), and n-grams that are frequent within a block (ord, x1.., y1.., n)."""
+def _sliced(keys: np.ndarray, slices: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(slice, places of its keys) for each slice that has some."""
+    own = np.mod(keys, slices)
+    order = np.argsort(own, kind="stable")
+    found, first = np.unique(own[order], return_index=True)
+    for k, at in zip(found.tolist(), np.split(order, first[1:]), strict=False):
+        yield k, at
+
+
+def _column(table: pa.Table, name: str, kind: str = "<i8") -> np.ndarray:
+    """The packed arrays of a column, one behind the other."""
+    return np.frombuffer(b"".join(x for x in table[name].to_pylist() if x), kind)
+
+
+def _counted(train: DataFrame, slices: int) -> DataFrame:
+    """Exact counts of all words, and of all longer n-grams that occur LEAST times: ord, x, n, and the n-grams
+    without the first word (shorter) and without the last (y)."""
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
-        seen: Counter[bytes] = Counter()
+        for b in batches:
+            for _, texts in _blocks(b["text"]):
+                g = ngrams(texts)
+                for k in range(1, ORDER + 1):
+                    x, first, n = np.unique(g[f"x{k}"], return_index=True, return_counts=True)
+                    if k > 1 and len(none := np.flatnonzero(x == 0)):
+                        x, first, n = np.delete(x, none), np.delete(first, none), np.delete(n, none)
+                    shorter, y = (g[f"x{k - 1}"][first], g[f"y{k - 1}"][first]) if k > 1 else (x[:0], x[:0])
+                    rows: dict[str, list] = {c: [] for c in ("slice", "ord", "x", "shorter", "y", "n")}
+                    for own, at in _sliced(x, slices):
+                        packed = (x[at], shorter[at], y[at]) if k > 1 else (x[at], shorter, y)
+                        for c, v in zip(rows, (own, k, *(v.tobytes() for v in packed), n[at].astype("<i4").tobytes()), strict=True):
+                            rows[c].append(v)
+                    yield rows
 
-        def flush() -> dict:
-            none = [None] * len(seen)
-            return {"token": list(seen), "ord": none, "n": list(seen.values())} | dict.fromkeys(_COLUMNS, none)
+    def add(group: pa.Table) -> pa.Table:
+        out = []
+        for k in range(1, ORDER + 1):
+            own = group.filter(pa.array(group["ord"].to_numpy() == k))
+            x, n = _column(own, "x"), _column(own, "n", "<i4")
+            keys, first, row = np.unique(x, return_index=True, return_inverse=True)
+            total = np.bincount(row, n, len(keys)).astype(np.int64)
+            at = np.flatnonzero(total >= (LEAST if k > 1 else 1))
+            shorter, y = (_column(own, c)[first[at]] if k > 1 else np.zeros(len(at), np.int64) for c in ("shorter", "y"))
+            out.append(pa.table({"ord": np.full(len(at), k, np.int32), "x": keys[at], "shorter": shorter, "y": y, "n": total[at]}))
+        return pa.concat_tables(out)
 
-        for _, texts, _ in _blocks(batches):
-            for w in texts:
-                seen.update(w)
-            g = ngrams(texts)
-            for k in range(2, ORDER + 1):
-                key, first, n = np.unique(g[f"x{k}"], return_index=True, return_counts=True)
-                own = (n * most >= len(g["x1"])) & (n >= LEAST) & (key != 0)
-                rows = first[own]
-                yield {"token": [None] * len(rows), "ord": [k] * len(rows), "n": n[own]} | {c: g[c][rows] for c in _COLUMNS}
-            if len(seen) > KEPT:
-                yield flush()
-                seen.clear()
-        yield flush()
-
-    schema = "token binary, ord int, " + ", ".join(f"{c} bigint" for c in _COLUMNS) + ", n bigint"
-    key = F.when(F.col("ord").isNotNull(), F.element_at(F.array(*(f"x{k}" for k in range(1, ORDER + 1))), F.coalesce("ord", F.lit(1))))
-    rows = map_arrow(train, count, schema).withColumn("gram", key)
-    return stored(rows.groupBy("token", "ord", "gram").agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in _COLUMNS)), "counts")
-
-
-def fit(train: DataFrame, counts: DataFrame, total: int, unigrams: dict[int, float], most: int) -> SuffixTree:
-    """The tree from the candidates in `counts`, which a pass over `train` counts exactly.
-
-    unigrams: log10 by hash of every word that a candidate can end with; at most `most` for each order.
+    parts = map_arrow(train, count, "slice int, ord int, x binary, shorter binary, y binary, n binary")
+    return stored(parts.groupBy("slice").applyInArrow(add, "ord int, x bigint, shorter bigint, y bigint, n bigint"), "counts")
+
+
+def _entries(counts: DataFrame, places: int, bottom: float) -> DataFrame:
+    """The tree as rows: ord, h, log (of a word, or of an n-gram that a state lists) or rest (of a state).
+
+    A context is followed wherever it occurs, by the end if by nothing else, so its total is its own count; an
+    n-gram that occurs LEAST times has parts that do, so all joins find their row.
     """
-    chosen = counts.where(F.col("ord").isNotNull() & (F.col("n") * F.lit(most) >= F.lit(total))).select("ord", *_COLUMNS).toArrow()
-    order = chosen["ord"].to_numpy()
-    grams = {c: chosen[c].to_numpy() for c in _COLUMNS}
-    keys = {("x", k): np.unique(grams[f"x{k}"][order == k]) for k in range(2, ORDER + 1)}
-    keys |= {("y", k): np.unique(grams[f"y{k - 1}"][order == k]) for k in range(2, ORDER + 1)}
-    shared = train.sparkSession.sparkContext.broadcast(keys)
+    level = counts.where("ord = 1").select(F.col("x").alias("h"), "n", (F.log10(F.col("n") + 1) - bottom).alias("log"))
+    out = [level.select(F.lit(1).alias("ord"), "h", "log", F.lit(None).cast("double").alias("rest"))]
+    n, p, parent, total = F.col("n"), F.col("p"), F.col("parent"), F.col("total")
+    for k in range(2, ORDER + 1):
+        own = counts.where(F.col("ord") == k).select("x", "shorter", "y", "n")
+        own = own.join(level.select(F.col("h").alias("shorter"), F.col("log").alias("below")), "shorter")
+        own = own.join(level.select(F.col("h").alias("y"), n.alias("total")), "y").withColumn("parent", F.pow(F.lit(10.0), "below"))
+        own = own.withColumn("p", (n + SMOOTHING * parent) / (total + SMOOTHING))
+        states = own.groupBy("y").agg(
+            F.greatest(F.max("total") - F.sum("n"), F.lit(0)).alias("unlisted"), F.count("*").alias("listed"),
+            F.sum(n * F.log2(p / parent)).alias("gain"),
+            (F.greatest(1 - F.sum("p"), F.lit(1e-12)) / F.greatest(1 - F.sum("parent"), F.lit(1e-12))).alias("rest"))
+        cost = 0.5 * (F.col("listed") + 1) * float(np.log2(max(places, 2)))
+        kept = states.where(F.col("gain") + F.col("unlisted") * F.log2("rest") > cost).select("y", F.log10("rest").alias("rest"))
+        level = stored(own.join(kept, "y", "left").select(
+            F.col("x").alias("h"), "y", "n", F.when(F.col("rest").isNotNull(), F.log10("p")).otherwise(F.col("below")).alias("log"), "rest"), f"order-{k}")
+        listed = level.where("rest is not null")
+        out.append(listed.select(F.lit(k), "h", "log", F.lit(None).cast("double")))
+        out.append(listed.groupBy("y").agg(F.max("rest").alias("rest")).select(F.lit(k - 1), "y", F.lit(None).cast("double"), "rest"))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.union(more)
+    return stored(rows, "tree")
+
+
+def _filter(entries: DataFrame, cells: int) -> np.ndarray:
+    """Two bits in one of the cells for each hash."""
+    rows = entries.select(
+        F.pmod(F.shiftright("h", 12), F.lit(cells).cast("bigint")).alias("cell"),
+        F.expr("shiftleft(1L, cast(h & 63 as int)) | shiftleft(1L, cast(shiftright(h, 6) & 63 as int))").alias("bits"))
+    rows = rows.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(cells, np.int64)
+    out[rows["cell"].to_numpy()] = rows["bits"].to_numpy()
+    return out
 
-    def count(batches: Iterator[dict]) -> Iterator[dict]:
-        sums = {s: np.zeros(len(v), np.int64) for s, v in shared.value.items()}
-        for _, texts, _ in _blocks(batches):
-            g = ngrams(texts)
-            for (kind, k), own in shared.value.items():
-                found, at = _find(own, g[f"x{k}" if kind == "x" else f"y{k - 1}"])
-                sums[kind, k] += np.bincount(at[found], minlength=len(own))
-        for (kind, k), n in sums.items():
-            some = np.flatnonzero(n)
-            yield {"kind": [kind] * len(some), "ord": [k] * len(some), "at": some, "n": n[some]}
-
-    summed = map_arrow(train, count, "kind string, ord int, at bigint, n bigint").groupBy("kind", "ord", "at").agg(F.sum("n").alias("n")).toArrow()
-    kinds, orders = summed["kind"].to_numpy(zero_copy_only=False), summed["ord"].to_numpy()
-    n, context_n = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-    for kind, k in keys:
-        of = (kinds == kind) & (orders == k)
-        exact = np.zeros(len(keys[kind, k]), np.int64)
-        exact[summed["at"].to_numpy()[of]] = summed["n"].to_numpy()[of]
-        rows = np.flatnonzero(order == k)
-        at = np.searchsorted(keys[kind, k], grams[f"x{k}" if kind == "x" else f"y{k - 1}"][rows])
-        (n if kind == "x" else context_n)[rows] = exact[at] if len(exact) else 0
-    least = min(unigrams.values(), default=0.0)
-    unigram = np.array([unigrams.get(x, least) for x in grams["x1"].tolist()])
-    return build(grams, order, n, context_n, unigram, total)
+
+def _maybe(cells: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """False only where the hash isn't in the filter."""
+    one = np.int64(1)
+    bits = (one << (h & 63)) | (one << ((h >> 6) & 63))
+    return cells[np.mod(h >> 12, len(cells))] & bits == bits
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, most: int = MOST) -> DataFrame:
@@ -214,71 +244,91 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, most: int
     Documents with crc32(doc_id as text) mod `modulus` = `held` are held out; all others, those without an id
     too, are learned from, whole. Tokens are the words and one end, so a null or empty text has one token.
     base_score is the add-one unigram score, score the suffix tree's; both are log10. n_known counts tokens
-    that training has. Rows of one id are told apart by their text; rows equal in both come as often as in the
-    input. Without training documents both scores are 0 a token. Empty tables and further columns do no harm.
+    that training has. Equal rows come as often as in the input. Without training documents both scores are 0 a
+    token. `most` is the size of a filter and changes no result. Empty tables and further columns do no harm.
     """
     spark = docs.sparkSession
+    ship(spark)
     out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == held, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", out.alias("held_out"))
-    train = docs.where("not held_out").select("text")
-    counts = _counted(train, most)
-    tokens = counts.where("token is not null").select("token", "n")
-    total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    slices, blocks = (max(partitions(spark), -(-chars // size)) for size in (SLICE_CHARS, BLOCK_CHARS))
+    counts = _counted(docs.where("not held_out").select("text"), slices)
+    total, distinct = counts.where("ord = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bottom = float(np.log10(total + distinct + 1))
-    frequent = tokens.where(F.col("n") * F.lit(most) >= F.lit(total)).toArrow()
-    common = dict(zip(frequent["token"].to_pylist(), np.log10(frequent["n"].to_numpy() + 1.0).tolist(), strict=True))
-    by_hash = dict(zip(hashes(list(common)).view(np.int64).tolist(), (v - bottom for v in common.values()), strict=True))
-    shared = spark.sparkContext.broadcast((fit(train, counts, total, by_hash, most), common))
-    names = ("doc_id", "text_key", "held_out", "token", "times", "times_root", "part", "n_known", "n_tokens", "score")
-
-    def score(batches: Iterator[dict]) -> Iterator[dict]:
-        tree, logs = shared.value
-        for at, texts, b in _blocks(batches):
-            rows: dict[str, list] = {c: [] for c in names}
-
-            def add(*row: object, rows: dict = rows) -> None:
-                for c, v in zip(names, row, strict=True):
-                    rows[c].append(v)
+    entries = _entries(counts, total, bottom)
+    shared = spark.sparkContext.broadcast(_filter(entries, most))
 
-            log, root = tree.logs(ngrams(texts))
-            ends = np.cumsum([len(w) for w in texts])
-            sums = np.add.reduceat(np.where(root, log - bottom, log), np.r_[0, ends[:-1]])
-            for i, w, end, s in zip(at, texts, ends.tolist(), sums.tolist(), strict=True):
-                own = b["doc_id"][i], text_key(b["text"][i]), b["held_out"][i]
-                listed = np.flatnonzero(~root[end - len(w) : end]).tolist()
-                without = Counter(w[k] for k in listed) if listed else {}
-                part, n_known = 0.0, 0
-                for t, n in Counter(w).items():
-                    v = logs.get(t)
-                    m = n - without.get(t, 0) if without else n
-                    if v is None:
-                        add(*own, t, n, m, None, None, None, None)
-                    else:
-                        part += n * v
-                        s += m * v
-                        n_known += n
-                add(*own, None, None, None, part, n_known, len(w), s)
-                if len(rows["doc_id"]) > 50_000:
-                    yield rows
-                    for x in rows.values():
-                        x.clear()
-            yield rows
-
-    made = map_arrow(docs, score, (
-        "doc_id bigint, text_key bigint, held_out boolean, token binary, times bigint, times_root bigint, part double,"
-        " n_known bigint, n_tokens bigint, score double"))
-    # rows without a token get one that no word can be, so that they spread over the tasks
-    by = F.coalesce("token", F.concat(F.lit(b" "), F.unhex(F.hex(F.xxhash64("doc_id", "text_key")))))
-    rest = tokens.where(F.col("n") * F.lit(most) < F.lit(total)).select(F.col("token").alias("by"), F.col("n").alias("c"))
-    c, rare = F.coalesce("c", F.lit(0)), F.col("token").isNotNull()
-    summed = made.withColumn("by", by).join(rest, "by", "left").groupBy("doc_id", "text_key", "held_out").agg(
-        F.count("n_tokens").alias("copies"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(rare, F.col("times") * F.log10(c + 1)).otherwise(F.col("part"))).alias("part"),
-        F.sum(F.when(rare, F.col("times_root") * F.log10(c + 1)).otherwise(F.col("score"))).alias("score"),
-        F.sum(F.when(rare, F.when(c > 0, F.col("times")).otherwise(0)).otherwise(F.col("n_known"))).alias("n_known"))
-    copies = F.col("copies")
-    return summed.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") / copies).cast("bigint").alias("n_known"),
-        F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("part") / copies - F.col("n_tokens") * F.lit(bottom)).alias("base_score"), (F.col("score") / copies).alias("score"),
-        F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy")).drop("copy")
+    def ask(group: pa.Table) -> pa.Table:
+        block, rows = group["block"][0].as_py(), {c: [] for c in ("slice", "ord", "h")}
+        asked: dict[int, list[np.ndarray]] = {k: [] for k in range(1, ORDER + 1)}
+        for _, texts in _blocks(group["text"].to_pylist()):
+            g = ngrams(texts)
+            for k, own in asked.items():
+                x = np.unique(g[f"x{k}"])
+                own.append(x[_maybe(shared.value, x)])
+        for k, own in asked.items():
+            x = np.unique(np.concatenate(own))
+            for s, at in _sliced(x, slices):
+                for c, v in zip(rows, (s, k, x[at].tobytes()), strict=True):
+                    rows[c].append(v)
+        n = len(rows["slice"])
+        return pa.table({"slice": pa.array(rows["slice"], pa.int32()), "asker": pa.array([block] * n, pa.int32()),
+                         "ord": pa.array(rows["ord"], pa.int32()), "h": pa.array(rows["h"], pa.binary())})
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        order, h = known["ord"].to_numpy(), known["h"].to_numpy()
+        tables = {}
+        for k in range(1, ORDER + 1):
+            for c in ("log", "rest"):
+                v = known[c].to_numpy()
+                at = np.flatnonzero((order == k) & ~np.isnan(v))
+                at = at[np.argsort(h[at])]
+                tables[k, c] = h[at], v[at]
+        rows: dict[str, list] = {c: [] for c in ("asker", "ord", "h", "log", "rest")}
+        for block, k, x in zip(asked["asker"].to_pylist(), asked["ord"].to_pylist(), asked["h"].to_pylist(), strict=True):
+            x, values = np.frombuffer(x, "<i8"), []
+            for c in ("log", "rest"):
+                found, at = _find(tables[k, c][0], x)
+                values.append(np.where(found, tables[k, c][1][at], np.nan) if len(tables[k, c][0]) else np.full(len(x), np.nan))
+            some = ~(np.isnan(values[0]) & np.isnan(values[1]))
+            for c, v in zip(rows, (block, k, x[some].tobytes(), *(v[some].tobytes() for v in values)), strict=True):
+                rows[c].append(v)
+        return pa.table({c: pa.array(v, pa.int32() if c in ("asker", "ord") else pa.binary()) for c, v in rows.items()})
+
+    def score(group: pa.Table, answers: pa.Table) -> pa.Table:
+        tables = {}
+        for k in range(1, ORDER + 1):
+            own = answers.filter(pa.array(answers["ord"].to_numpy() == k))
+            h = _column(own, "h")
+            order = np.argsort(h)
+            for c in ("log", "rest"):
+                v = _column(own, c, "<f8")[order]
+                some = ~np.isnan(v)
+                tables[k, c] = h[order][some], v[some]
+        known, logs = tables[1, "log"]
+        tree = SuffixTree([Level(*tables[k - 1, "rest"], *tables[k, "log"]) for k in range(2, ORDER + 1)])
+        sums: dict[str, list[np.ndarray]] = {c: [np.zeros(0)] for c in ("n_tokens", "n_known", "base_score", "score")}
+        for _, texts in _blocks(group["text"].to_pylist()):
+            g = ngrams(texts)
+            sizes = np.array([len(w) for w in texts])
+            found, at = _find(known, g["x1"])
+            word = np.where(found, logs[at], -bottom) if len(known) else np.full(len(found), -bottom)
+            log, root = tree.logs(g)
+            begins = np.cumsum(sizes) - sizes
+            for c, v in (("n_known", found.astype(np.int64)), ("base_score", word), ("score", np.where(root, log + word, log))):
+                sums[c].append(np.add.reduceat(v, begins))
+            sums["n_tokens"].append(sizes)
+        made = {c: np.concatenate(v) for c, v in sums.items()}
+        return pa.table({
+            "doc_id": group["doc_id"], "held_out": group["held_out"], "n_tokens": made["n_tokens"].astype(np.int64),
+            "n_known": made["n_known"].astype(np.int64), "train_tokens": np.full(group.num_rows, total, np.int64),
+            "base_score": made["base_score"], "score": made["score"]})
+
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    asked = dealt.groupBy("block").applyInArrow(ask, "slice int, asker int, ord int, h binary")
+    sliced = entries.withColumn("slice", F.pmod("h", F.lit(slices).cast("bigint")).cast("int"))
+    answers = asked.groupBy("slice").cogroup(sliced.groupBy("slice")).applyInArrow(
+        answer, "asker int, ord int, h binary, log binary, rest binary")
+    return dealt.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(score, (
+        "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"))

@@ -194,6 +194,43 @@ def test_language_model(spark):
     assert sum(r["score"] for r in out) > 0.6 * sum(r["base_score"] for r in out)
 
 
+@pytest.mark.parametrize(("parts", "most"), [(1, 1 << 10)])
+def test_language_model_counts_all_ngrams(spark, monkeypatch, parts, most):
+    """Equals the tree built in one piece, also where an n-gram occurs once in each partition and is a small share of all."""
+    monkeypatch.setattr(suffix_tree, "SLICE_CHARS", 5_000)
+    rng = random.Random(5)
+    texts = []
+    for i in range(160):
+        w = rng.choices(range(5), k=3)  # the next word depends on the two before it, or on the three
+        while len(w) < 40:
+            w.append((sum(w[-2 - i % 2 :]) + (rng.random() < 0.1)) % 5)
+        texts.append(" ".join([*("abcde"[x] for x in w), *(["rare passage of words"] if i % 4 == 0 else []), f"only{i}"]))
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(160)]
+    train = [suffix_tree.words(t) for t, h in zip(texts, held) if not h]
+    g = suffix_tree.ngrams(train)
+    count = Counter(w for t in train for w in t)
+    total = sum(count.values())
+    log = lambda w: math.log10((count[w] + 1) / (total + len(count) + 1))
+    flat = [w for t in train for w in t]
+    cols, order, n, context, unigram = {c: [] for c in suffix_tree._COLUMNS}, [], [], [], []
+    for k in (2, 3, 4):
+        y, yn = np.unique(g[f"y{k - 1}"], return_counts=True)
+        for key, at, m in zip(*np.unique(g[f"x{k}"], return_index=True, return_counts=True)):
+            if key:
+                order.append(k), n.append(m), unigram.append(log(flat[at])), context.append(yn[np.searchsorted(y, g[f"y{k - 1}"][at])])
+                for c in cols:
+                    cols[c].append(g[c][at])
+    tree = suffix_tree.build({c: np.array(v) for c, v in cols.items()}, np.array(order), np.array(n), np.array(context), np.array(unigram), total)
+    assert all(len(x.states) for x in tree.levels)
+    want = {}
+    for i, t in enumerate(texts):
+        logs, root = tree.logs(suffix_tree.ngrams([suffix_tree.words(t)]))
+        want[i] = logs.sum() + sum(log(w) for w, r in zip(suffix_tree.words(t), root) if r)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").repartition(parts)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(docs, most=most).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 def test_states_add_up_to_one():
     texts = [suffix_tree.words(t) for t in ["a b a b a b c"] * 30 + ["b a c"] * 9]
     g = suffix_tree.ngrams(texts)
