@@ -194,7 +194,7 @@ def test_language_model(spark):
     assert sum(r["score"] for r in out) > 0.6 * sum(r["base_score"] for r in out)
 
 
-@pytest.mark.parametrize(("parts", "most"), [(1, 1 << 10)])
+@pytest.mark.parametrize(("parts", "most"), [(1, 1 << 10), (40, 1)])
 def test_language_model_counts_all_ngrams(spark, monkeypatch, parts, most):
     """Equals the tree built in one piece, also where an n-gram occurs once in each partition and is a small share of all."""
     monkeypatch.setattr(suffix_tree, "SLICE_CHARS", 5_000)
