@@ -153,18 +153,23 @@ def _with_matches(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[D
             "struct<n_words:bigint,spans:array<struct<a:int,b:int>>,item_ids:array<string>,"
             "matches:array<struct<item_id:string,item_pos:int,doc_pos:int,n_words:int>>>")
         out = add_columns(out, ["text"], lambda side=side, name=name: lambda b: {name: _search(b["text"], side.value)}, f"`{name}` {kind}")
-    def joined(part: str) -> Column:
-        return F.flatten(F.array(*(F.col(f"{n}.{part}") for n in names)))
+    if len(names) > 1:
+        name = fresh(out, "merged")
+        out = add_columns(out, names, lambda names=names, name=name: lambda b: {name: [_merged(x) for x in zip(*(b[n] for n in names), strict=True)]}, f"`{name}` {kind}")
+        names = [name]
+
+    def part(name: str) -> Column:
+        return F.col(f"{names[0]}.{name}")
 
     covered = F.aggregate(
-        F.array_sort(joined("spans")), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
+        F.array_sort(part("spans")), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda s, x: F.struct(
             F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("n")),
         lambda s: s["n"].cast("bigint"))
     name = fresh(docs, "found")
     return out.select(*docs.columns, F.struct(
-        F.col(f"{names[0]}.n_words").alias("n_words"), covered.alias("n_hit"),
-        F.array_sort(joined("item_ids")).alias("item_ids"), joined("matches").alias("matches")).alias(name)), name
+        part("n_words").alias("n_words"), covered.alias("n_hit"),
+        F.array_sort(part("item_ids")).alias("item_ids"), part("matches").alias("matches")).alias(name)), name
 
 
 def _search(texts: list, side: Suffixes) -> list[dict]:
@@ -202,12 +207,25 @@ def _shard(ids: list[np.ndarray], side: Suffixes) -> list[dict]:
     order = np.lexsort((place, pos, -length, item, doc))
     first = np.ones(order.size, bool)
     first[1:] = (doc[order[1:]] != doc[order[:-1]]) | (item[order[1:]] != item[order[:-1]])
-    seen: set[tuple[int, str]] = set()
     for k in order[first].tolist():
         d = int(doc[k])
         for i in side.ids[int(item[k])]:
-            if (d, i) not in seen:
-                seen.add((d, i))
-                out[d]["item_ids"].append(i)
-                out[d]["matches"].append({"item_id": i, "item_pos": int(pos[k]), "doc_pos": int(place[k] - begins[d]), "n_words": int(length[k])})
+            out[d]["matches"].append({"item_id": i, "item_pos": int(pos[k]), "doc_pos": int(place[k] - begins[d]), "n_words": int(length[k])})
+    for x in out:
+        if x["matches"]:
+            x["matches"] = _longest(x["matches"])
+            x["item_ids"] = [m["item_id"] for m in x["matches"]]
     return out
+
+
+def _longest(matches: list[dict]) -> list[dict]:
+    """The longest match of each item id, the first of equally long ones; by item id."""
+    rank = lambda m: (m["item_id"], -m["n_words"], m["item_pos"], m["doc_pos"])
+    return list({m["item_id"]: m for m in sorted(matches, key=rank, reverse=True)}.values())[::-1]
+
+
+def _merged(found: list[dict]) -> dict:
+    """What several blocks of the benchmark found in one document; rows of an item id may lie in any of them."""
+    matches = _longest([m for x in found for m in x["matches"]])
+    return {"n_words": found[0]["n_words"], "spans": [a for x in found for a in x["spans"]],
+            "item_ids": [m["item_id"] for m in matches], "matches": matches}

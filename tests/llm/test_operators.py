@@ -106,6 +106,18 @@ def test_decontamination(spark, monkeypatch, block):
     assert left.columns == docs.columns and left.count() == sum(n for k, n in want.items() if k[2] == 0)
 
 
+@pytest.mark.parametrize("block", [4_000_000, 10])
+def test_decontamination_counts_an_item_of_several_rows_once(spark, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    texts = [" ".join(f"w{k}x{j}" for j in range(4 + k)) for k in range(6)]
+    docs = spark.createDataFrame([(1, " and ".join(texts)), (2, texts[0]), (3, "none")], "doc_id bigint, text string")
+    items = spark.createDataFrame([*((7, t) for t in texts), (8, texts[5])], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontamination.find_matches(docs, items, 4).collect()}
+    assert [got[k]["item_ids"] for k in (1, 2, 3)] == [["7", "8"], ["7"], []]
+    assert [(m["item_id"], m["n_words"]) for m in got[1]["matches"]] == [("7", 9), ("8", 9)]
+    assert [got[k]["n_hit"] for k in (1, 2, 3)] == [sum(map(len, map(str.split, texts))), 4, 0]
+
+
 def test_license_scan(spark):
     one = "Released under the MIT License."
     texts = [None, "", "short", one, f"{'w ' * 200}{one.upper()} tail", "released under the license", "Licensed under CC BY-NC 4.0.", licenses.TEMPLATES[1][1][:-9]]
