@@ -50,7 +50,16 @@ _PATTERNS = {
 }
 _FIND = re.compile("|".join(f"(?P<{k}_>{p})" for k, p in _PATTERNS.items()))
 _HINT = re.compile(r"\d|@|AKIA|ASIA|[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{12}")
-_NAME = re.compile(rf"(?<!\w)(?P<first>[{_UP}][{_LOW}]+|[{_UP}]{{3,}})(?P<gap> )(?P<last>[{_UP}][{_LOW}]{{2,}}|[{_UP}]{{3,}})(?!\w)")
+_FIRST = "|".join(sorted((re.escape(x) for n in _BY_NAME for x in (n, n.upper())), key=len, reverse=True))
+_GIVEN = rf"(?:{_FIRST})(?:-[{_UP}][{_UP}{_LOW}]+)*"
+_SURNAME = rf"(?:[{_UP}]['’])?[{_UP}][{_UP}{_LOW}]+(?:(?!['’][sS](?!\w))['’-][{_UP}][{_UP}{_LOW}]*)*"
+_PARTICLES = "(?:(?:von|van|de|der|den|del|della|di|da|dos|du|la|le) ){0,3}"
+_NO_SURNAME = "And|As|At|But|By|For|From|Had|Has|He|In|Is|It|Of|On|Or|Said|She|The|They|To|Was|We|Who|Will|With|You"
+# anchored at a listed first name, so a capitalised word before it doesn't hide it
+_NAME = re.compile(
+    rf"(?<!\w)(?P<given>{_GIVEN}(?: (?:{_GIVEN}|[{_UP}]\.))*) (?P<particles>{_PARTICLES})(?!(?:{_NO_SURNAME})(?!\w))(?P<last>{_SURNAME})(?!\w)")
+_WORD = re.compile(rf"[{_UP}{_LOW}]+")
+_SIGNS = re.compile(rb"\xe2\x80.|\xc2[\xa0-\xbf]", re.DOTALL)
 _LETTERS = bytes(c if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _NAME_BYTES = frozenset(x.encode() for n in _BY_NAME for x in (n, n.upper()))
 
@@ -120,7 +129,7 @@ def normal(kind: str, text: str) -> str | None:
         d = "".join(map(str, _digits(text)))
         return (d[-10:] if len(d) >= 10 else d) if 8 <= len(d) <= 15 else None
     if kind == "name":
-        return text.title() if text.split(" ")[0].title() in _BY_NAME else None
+        return text.title() if _NAME.fullmatch(text) else None
     return text.lower() if kind == "email" else text
 
 
@@ -160,11 +169,36 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
         return _text(text, key, kind, hexadecimal=re.fullmatch("[0-9a-f]+", text) is not None)
     if kind == "key":
         return text[:4] + _text(text[4:], key, kind)
-    first, last = text.split(" ")
-    group, at = _BY_NAME[first.title()]
+    m = _NAME.fullmatch(text)
+    script = _script(m)
+    given = _WORD.sub(lambda w: _given(w.group(), key, script), m["given"])
+    return f"{given} {m['particles']}{_text(m['last'], key, f'last|{script}')}"
+
+
+def _script(m: re.Match) -> str:
+    return _BY_NAME[_WORD.match(m["given"]).group().title()][0][0]
+
+
+def _given(word: str, key: bytes, script: str) -> str:
+    """The surrogate of a given name or an initial."""
+    if word.title() not in _BY_NAME:
+        return _text(word, key, f"last|{script}")
+    group, at = _BY_NAME[word.title()]
     names = FIRST_NAMES[group]
     new = names[permute([at], [len(names)], key, f"first|{group}")[0]]
-    return f"{new.upper() if first.isupper() else new} {_text(last, key, f'last|{group[0]}')}"
+    return new.upper() if word.isupper() else new
+
+
+def _alone(names: list[str]) -> dict[str, tuple[bool, str]]:
+    """(is a given name, script) of the words that stand for one of these full names when alone."""
+    out: dict[str, tuple[bool, str]] = {}
+    for m in map(_NAME.fullmatch, names):
+        out.setdefault(m["last"].lower(), (False, _script(m)))
+    for m in map(_NAME.fullmatch, names):
+        for w in _WORD.findall(m["given"]):
+            if len(w) > 1:
+                out[w.lower()] = (True, _script(m))
+    return out
 
 
 def entities(text: str | None) -> list[tuple[int, int, str]]:
@@ -178,23 +212,47 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
             span = m.span("secret") if kind == "secret" else m.span()
             if normal(kind, text[slice(*span)]) is not None:
                 out.append((*span, kind))
-    if not _NAME_BYTES.isdisjoint(text.encode().translate(_LETTERS).split()):
-        taken = [(a, b) for a, b, _ in out]
-        for m in _NAME.finditer(text):
-            if normal("name", m.group()) and not any(a < m.end() and m.start() < b for a, b in taken):
-                out.append((*m.span(), "name"))
+    if not _NAME_BYTES.isdisjoint(_SIGNS.sub(b" ", text.encode()).translate(_LETTERS).split()):
+        names = _free(_NAME, text, out)
+        if names:
+            out += [(*span, "name") for span in names]
+            words = _alone([text[slice(*span)] for span in names])
+            mentioned = {text[slice(*m.span())] for m in re.finditer(_SURNAME, text) if m.group().lower() in words}
+            mentioned |= {x for w in words for x in (w.title(), w.upper()) if x.lower() in words}
+            one = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, mentioned), key=len, reverse=True))})(?!\w)")
+            out += [(*span, "name") for span in _free(one, text, out)]
         out.sort()
     return out
 
 
+def _free(pattern: re.Pattern, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Spans of the pattern that no other entity overlaps."""
+    taken, k, out = sorted(taken), 0, []
+    for m in pattern.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or taken[k][0] >= m.end():
+            out.append(m.span())
+    return out
+
+
 def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, str, str]]]:
-    """The text with surrogates, and (kind, entity, surrogate) of each mention."""
+    """The text with surrogates, and (kind, entity, surrogate) of each mention.
+
+    A part of a full name that stands alone elsewhere in the text gets the surrogate it has in the full name.
+    """
     found = entities(text)
     if not found:
         return text, []
+    words = _alone([text[a:b] for a, b, kind in found if kind == "name" and " " in text[a:b]])
     parts, done, pairs = [], 0, []
     for a, b, kind in found:
-        pairs.append((kind, text[a:b], new := surrogate(kind, text[a:b], key)))
+        if kind == "name" and " " not in text[a:b]:
+            given, script = words[text[a:b].lower()]
+            new = _given(text[a:b], key, script) if given else _text(text[a:b], key, f"last|{script}")
+        else:
+            new = surrogate(kind, text[a:b], key)
+        pairs.append((kind, text[a:b], new))
         parts += [text[done:a], new]
         done = b
     return "".join([*parts, text[done:]]), pairs

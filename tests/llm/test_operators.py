@@ -287,6 +287,26 @@ def test_surrogates():
     assert pii.replace(None, key) == (None, []) and pii.replace("", key) == ("", [])
 
 
+@pytest.mark.parametrize("name", [
+    "Anna Smith", "John McDonald", "Mary O'Brien", "John Michael Smith", "Jean-Pierre Dupont", "Anna Smith-Jones", "ANNA SMITH",
+    "John F. Kennedy", "Peter van der Berg", "Laura Li", "Анна Петрова", "Anna-Lena Vogt", "Julia O’Neill-Page"])
+@pytest.mark.parametrize("before", ["Dear ", "Call ", "By ", "", "“", "New York "])
+def test_names_behind_any_word(name, before):
+    new, pairs = pii.replace(f"{before}{name}'s answer", b"k" * 32)
+    assert [(k, e) for k, e, _ in pairs] == [("name", name)] and new == f"{before}{pairs[0][2]}'s answer"
+    assert pii.normal("name", pairs[0][2]) and not set(re.findall(r"\w{3,}", name)) - {"van", "der"} & set(re.findall(r"\w+", new))
+
+
+def test_parts_of_a_name_keep_their_surrogates():
+    text = "McDonald called. John McDonald and Dear Anna Smith met; Smith's car, SMITH, Anna, John and mcdonald farms. The Smithson, Hannah, Berlin"
+    new, pairs = pii.replace(text, b"k" * 32)
+    to = {e: s for _, e, s in pairs}
+    assert [e for _, e, _ in pairs] == ["McDonald", "John McDonald", "Anna Smith", "Smith", "SMITH", "Anna", "John"]
+    assert to["John McDonald"] == f"{to['John']} {to['McDonald']}" and to["Anna Smith"] == f"{to['Anna']} {to['Smith']}"
+    assert to["SMITH"] == to["Smith"].upper() and new.endswith("and mcdonald farms. The Smithson, Hannah, Berlin")
+    assert pii.entities("Anna The dog. The Smith house") == []
+
+
 def test_permutations_are_one_to_one():
     for radices in ([10], [10, 10], [7, 10, 3], [256, 4]):
         every = [[]]
