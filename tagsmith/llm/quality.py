@@ -157,8 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     def make() -> Callable:
         return lambda b: dict(zip(("f0", "f1"), (x.tolist() for x in _features(b)), strict=True))
 
-    made = add_columns(rows, ["text", "lang", "source", "n_chars"], make, "f0 array<double>, f1 array<double>").select("_id", "_y", "f0", "f1")
-    got = sorted({r["_id"]: r for r in made.collect()}.items())
+    made = add_columns(rows, ["text", "lang", "source", "n_chars"], make, "f0 array<double>, f1 array<double>")
+    # one row of each id, the same whatever the order of the rows; so the limits bound what is collected
+    rank = F.struct(F.xxhash64("text"), "lang", "source", "n_chars")
+    made = made.groupBy("_id").agg(F.min_by(F.struct("_y", "f0", "f1"), rank).alias("row")).select("_id", "row.*")
+    got = sorted((r["_id"], r) for r in made.collect())
     known_rows, pool_rows = [r for _, r in got if r["_y"] is not None], [r for _, r in got if r["_y"] is None]
     if not known_rows:
         return None

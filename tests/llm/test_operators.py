@@ -337,6 +337,16 @@ def test_quality_on_held_out_labels(spark):
     assert quality.fit(docs.where("false"), labels) is None
 
 
+def test_quality_fit_takes_the_same_row_of_an_id(spark):
+    text = lambda k, v: f"The river {v}, and the {'tree' * (k % 7)} in it." if (k + v) % 3 else "BUY!! NOW!! " * (1 + v + k % 5)
+    rows = [(k, text(k, v), "en", f"s{v}", 10 * v) for k in range(120) for v in range(3)]
+    labels = spark.createDataFrame([(k, int(k % 3 != 0)) for k in range(80)], "doc_id bigint, quality int")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    one, two = (quality.fit(spark.createDataFrame(x, schema).coalesce(1), labels) for x in (rows, rows[::-1]))
+    features = quality._features({"text": [r[1] for r in rows], "lang": ["en"] * 360, "source": [r[3] for r in rows], "n_chars": [r[4] for r in rows]})
+    assert all(np.array_equal(x, y) for x, y in zip(one.score(features), two.score(features)))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
