@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagsmith.llm import ann, bpe, decontamination, licenses, ngram_join, pii, quality, suffix_tree, token_counts, urls
+from tagsmith.llm import ann, bpe, decontamination, licenses, ngram_join, pii, quality, suffix_tree, token_counts, token_files, urls
 from tagsmith.llm.oracles import oracle_sql  # noqa: F401 (the entry reads it here)
 
 #: Whoever runs this on real data passes a secret of their own to `pii.pseudonymised`.
@@ -81,6 +81,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("soft_terms", F.array_join("soft_terms", ","))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(read(spark, sf_dir, "documents"), vocabulary())
+    return token_files.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -93,4 +98,5 @@ def registered() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_url_filter": op10_url_filter,
+        "op13_token_files": op13_token_files,
     }
