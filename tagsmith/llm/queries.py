@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagsmith.llm import ann, bpe, decontamination, licenses, ngram_join, pii, quality, suffix_tree, token_counts, token_files, urls
+from tagsmith.llm import ann, bpe, decontamination, licenses, ngram_join, periodic_runs, pii, quality, suffix_tree, token_counts, token_files, urls
 from tagsmith.llm.oracles import oracle_sql  # noqa: F401 (the entry reads it here)
 
 #: Whoever runs this on real data passes a secret of their own to `pii.pseudonymised`.
@@ -81,6 +82,31 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("soft_terms", F.array_join("soft_terms", ","))
 
 
+def with_planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Words that repeat periodically from some place on, in one of ten documents; a null id changes nothing."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(read(spark, sf_dir, "documents"), with_planted_period)
+    order = F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("up"), (-r["period"]).alias("low"), r["start"], r["period"]))
+    best = F.array_max(order)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = found.select(
+        "doc_id", "n_words", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return out.select(
+        "doc_id", "n_runs", F.col("best.start"), F.col("best.length"), F.col("best.period"),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write(read(spark, sf_dir, "documents"), vocabulary())
     return token_files.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -98,5 +124,6 @@ def registered() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_url_filter": op10_url_filter,
+        "op12_periodic_runs": op12_periodic_runs,
         "op13_token_files": op13_token_files,
     }
