@@ -56,9 +56,36 @@ SELECT doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, coalesce(component, d
 FROM s LEFT JOIN known ON s.grams = known.grams"""
 
 
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_TEXT}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+g AS (
+  SELECT lang, k, unnest([array_to_string(w[x:x + k - 1], ' ') FOR x IN range(1, len(w) - k + 2)]) AS phrase
+  FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY lang, phrase, k),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, cut, l.f AS l, r.f AS r, n,
+    CAST((CAST(1000 AS HUGEINT) * cuts.a * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts JOIN n USING (lang)
+  JOIN f AS l ON l.lang = cuts.lang AND l.phrase = array_to_string(w[1:cut], ' ') AND l.k = cut
+  JOIN f AS r ON r.lang = cuts.lang AND r.phrase = array_to_string(w[cut + 1:], ' ') AND r.k = cuts.k - cut),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[x:x + m - 1], ' ') AS phrase, max(a) AS around
+  FROM (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS x FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE around IS NULL OR 100 * around < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": DECONTAMINATION,
         "op5_ngram_jaccard_join": NGRAM_JOIN,
+        "op11_collocations": COLLOCATIONS,
         "op10_url_filter": urls.oracle_sql(),
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagsmith.llm import ann, bpe, decontamination, licenses, ngram_join, periodic_runs, pii, quality, suffix_tree, token_counts, token_files, urls
+from tagsmith.llm import ann, bpe, collocations, decontamination, licenses, ngram_join, periodic_runs, pii, quality, suffix_tree, token_counts, token_files, urls
 from tagsmith.llm.oracles import oracle_sql  # noqa: F401 (the entry reads it here)
 
 #: Whoever runs this on real data passes a secret of their own to `pii.pseudonymised`.
@@ -82,6 +82,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("soft_terms", F.array_join("soft_terms", ","))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def with_planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """Words that repeat periodically from some place on, in one of ten documents; a null id changes nothing."""
     h, n = zlib.crc32(str(doc_id).encode()), len(words)
@@ -124,6 +128,7 @@ def registered() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_url_filter": op10_url_filter,
+        "op11_collocations": op11_collocations,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_token_files": op13_token_files,
     }
