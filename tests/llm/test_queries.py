@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert [re.match(r"op(\d+)_", n)[1] for n in queries.registered()] == [str(n) for n in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in queries.registered()] == [str(n) for n in range(1, 14)]
     assert [s[0] for s in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
 
 
