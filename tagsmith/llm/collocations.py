@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tagsmith.llm.common import map_arrow, partitions, stored
 
-#: Bytes of text that a task takes at once; entries it adds up before they are sent; bytes of text for each slice.
-BYTES, ENTRIES, SLICE_BYTES = 4_000_000, 1 << 22, 1 << 26
+#: Bytes of text that a task takes at once; entries and phrases it adds up before they are sent; bytes of text for each slice.
+BYTES, ENTRIES, PHRASES, SLICE_BYTES = 4_000_000, 1 << 21, 1 << 19, 1 << 26
 #: Bits of an n-gram's hash that are sent, of them those that tell slices apart, and those that a bitmap has a place for.
 HASH_BITS, SLICE_BITS, MAP_BITS = 40, 20, 27
 #: Longest phrase, in words.
@@ -292,21 +292,29 @@ def phrase_counts(docs: DataFrame, threshold: int = 100, longest: int = LONGEST)
     rest = _survivors(docs, threshold, pairs, longest) if longest > 2 else bytes(1 << MAP_BITS - 3)
     sent = spark.sparkContext.broadcast((pairs, rest))
 
+    def sent_rows(held: dict[tuple[str, str, int], int]) -> dict[str, list]:
+        langs, phrases, sizes = zip(*held)
+        return {"lang": langs, "phrase": phrases, "size": sizes, "n": list(held.values())}
+
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         pairs, rest = map(_Bitmap, sent.value)
+        held: dict[tuple[str, str, int], int] = {}
         for block in _blocks(batches):
             for w in block:
-                out: dict[str, list] = {"phrase": [""], "size": [0], "n": [w.n_words]}
+                held[w.lang, "", 0] = held.get((w.lang, "", 0), 0) + w.n_words
                 rank = np.zeros(len(w.at), np.int64)  # equal for equal n-grams, among those looked at
                 for k, at, _ in _levels(w, pairs, rest, longest):
                     # an n-gram that is let through starts with one that was
                     _, first, own, n = np.unique(rank[at] * len(w.known) + w.at[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
                     rank[at] = own
-                    spans = w.at[at[first][:, None] + np.arange(k)].tolist()
-                    out["phrase"] += [b" ".join([w.known[i] for i in span]).decode() for span in spans]
-                    out["size"] += [k] * len(n)
-                    out["n"] += n.tolist()
-                yield out | {"lang": [w.lang] * len(out["n"])}
+                    for span, m in zip(w.at[at[first][:, None] + np.arange(k)].tolist(), n.tolist()):
+                        key = w.lang, b" ".join([w.known[i] for i in span]).decode(), k
+                        held[key] = held.get(key, 0) + m
+            if len(held) >= PHRASES:
+                yield sent_rows(held)
+                held = {}
+        if held:
+            yield sent_rows(held)
 
     counted = map_arrow(docs, count, "lang string, phrase string, size int, n bigint")
     totals = counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f"))
@@ -326,8 +334,11 @@ def scored(counts: DataFrame, share: int = 100) -> DataFrame:
     cuts = cuts.select(
         "lang", "phrase", "a", "k", F.array_join(F.slice("words", F.lit(1), F.col("k")), " ").alias("l_text"),
         F.array_join(F.slice("words", F.col("k") + 1, F.col("size") - F.col("k")), " ").alias("r_text"))
-    totals = counts.where("size = 0").select("lang", F.col("f").alias("n"))
-    cuts = cuts.join(part("l"), ["lang", "l_text"]).join(part("r"), ["lang", "r_text"]).join(totals, "lang")
+    # one lang may have most of the phrases, so its total is there once for each salt
+    salts = partitions(counts.sparkSession)
+    totals = counts.where("size = 0").select("lang", F.col("f").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    cuts = cuts.join(part("l"), ["lang", "l_text"]).join(part("r"), ["lang", "r_text"])
+    cuts = cuts.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)).cast("int")).join(totals, ["lang", "salt"])
     exact = {c: F.col(c).cast("decimal(38,0)") for c in ("a", "n", "l", "r")}
     cuts = cuts.withColumn("top", F.lit(1000).cast("decimal(38,0)") * exact["a"] * exact["n"]).withColumn("below", exact["l"] * exact["r"])
     best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(F.expr("top div below").alias("score"), "k", "l", "r")).alias("best"))
