@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 import random
 from typing import Callable
@@ -9,6 +10,7 @@ from typing import Callable
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
@@ -16,20 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagsmith.functions import fixed_values as fv
+from tagsmith.operators.boosting import BoostedModel, BoostingParams, fit_boosted
+from tagsmith.operators.tree_demand import from_boosted
 
 SEED = 42
 
 
-_BOOSTED = {"n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree"}
 _PARAMETERS = {
-    "linear": set(), "xgboost": _BOOSTED, "lightgbm": _BOOSTED,
+    "linear": set(), "xgboost": {"n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree"},
     "rf": {"n_estimators", "max_depth", "min_samples_leaf", "min_samples_split", "max_features"}}
 
 
 def make_estimator(name: str, params: dict | None = None) -> Estimator:
-    """`linear`, `rf`, `xgboost` or `lightgbm` (both boosted trees); others are an error.
+    """`linear`, `rf` or `xgboost` (boosted trees, grown level by level) of Spark ML; others are an error.
 
-    Parameter names are the usual ones (n_estimators, max_depth, learning_rate, ...).
+    Parameter names are the usual ones (n_estimators, max_depth, learning_rate, ...). Leaf-wise trees,
+    `lightgbm`, have no estimator: `fit_model` grows them.
     """
     p = params or {}
     if unknown := sorted(set(p) - _PARAMETERS.get(name, set(p))):
@@ -44,7 +48,7 @@ def make_estimator(name: str, params: dict | None = None) -> Estimator:
             numTrees=p.get("n_estimators", 200), maxDepth=p.get("max_depth", 6),
             minInstancesPerNode=leaf, featureSubsetStrategy=p.get("max_features", "auto"),
             seed=SEED, **common)
-    if name in ("xgboost", "lightgbm"):
+    if name == "xgboost":
         return GBTRegressor(
             maxIter=p.get("n_estimators", 300), stepSize=p.get("learning_rate", 0.05),
             maxDepth=p.get("max_depth", 5), subsamplingRate=p.get("subsample", 0.8),
@@ -62,14 +66,43 @@ def training_frame(df: DataFrame, features: list[str] | None = None, target: str
     return assembler.transform(rows).select(*keep, "label", "features")
 
 
-def fit_model(train: DataFrame, estimator: Estimator | str, params: dict | None = None):
-    """Fit any estimator, or one by name, on a training frame."""
+def boosting_params(params: dict | None = None) -> BoostingParams:
+    """Parameters of leaf-wise trees by their usual names; unknown ones are an error."""
+    known = {f.name for f in dataclasses.fields(BoostingParams)}
+    if unknown := sorted(set(params or {}) - known):
+        raise ValueError(f"unsupported parameters of lightgbm: {unknown}")
+    return BoostingParams(**(params or {}))
+
+
+def _as_columns(train: DataFrame, names: list[str]) -> DataFrame:
+    values = vector_to_array("features")
+    return train.select("label", *[values[i].alias(c) for i, c in enumerate(names)])
+
+
+def fit_model(train: DataFrame, estimator: Estimator | str, params: dict | None = None,
+              features: list[str] | None = None):
+    """Fit any estimator, or a model by name, on a training frame."""
+    if estimator == "lightgbm":
+        names = list(features or fv.MODEL_FEATURES)
+        return fit_boosted(_as_columns(train, names), names, "label", boosting_params(params))
     chosen = make_estimator(estimator, params) if isinstance(estimator, str) else estimator
     return chosen.fit(train)
 
 
+def predictions(model, frame: DataFrame) -> DataFrame:
+    """The training or test frame with a column `prediction`, by any model of `fit_model`."""
+    if not isinstance(model, BoostedModel):
+        return model.transform(frame)
+    values = vector_to_array("features")
+    return from_boosted(model).score(frame, "prediction", tuple(values[i] for i in range(len(model.features))))
+
+
 def feature_importances(model, features: list[str] | None = None):
-    """[(feature, importance)] of a tree model; empty for models without importances."""
+    """[(feature, importance)] of a tree model; empty for models without importances. Of leaf-wise trees
+    it is the gain of a feature's splits, as a share."""
+    if isinstance(model, BoostedModel):
+        gains = model.gains()
+        return [(c, gains[c] / sum(gains.values()) if sum(gains.values()) else 0.0) for c in model.features]
     values = getattr(model, "featureImportances", None)
     if values is None:
         return []
@@ -87,6 +120,14 @@ def sample_boosted(rng: random.Random) -> dict:
     }
 
 
+def sample_leafwise(rng: random.Random) -> dict:
+    return {
+        "n_estimators": rng.choice([200, 300, 400]),
+        "learning_rate": rng.choice([0.01, 0.05, 0.1]),
+        "num_leaves": rng.choice([31, 63, 127]),
+    }
+
+
 def sample_forest(rng: random.Random) -> dict:
     return {
         "n_estimators": rng.choice([100, 200, 300, 400]),
@@ -107,12 +148,51 @@ def with_folds(train: DataFrame, key: str, folds: int) -> DataFrame:
     return train.withColumn("fold", F.pmod(F.xxhash64(F.col(key)), F.lit(folds)).cast("int"))
 
 
+def staged_errors(model: BoostedModel, frame: DataFrame, rounds: list[int]) -> list[float]:
+    """Mean absolute error of the first 1, 2, ... of `rounds` trees on a frame, from one pass: a model of
+    fewer rounds is the beginning of a longer one."""
+    values = vector_to_array("features")
+    inputs = tuple(values[i] for i in range(len(model.features)))
+    scored = frame
+    for k in rounds:
+        scored = from_boosted(model, k).score(scored, f"_after_{k}", inputs)
+    means = scored.agg(*[F.avg(F.abs(F.col("label") - F.col(f"_after_{k}"))) for k in rounds]).first()
+    return [float(m) for m in means]
+
+
+def search_boosted(train: DataFrame, candidates: list[dict], key: str, folds: int = 3,
+                   features: list[str] | None = None):
+    """Cross-validated search of leaf-wise trees by mean absolute error.
+
+    Candidates that differ in `n_estimators` only share one fit of the largest, whose beginnings are
+    scored together. Returns the model refitted on all rows, its parameters, and [(params, mae)].
+    """
+    groups: dict[tuple, list[int]] = {}
+    for i, c in enumerate(candidates):
+        rest = {k: v for k, v in c.items() if k != "n_estimators"}
+        groups.setdefault(tuple(sorted(rest.items())), []).append(i)
+    rows = with_folds(train, key, folds)
+    errors = [0.0] * len(candidates)
+    for rest, members in groups.items():
+        rounds = [boosting_params(candidates[i]).n_estimators for i in members]
+        stages = sorted(set(rounds))
+        for fold in range(folds):
+            model = fit_model(rows.where(F.col("fold") != fold), "lightgbm", dict(rest) | {"n_estimators": stages[-1]}, features)
+            found = dict(zip(stages, staged_errors(model, rows.where(F.col("fold") == fold), stages)))
+            for i, k in zip(members, rounds):
+                errors[i] += found[k] / folds
+    best = candidates[min(range(len(candidates)), key=errors.__getitem__)]
+    return fit_model(train, "lightgbm", best, features), best, list(zip(candidates, errors))
+
+
 def search(train: DataFrame, name: str, candidates: list[dict], key: str, folds: int = 3,
            parallelism: int = 4):
     """Cross-validated search by mean absolute error.
 
     Returns the model refitted on all rows, its parameters, and [(params, mae)] of all trials.
     """
+    if name == "lightgbm":
+        return search_boosted(train, candidates, key, folds)
     maps = [_set_params(make_estimator(name, c)) for c in candidates]
     base = make_estimator(name)
     validator = CrossValidator(
@@ -127,7 +207,7 @@ def random_search(train: DataFrame, name: str, key: str,
                   sampler: Callable[[random.Random], dict] | None = None, trials: int = 20,
                   folds: int = 3, seed: int = SEED, parallelism: int = 4):
     """Search over `trials` seeded draws of a sampler (any `rng -> params` function)."""
-    default = {"xgboost": sample_boosted, "lightgbm": sample_boosted, "rf": sample_forest}
+    default = {"xgboost": sample_boosted, "lightgbm": sample_leafwise, "rf": sample_forest}
     draw = sampler or default[name]
     rng = random.Random(seed)
     return search(train, name, [draw(rng) for _ in range(trials)], key, folds, parallelism)

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagsmith.functions import fixed_values as fv
 from tagsmith.operators import registry
-from tagsmith.operators.demand_models import MLlibDemand
+from tagsmith.operators.boosting import BoostedModel
 from tagsmith.operators.evaluation import actual_vs_predicted, regression_metrics
 from tagsmith.operators.quality import clean_golden
 from tagsmith.operators.splits import random_split
+from tagsmith.operators.tree_demand import demand_model
 from tagsmith.operators.training import (
-    as_pipeline, feature_importances, fit_model, random_search, training_frame,
+    as_pipeline, feature_importances, fit_model, predictions, random_search, training_frame,
 )
 from tagsmith.sources.tables import read_snapshot
 
@@ -50,9 +51,9 @@ def train(golden: DataFrame, spec: TrainingSpec = TrainingSpec()) -> dict:
         model, params, _ = random_search(frame, spec.model_name, spec.key, trials=spec.trials,
                                          seed=spec.seed)
     else:
-        model = fit_model(frame, spec.model_name, params)
+        model = fit_model(frame, spec.model_name, params, names)
     test = training_frame(test_rows, names, spec.target, keep=(spec.key,))
-    scored = actual_vs_predicted(model.transform(test), spec.key, "label")
+    scored = actual_vs_predicted(predictions(model, test), spec.key, "label")
     return {"model": model, "params": params, "rows": frame, "scored": scored,
             "metrics": regression_metrics(scored),
             "importances": feature_importances(model, names)}
@@ -63,7 +64,10 @@ def train_and_register(golden: DataFrame, spec: TrainingSpec, model_folder: str,
     """Train, save the model in the shared folder, and add it to the registry table."""
     out = train(golden, spec)
     path = f"{model_folder.rstrip('/')}/{spec.model_name}_{spec.model_version}"
-    as_pipeline(out["model"], list(spec.features)).write().overwrite().save(path)
+    if isinstance(out["model"], BoostedModel):
+        out["model"].save(path, golden.sparkSession)
+    else:
+        as_pipeline(out["model"], list(spec.features)).write().overwrite().save(path)
     row = registry.new_version(golden.sparkSession, spec.model_name, spec.model_version,
                                spec.environment, path, now, list(spec.features))
     registry.save_version(golden.sparkSession, registry_path, spec.model_name,
@@ -71,20 +75,26 @@ def train_and_register(golden: DataFrame, spec: TrainingSpec, model_folder: str,
     return {**out, "path": path}
 
 
+def load_model(spark: SparkSession, model_name: str, path: str):
+    """A saved model, ready to price with."""
+    saved = BoostedModel.load(path, spark) if model_name == "lightgbm" else PipelineModel.load(path)
+    return demand_model(spark, saved)
+
+
 def registered_model(spark: SparkSession, registry_path: str, model_name: str,
-                     environment: str = "dev", version: str | None = None) -> MLlibDemand:
+                     environment: str = "dev", version: str | None = None):
     """The model that the registry resolves to, ready to price with."""
     rows = read_snapshot(spark, registry_path)
     row = registry.resolve_one(rows, model_name, environment, version)
-    return MLlibDemand(PipelineModel.load(row["model_path"]))
+    return load_model(spark, model_name, row["model_path"])
 
 
 def champion_and_challenger(spark: SparkSession, registry_path: str, model_name: str,
-                            environment: str = "dev") -> tuple[MLlibDemand, MLlibDemand | None]:
+                            environment: str = "dev") -> tuple:
     """The newest version and the one before it, if there is one."""
     rows = registry.versions(read_snapshot(spark, registry_path), model_name, environment)
     paths = {r["role"]: r["model_path"] for r in registry.champion_challenger(rows).collect()}
     if not paths:
         raise ValueError(f"no row for model {model_name!r} in environment {environment!r}")
-    models = {role: MLlibDemand(PipelineModel.load(p)) for role, p in paths.items()}
+    models = {role: load_model(spark, model_name, p) for role, p in paths.items()}
     return models["champion"], models.get("challenger")

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+from tagsmith.workload import boosted_oracle
+
 
 def rnd(x: str, places: int = 2) -> str:
     scale = f"1e{places}"
@@ -646,6 +648,8 @@ BODIES["train_rf"] = BODIES["train_gbt"] = f"""
   SELECT (SELECT count(*) FROM t) AS train_rows, true AS closer_than_mean, count(*) AS test_rows,
     count(*) AS finite_scores, {rnd('avg(abs(y - (SELECT avg(y) FROM t)))', 6)} AS mean_model_mae
   FROM s"""
+BODIES["train_leafwise"] = boosted_oracle.nodes(3)
+BODIES["leafwise_demand"] = boosted_oracle.predicted(3)
 BODIES["tune_random"] = """SELECT CAST(20 AS BIGINT) AS trials, true AS in_space,
     true AS best_is_least"""
 BODIES["tune_grid"] = """SELECT CAST(4 AS BIGINT) AS trials, true AS in_space,

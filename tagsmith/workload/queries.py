@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tagsmith.functions.numeric import finite_or_zero, parse_number, round_to
 from tagsmith.functions.text import clean_query, response_time_text, run_date_text
 from tagsmith.operators import (
-    elasticity, evaluation, golden, quality, registry, revenue, splits, textgap, training,
+    boosting, elasticity, evaluation, golden, quality, registry, revenue, splits, textgap, training,
 )
-from tagsmith.operators.demand_models import LinearDemand, MLlibDemand, predict_demand
+from tagsmith.operators.demand_models import LinearDemand, predict_demand
 from tagsmith.operators.features import (
     competitor_features, demand_signals, event_counts, event_counts_from_map,
     inventory_features, parse_offers, score_demand, sku_sales,
@@ -23,6 +23,7 @@ from tagsmith.operators.master import (
 )
 from tagsmith.operators.rules import batch_rules, service_rules
 from tagsmith.operators.sweep import ai_output as with_ai, sweep_prices
+from tagsmith.operators.tree_demand import demand_model, from_boosted
 from tagsmith.plans.pricing import PricingSettings, Run, price, stamp
 from tagsmith.plans.request_pricing import price_requests
 from tagsmith.plans.training import TrainingSpec, registered_model, train, train_and_register
@@ -508,6 +509,28 @@ def train_gbt(spark, sf):
     return _facts(_train(spark, sf, "xgboost"))
 
 
+def _leafwise(spark, sf):
+    """Three rounds of leaf-wise trees of default size over all golden rows."""
+    raw = _golden_raw(spark, sf)
+    rows = materialized(quality.clean_golden(raw, raw.columns), "golden")
+    return boosting.fit_boosted(rows, params=boosting.BoostingParams(n_estimators=3)), rows
+
+
+@query
+def train_leafwise(spark, sf):
+    """Every split and leaf of the trees."""
+    model, _ = _leafwise(spark, sf)
+    return model.nodes(spark)
+
+
+@query
+def leafwise_demand(spark, sf):
+    """The trees' demand for every row, scored inside the row."""
+    model, rows = _leafwise(spark, sf)
+    scored = from_boosted(model).score(rows, "predicted", tuple(F.col(c) for c in model.features))
+    return scored.select("sku_id", F.col("demand_qty").alias("actual"), "predicted")
+
+
 def _frame(spark, sf):
     raw = _golden_raw(spark, sf)
     rows = training.training_frame(quality.clean_golden(raw, raw.columns), keep=("sku_id",))
@@ -552,7 +575,7 @@ def feature_importances(spark, sf):
 @query
 def sweep_mllib(spark, sf):
     model = training.fit_model(_frame(spark, sf), "linear")
-    return with_ai(_ruled(spark, sf), MLlibDemand(model)).select(*_AI)
+    return with_ai(_ruled(spark, sf), demand_model(spark, model)).select(*_AI)
 
 
 @query
