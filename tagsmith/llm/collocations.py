@@ -9,8 +9,8 @@ count towards the mass, so one very frequent phrase doesn't enlarge its slice's
 
 First words and pairs are found that way, then phrases of three to five words all of whose pairs were. The survivors
 mark places of their hashes in a bitmap of fixed size, which is broadcast. A further pass counts the n-grams that all
-bitmaps let through exactly, by their text: hashes and bitmaps only let too much through, never too little, and
-what occurs too seldom goes then. Everything else are joins and groupings of these phrases.
+bitmaps let through exactly, by their text, again slice by slice: hashes and bitmaps only let too much through, never
+too little, and what occurs too seldom goes then. Everything else are joins and groupings of these phrases.
 
 Defined results: a null or empty text has no words; a null lang is `und`; rows repeat their counts when repeated; an
 empty table gives no phrases; columns other than text and lang are not looked at.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
+from xxhash import xxh3_64_intdigest
 
 from tagsmith.llm.common import map_arrow, partitions, stored
 
@@ -103,8 +104,6 @@ class _Words:
         ends = np.flatnonzero(self.at == 0)
         self.left = ends[np.searchsorted(ends, np.arange(len(tokens)))] - np.arange(len(tokens))
         self.n_words = len(tokens) - len(ends)
-        from xxhash import xxh3_64_intdigest
-
         seed = zlib.crc32(lang.encode())
         own = np.fromiter((xxh3_64_intdigest(w, seed) for w in self.known), np.uint64, len(self.known))
         self.hash = own[self.at]
@@ -210,11 +209,16 @@ def _levels(w: _Words, pairs: _Bitmap | None, rest: _Bitmap | None, longest: int
                 yield k, at, h[at]
 
 
+def _slices(docs: DataFrame) -> int:
+    """Into how many slices hashes go: each has the share of about SLICE_BYTES of text."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(partitions(docs.sparkSession), 1 + total // SLICE_BYTES), 1 << SLICE_BITS)
+
+
 def _survivors(docs: DataFrame, threshold: int, pairs: bytes | None, longest: int) -> bytes:
     """The bitmap of all n-grams that occur `threshold` times, and of some that don't."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = min(max(partitions(spark), 1 + total // SLICE_BYTES), 1 << SLICE_BITS)
+    slices = _slices(docs)
     sent = spark.sparkContext.broadcast(pairs) if pairs is not None else None
     small = "<u1" if threshold <= 256 else "<u8"
 
@@ -292,9 +296,33 @@ def phrase_counts(docs: DataFrame, threshold: int = 100, longest: int = LONGEST)
     rest = _survivors(docs, threshold, pairs, longest) if longest > 2 else bytes(1 << MAP_BITS - 3)
     sent = spark.sparkContext.broadcast((pairs, rest))
 
+    slices = _slices(docs)
+
     def sent_rows(held: dict[tuple[str, str, int], int]) -> dict[str, list]:
-        langs, phrases, sizes = zip(*held)
-        return {"lang": langs, "phrase": phrases, "size": sizes, "n": list(held.values())}
+        """One row for each slice of the phrases' hashes: its phrases and their counts."""
+        parts: dict[int, list[tuple[str, str, int, int]]] = {}
+        for (lang, phrase, size), n in held.items():
+            at = xxh3_64_intdigest(phrase, zlib.crc32(lang.encode())) * slices >> 64
+            parts.setdefault(at, []).append((lang, phrase, size, n))
+        columns = [list(zip(*rows)) for rows in parts.values()]
+        return {"slice": list(parts)} | {c: [x[i] for x in columns] for i, c in enumerate(("lang", "phrase", "size", "n"))}
+
+    def add_up(batches: Iterator[dict]) -> Iterator[dict]:
+        now, sums = -1, {}
+
+        def known() -> dict[str, list]:
+            rows = [(*key, f) for key, f in sums.items() if f >= threshold or not key[2]]
+            return dict(zip(("lang", "phrase", "size", "f"), zip(*rows))) if rows else {c: [] for c in ("lang", "phrase", "size", "f")}
+
+        for batch in batches:
+            for s, *columns in zip(*(batch[c] for c in ("slice", "lang", "phrase", "size", "n"))):
+                if s != now:
+                    yield known()
+                    now, sums = s, {}
+                for *key, n in zip(*columns):
+                    key = tuple(key)
+                    sums[key] = sums.get(key, 0) + n
+        yield known()
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         pairs, rest = map(_Bitmap, sent.value)
@@ -316,9 +344,9 @@ def phrase_counts(docs: DataFrame, threshold: int = 100, longest: int = LONGEST)
         if held:
             yield sent_rows(held)
 
-    counted = map_arrow(docs, count, "lang string, phrase string, size int, n bigint")
-    totals = counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f"))
-    return stored(totals.where((F.col("f") >= threshold) | (F.col("size") == 0)), "phrase-counts")
+    counted = map_arrow(docs, count, "slice int, lang array<string>, phrase array<string>, size array<int>, n array<bigint>")
+    counted = counted.repartition(slices, "slice").sortWithinPartitions("slice")
+    return stored(map_arrow(counted, add_up, "lang string, phrase string, size int, f bigint"), "phrase-counts")
 
 
 def scored(counts: DataFrame, share: int = 100) -> DataFrame:
