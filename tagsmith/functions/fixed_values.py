@@ -60,6 +60,7 @@ RULE_PRICING = "Rule-based pricing"
 SWEEP_LOW, SWEEP_HIGH, SWEEP_STEPS = 0.7, 1.3, 15
 ELASTICITY_FIT_STEPS, ELASTICITY_PRICE_STEPS = 12, 20
 SERVICE_ALERT_GAP = 20.0
+MAX_REQUESTED_IDS = 500
 HYBRID_MIN_R2, HYBRID_MAX_MAPE = 0.75, 20.0
 TOLERANCE = 0.05
 GATE_MIN_R2, GATE_MAX_MAE = 0.70, 50.0

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tagsmith.functions import fixed_values as fv
 from tagsmith.operators.features import first_per_key
-from tagsmith.sources.tables import latest_snapshot, read_snapshot, write_snapshot
 
 REGISTRY_SCHEMA = (
     "model_name string, model_version string, environment string, model_path string, "
@@ -34,13 +33,12 @@ def register(registry: DataFrame, model_name: str, environment: str,
     return retired.unionByName(new_row)
 
 
-def save_version(spark: SparkSession, path: str, model_name: str, environment: str,
-                 new_row: DataFrame) -> int:
-    """Register into the table at `path`, creating it on first use. Failures are not hidden."""
-    if latest_snapshot(spark, path) is None:
-        return write_snapshot(new_row, path)
-    return write_snapshot(register(read_snapshot(spark, path), model_name, environment, new_row),
-                          path)
+def save_version(path: str, model_name: str, environment: str, new_row: DataFrame,
+                 previous: DataFrame | None = None) -> None:
+    """Write the registry with the new version to a folder of the caller's choice; one that exists is an
+    error. `previous` is the registry as it was, which stays as it is."""
+    rows = new_row if previous is None else register(previous, model_name, environment, new_row)
+    rows.write.mode("errorifexists").parquet(path)
 
 
 def resolve(registry: DataFrame, version: str | None = None) -> DataFrame:

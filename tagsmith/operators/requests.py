@@ -31,6 +31,18 @@ def find_requested(requests: DataFrame, features: DataFrame) -> DataFrame:
     return first_per_key(found, ["requested_id"], [F.col("_choice")]).drop("_choice")
 
 
+def find_ids(features: DataFrame, ids: list[str]) -> DataFrame:
+    """Feature rows of a short list of ids, as one request names them. The ids stand in the plan, so of a
+    table bucketed by SKU only their buckets are read."""
+    if len(ids) > fv.MAX_REQUESTED_IDS:
+        raise ValueError(f"a request names at most {fv.MAX_REQUESTED_IDS} ids, not {len(ids)}")
+    wanted = list(dict.fromkeys(x.strip() for x in ids if x.strip()))
+    spellings = list(dict.fromkeys([*wanted, *(x.lower() for x in wanted)]))
+    rows = features.where(F.col("sku_id").isin(spellings))
+    requests = features.sparkSession.createDataFrame(list(enumerate(wanted)), "pos bigint, sku_id string")
+    return find_requested(requests, rows)
+
+
 def missing_requests(requests: DataFrame, features: DataFrame) -> DataFrame:
     """Requested ids that match no feature row in either spelling."""
     return not_found(requests, find_requested(requests, features.select("sku_id")))

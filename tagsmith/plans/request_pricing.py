@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tagsmith.functions import fixed_values as fv
 from tagsmith.operators.quality import clean_request_ids
@@ -13,7 +13,7 @@ from tagsmith.operators.rules import service_rules
 from tagsmith.operators.sweep import ai_output
 from tagsmith.plans.pricing import Run
 from tagsmith.operators.master import build_master, typed_features
-from tagsmith.sources.tables import read_snapshot, write_snapshot
+from tagsmith.sources.tables import publish_table
 
 
 def price_requests(requests: DataFrame, features: DataFrame, model, run: Run,
@@ -27,14 +27,15 @@ def price_requests(requests: DataFrame, features: DataFrame, model, run: Run,
             "summary": run_summary(wanted, results)}
 
 
-def publish_features(feeds: dict[str, DataFrame], counts: DataFrame, path: str,
-                     signals: DataFrame | None = None) -> int:
-    """Rebuild the feature table from the feeds and write it as the next snapshot."""
+def publish_features(feeds: dict[str, DataFrame], counts: DataFrame, name: str, folder: str,
+                     signals: DataFrame | None = None, buckets: int | None = None) -> None:
+    """Rebuild the feature table from the feeds and publish it as the version `name`, laid out for
+    lookups by SKU."""
     master = build_master(feeds["price"], feeds["sku"], feeds["orders"], feeds["inventory"],
                           counts, feeds["competitors"], "service")
-    return write_snapshot(typed_features(master, signals), path)
+    publish_table(typed_features(master, signals), name, folder, "sku_id", buckets)
 
 
-def reload_features(spark, path: str) -> DataFrame:
-    """The newest published feature table."""
-    return read_snapshot(spark, path)
+def reload_features(spark: SparkSession, name: str) -> DataFrame:
+    """A published version of the feature table."""
+    return spark.table(name)

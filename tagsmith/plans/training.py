@@ -18,7 +18,6 @@ from tagsmith.operators.tree_demand import demand_model
 from tagsmith.operators.training import (
     as_pipeline, feature_importances, fit_model, predictions, random_search, training_frame,
 )
-from tagsmith.sources.tables import read_snapshot
 
 
 @dataclass(frozen=True)
@@ -60,8 +59,9 @@ def train(golden: DataFrame, spec: TrainingSpec = TrainingSpec()) -> dict:
 
 
 def train_and_register(golden: DataFrame, spec: TrainingSpec, model_folder: str,
-                       registry_path: str, now: datetime) -> dict:
-    """Train, save the model in the shared folder, and add it to the registry table."""
+                       registry_path: str, now: datetime, previous: DataFrame | None = None) -> dict:
+    """Train, save the model in the shared folder, and write the registry with it: the rows of
+    `previous`, if there are any, and the new version."""
     out = train(golden, spec)
     path = f"{model_folder.rstrip('/')}/{spec.model_name}_{spec.model_version}"
     if isinstance(out["model"], BoostedModel):
@@ -70,8 +70,7 @@ def train_and_register(golden: DataFrame, spec: TrainingSpec, model_folder: str,
         as_pipeline(out["model"], list(spec.features)).write().overwrite().save(path)
     row = registry.new_version(golden.sparkSession, spec.model_name, spec.model_version,
                                spec.environment, path, now, list(spec.features))
-    registry.save_version(golden.sparkSession, registry_path, spec.model_name,
-                          spec.environment, row)
+    registry.save_version(registry_path, spec.model_name, spec.environment, row, previous)
     return {**out, "path": path}
 
 
@@ -84,7 +83,7 @@ def load_model(spark: SparkSession, model_name: str, path: str):
 def registered_model(spark: SparkSession, registry_path: str, model_name: str,
                      environment: str = "dev", version: str | None = None):
     """The model that the registry resolves to, ready to price with."""
-    rows = read_snapshot(spark, registry_path)
+    rows = spark.read.parquet(registry_path)
     row = registry.resolve_one(rows, model_name, environment, version)
     return load_model(spark, model_name, row["model_path"])
 
@@ -92,7 +91,7 @@ def registered_model(spark: SparkSession, registry_path: str, model_name: str,
 def champion_and_challenger(spark: SparkSession, registry_path: str, model_name: str,
                             environment: str = "dev") -> tuple:
     """The newest version and the one before it, if there is one."""
-    rows = registry.versions(read_snapshot(spark, registry_path), model_name, environment)
+    rows = registry.versions(spark.read.parquet(registry_path), model_name, environment)
     paths = {r["role"]: r["model_path"] for r in registry.champion_challenger(rows).collect()}
     if not paths:
         raise ValueError(f"no row for model {model_name!r} in environment {environment!r}")

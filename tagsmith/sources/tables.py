@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -104,54 +103,26 @@ def write_priced_csv(df: DataFrame, folder: str, mode: str, run_date: str, model
     return target
 
 
-# --- snapshot tables -----------------------------------------------------------------------
-def _commits(path: str) -> str:
-    return f"{path.rstrip('/')}.commits"
+# --- published tables ----------------------------------------------------------------------
+def publish_table(df: DataFrame, name: str, folder: str, key: str, buckets: int | None = None) -> None:
+    """Write the frame as the table `name` in a folder of its own, bucketed by `key` for lookups.
 
-
-def latest_snapshot(spark: SparkSession, path: str) -> int | None:
-    """Number of the newest complete snapshot; None when there is no table yet."""
-    try:
-        return spark.read.schema("snapshot int").parquet(_commits(path)).agg(
-            F.max("snapshot")).first()[0]
-    except AnalysisException as error:
-        if _absent(error):
-            return None
-        raise
-
-
-def _next_snapshot(spark: SparkSession, path: str) -> int:
-    """One above every number in use, also those of writes that never finished."""
-    try:
-        files = spark.read.schema("snapshot int").parquet(path).inputFiles()
-    except AnalysisException as error:
-        if not _absent(error):
-            raise
-        files = []
-    used = [int(n) for f in files for n in re.findall(r"/snapshot=(\d+)/", f)]
-    return max([latest_snapshot(spark, path) or 0, *used]) + 1
-
-
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest complete snapshot (one folder; older ones are not read)."""
-    newest = latest_snapshot(spark, path)
-    if newest is None:
-        raise ValueError(f"no table at {path}")
-    return spark.read.parquet(f"{path.rstrip('/')}/snapshot={newest}")
-
-
-def write_snapshot(df: DataFrame, path: str) -> int:
-    """Write the frame as the next snapshot beside the old ones, then record it as complete.
-
-    A Parquet table cannot be overwritten by a plan that reads it, and readers must keep a
-    whole table while a new one is being written or after a write has failed.
+    A version of a table is one name and one folder, both chosen by the caller; one that exists is an
+    error, so readers of an older version keep it whole. Each bucket is one file, sorted by the key:
+    a join on the key hashes only its other side, and a lookup of given keys reads only their buckets.
     """
     spark = df.sparkSession
-    number = _next_snapshot(spark, path)
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/snapshot={number}")
-    spark.range(1).select(F.lit(number).alias("snapshot")).coalesce(1).write.mode(
-        "append").parquet(_commits(path))
-    return number
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet")
+       .option("path", folder).mode("errorifexists").saveAsTable(name))
+
+
+def declare_table(spark: SparkSession, name: str, folder: str, key: str, buckets: int) -> DataFrame:
+    """A published table in a session whose catalog doesn't know it yet."""
+    columns = spark.read.parquet(folder).schema.toDDL()
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+              f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{folder}'")
+    return spark.table(name)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -18,7 +18,7 @@ from tagsmith.operators.features import event_counts, sku_sales
 from tagsmith.operators.master import build_master, typed_features
 from tagsmith.plans.request_pricing import reload_features
 from tagsmith.sources.feeds import order_lines, prices, sku_names, stock
-from tagsmith.sources.tables import shared_folder, write_snapshot
+from tagsmith.sources.tables import publish_table, shared_folder
 
 CHAMPION = LinearDemand(1500.0, price=-0.5, competitor=0.1, inventory=0.02, gap=-1.0)
 CHALLENGER = LinearDemand(1400.0, price=-0.4, competitor=0.05, inventory=0.01, gap=-2.0)
@@ -194,10 +194,10 @@ def features(spark, sf) -> DataFrame:
 
 @once
 def published(spark, sf) -> DataFrame:
-    """The feature rows as request pricing finds them: written once, read back."""
-    path = f"{shared_folder(spark)}/published_{uuid.uuid4().hex}"
-    write_snapshot(features(spark, sf), path)
-    return reload_features(spark, path)
+    """The feature rows as request pricing finds them: published once, bucketed by SKU."""
+    name = f"published_{uuid.uuid4().hex}"
+    publish_table(features(spark, sf), name, f"{shared_folder(spark)}/{name}", "sku_id")
+    return reload_features(spark, name)
 
 
 @once

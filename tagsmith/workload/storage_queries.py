@@ -213,31 +213,31 @@ def priced_table(spark, sf):
 
 @query
 def feature_snapshot(spark, sf):
-    """The feature table published twice from the feeds; readers see the newer one."""
-    path = f"{_folder(spark)}/features"
+    """The feature table published twice from the feeds, under two names; readers take the second."""
+    base, name = _folder(spark), f"features_{uuid.uuid4().hex}"
     loaded = {"price": r.price(spark, sf), "sku": r.sku(spark, sf), "orders": r.orders(spark, sf),
               "inventory": r.inventory(spark, sf),
               "competitors": r.competitor_feed_by_name(spark, sf)}
     counts = event_counts(r.events(spark, sf))
-    publish_features(loaded | {"competitors": loaded["competitors"].filter("false")}, counts, path)
-    publish_features(loaded, counts, path)
-    return reload_features(spark, path).withColumn(
+    publish_features(loaded | {"competitors": loaded["competitors"].filter("false")}, counts,
+                     f"{name}_1", f"{base}/1")
+    publish_features(loaded, counts, f"{name}_2", f"{base}/2")
+    return reload_features(spark, f"{name}_2").withColumn(
         "all_competitors_json", F.to_json("all_competitors_json"))
 
 
 @query
 def registry_table(spark, sf):
     """The version history saved as a table and a version registered into it."""
-    path = f"{_folder(spark)}/registry"
-    history = r.registry(spark, sf)
-    tables.write_snapshot(history, path)
+    base, history = _folder(spark), r.registry(spark, sf)
+    history.write.parquet(f"{base}/1")
     newest = history.agg(F.max("created_at").alias("created_at")).select(
         F.lit("5-LOW").alias("model_name"), F.lit("v999999999").alias("model_version"),
         F.lit("O").alias("environment"), F.lit("models/new").alias("model_path"),
         F.lit("[]").alias("feature_columns"), "created_at", F.lit(True).alias("is_active"),
         F.lit("None").alias("stage"))
-    registry.save_version(spark, path, "5-LOW", "O", newest)
-    return tables.read_snapshot(spark, path)
+    registry.save_version(f"{base}/2", "5-LOW", "O", newest, spark.read.parquet(f"{base}/1"))
+    return spark.read.parquet(f"{base}/2")
 
 
 @query

@@ -6,6 +6,7 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
@@ -111,12 +112,15 @@ def day(n):
 
 
 def test_registry_lifecycle(spark, tmp_path):
-    path = str(tmp_path / "registry")
+    table = None
     for n, (version, env) in enumerate([("v1", "dev"), ("v2", "dev"), ("v10", "dev"),
                                         ("v1", "prod")], 1):
         row = registry.new_version(spark, "xgboost", version, env, f"m/{env}{version}", day(n))
-        registry.save_version(spark, path, "xgboost", env, row)
-    table = registry.read_snapshot(spark, path)
+        path = str(tmp_path / f"registry_{n}")
+        registry.save_version(path, "xgboost", env, row, table)
+        table = spark.read.parquet(path)
+    with pytest.raises(AnalysisException):
+        registry.save_version(path, "xgboost", env, row, table)
     active = table.filter("is_active").groupBy("model_name", "environment").count().collect()
     assert len(active) == 2 and all(x["count"] == 1 for x in active)
     one = lambda **kw: registry.resolve_one(table, "xgboost", **kw)["model_version"]
@@ -292,23 +296,23 @@ def test_linear_training_and_registry(spark, golden, tmp_path):
     metrics = out["metrics"].first()
     assert metrics["r2"] > 0.999 and metrics["passes_gate"]
     assert np.allclose(out["model"].coefficients, [-2.0, 0.5, 0.05, -1.0], atol=1e-6)
-    row = registry.resolve_one(registry.read_snapshot(spark, path), "linear")
+    row = registry.resolve_one(spark.read.parquet(path), "linear")
     scored = PipelineModel.load(row["model_path"]).transform(golden)
     assert scored.filter(F.abs(F.col("prediction") - F.col("demand_qty")) > 1e-3).count() == 0
     assert out["importances"] == []
 
 
 def test_pricing_with_registered_models(spark, golden, tmp_path):
-    path, models = str(tmp_path / "registry"), str(tmp_path / "models")
+    first, path, models = (str(tmp_path / n) for n in ("registry_1", "registry_2", "models"))
     with pytest.raises(ValueError, match="no row"):
-        train_and_register(golden, TrainingSpec("linear"), models, path, day(1))
-        registered_model(spark, path, "rf")
-    assert champion_and_challenger(spark, path, "linear")[1] is None
-    train_and_register(golden, TrainingSpec("linear", "v2.0", seed=7), models, path, day(2))
+        train_and_register(golden, TrainingSpec("linear"), models, first, day(1))
+        registered_model(spark, first, "rf")
+    assert champion_and_challenger(spark, first, "linear")[1] is None
+    train_and_register(golden, TrainingSpec("linear", "v2.0", seed=7), models, path, day(2), spark.read.parquet(first))
     champion, challenger = champion_and_challenger(spark, path, "linear")
-    assert not np.array_equal(champion.model.coefficients, challenger.model.coefficients)
+    assert isinstance(champion, LinearDemand) and champion != challenger
     latest = registered_model(spark, path, "linear")
-    assert np.array_equal(latest.model.coefficients, champion.model.coefficients)
+    assert latest == champion
     features = tuple(F.col(c) for c in ("price", "competitor_price", "inventory_level",
                                         "price_diff_pct"))
     holes = golden.withColumn("inventory_level", F.when(F.col("sku_id") != "7", F.col("inventory_level")))

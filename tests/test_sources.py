@@ -2,12 +2,14 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tagsmith.operators.features import (
     event_counts, event_counts_from_map, one_item_per, parse_offers,
 )
 from tagsmith.operators.master import master_from_feeds
+from tagsmith.operators.requests import find_ids, find_requested
 from tagsmith.plans.pricing import Run, stamp
 from tagsmith.plans.request_pricing import publish_features, reload_features
 from tagsmith.sources import columns, feeds, tables
@@ -157,9 +159,9 @@ def test_whole_folder_to_published_features(spark, tmp_path):
             ("1", 11.0, 25.0)]
     path = str(tmp_path / "features")
     counts = event_counts(loaded["events"])
-    assert publish_features(loaded, counts, path) == 1
-    assert publish_features(loaded, counts, path) == 2
-    again = reload_features(spark, path)
+    publish_features(loaded, counts, "whole_1", f"{path}/1")
+    publish_features(loaded, counts, "whole_2", f"{path}/2", buckets=3)
+    again = reload_features(spark, "whole_2")
     assert again.count() == 1 and again.first()["all_competitors_json"] == {"s": "8.0"}
 
 
@@ -219,20 +221,40 @@ def test_priced_output(spark, tmp_path):
     assert spark.read.csv(target, header=True).first()["m"] == '{"s":"1"}'
 
 
-def test_snapshots_keep_the_table_readable(spark, tmp_path):
-    path = str(tmp_path / "snap")
-    assert tables.latest_snapshot(spark, path) is None
+def test_published_versions_stay_and_are_laid_out_for_lookups(spark, tmp_path):
+    rows = spark.range(1000).select(F.concat(F.lit("s"), "id").alias("sku_id"), F.map_from_arrays(
+        F.array(F.lit("a")), F.array(F.col("id").cast("string"))).alias("m"), "id")
+    tables.publish_table(rows, "lookup_1", f"{tmp_path}/1", "sku_id", 8)
+    grown = spark.table("lookup_1").unionByName(rows.withColumn("sku_id", F.concat(F.lit("t"), "id")))
+    tables.publish_table(grown, "lookup_2", f"{tmp_path}/2", "sku_id", 8)  # a table written from itself
+    assert spark.table("lookup_1").count() == 1000 and spark.table("lookup_2").count() == 2000
+    with pytest.raises(AnalysisException):
+        tables.publish_table(rows, "lookup_1", f"{tmp_path}/3", "sku_id", 8)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    # buckets are skipped either way; the plan says so where scans are by bucket
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    assert "SelectedBucketsCount: 1 out of 8" in plan(spark.table("lookup_2").where("sku_id = 's7'"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.range(50).select(F.concat(F.lit("T"), "id").alias("sku_id"), F.col("id").alias("pos"))
+        found = find_requested(asked, spark.table("lookup_2"))
+        text = plan(found)
+        assert found.count() == 50 and "Bucketed: true" in text
+        # the requests are hashed to the buckets, and their answers by request; the table isn't
+        assert text.count("Exchange hashpartitioning") == 2
+        table_side = text[text.index("FileScan parquet") - 400 : text.index("FileScan parquet")]
+        assert "Exchange" not in table_side.split("Sort [sku_id")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    few = find_ids(spark.table("lookup_2"), [" s1 ", "S2", "", "s1", "none"])
+    assert sorted((r["requested_id"], r["sku_id"], r["id"]) for r in few.collect()) == [("S2", "s2", 2), ("s1", "s1", 1)]
+    assert "out of 8" in plan(few) and "SelectedBucketsCount: 8 out of 8" not in plan(few)
     with pytest.raises(ValueError):
-        tables.read_snapshot(spark, path)
-    tables.write_snapshot(spark.range(3).toDF("id"), path)
-    grown = tables.read_snapshot(spark, path).unionByName(spark.range(3, 5).toDF("id"))
-    assert tables.write_snapshot(grown, path) == 2  # a table written from itself
-    assert tables.read_snapshot(spark, path).count() == 5
-    # A write that stopped half-way is neither read nor written into.
-    spark.range(99).toDF("id").write.parquet(f"{path}/snapshot=3")
-    assert tables.read_snapshot(spark, path).count() == 5
-    assert tables.write_snapshot(spark.range(7).toDF("id"), path) == 4
-    assert tables.read_snapshot(spark, path).count() == 7
+        find_ids(spark.table("lookup_2"), ["x"] * 501)
+    spark.sql("DROP TABLE lookup_2")  # an external table: the rows stay
+    again = tables.declare_table(spark, "lookup_3", f"{tmp_path}/2", "sku_id", 8)
+    assert again.count() == 2000 and "SelectedBucketsCount: 1 out of 8" in plan(again.where("sku_id = 't7'"))
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
 
 
 def test_shared_folder_is_the_one_of_the_session(spark):
