@@ -126,13 +126,18 @@ def champion_challenger_summary(df: DataFrame) -> DataFrame:
 
 # --- all strategies side by side -----------------------------------------------------------------
 def strategy_dashboard(df: DataFrame) -> DataFrame:
-    """(metric, value) rows for every strategy the frame carries, from one aggregation."""
+    """(metric, value) rows for every strategy the frame carries, from one aggregation.
+
+    `chosen` is the price that the run settled on, `rule` the one of the rules.
+    """
     has_ai = "ai_optimal_price" in df.columns
+    has_rule = "new_price" in df.columns
     has_pair = "champion_revenue" in df.columns
     quantity = F.col("demand_qty")
     sums = {"cur": _current(), "chosen": F.col(chosen_price_column(df)) * quantity}
-    if has_ai:
+    if has_rule:
         sums["rule"] = F.col("new_price") * quantity
+    if has_ai:
         sums["ai"] = F.col("ai_optimal_price") * quantity
     if has_pair:
         sums["champ"], sums["chall"] = F.col("champion_revenue"), F.col("challenger_revenue")
@@ -148,16 +153,22 @@ def strategy_dashboard(df: DataFrame) -> DataFrame:
         return round_to(_pct_or_zero(F.col(new) - F.col(old), F.col(old)), 2)
 
     metrics = {
-        "current_revenue": total("cur"), "rule_revenue": total("chosen"),
-        "rule_vs_current_change": lift("chosen", "cur"),
-        "rule_vs_current_pct": lift_pct("chosen", "cur"),
+        "current_revenue": total("cur"), "chosen_revenue": total("chosen"),
+        "chosen_vs_current_change": lift("chosen", "cur"),
+        "chosen_vs_current_pct": lift_pct("chosen", "cur"),
     }
+    if has_rule:
+        metrics |= {
+            "rule_revenue": total("rule"), "rule_vs_current_change": lift("rule", "cur"),
+            "rule_vs_current_pct": lift_pct("rule", "cur"),
+        }
     if has_ai:
         metrics |= {
-            "ai_revenue": total("ai"), "ai_vs_rule_lift": lift("ai", "rule"),
-            "ai_vs_rule_pct": lift_pct("ai", "rule"), "ai_vs_current_lift": lift("ai", "cur"),
+            "ai_revenue": total("ai"), "ai_vs_current_lift": lift("ai", "cur"),
             "ai_vs_current_pct": lift_pct("ai", "cur"),
         }
+    if has_ai and has_rule:
+        metrics |= {"ai_vs_rule_lift": lift("ai", "rule"), "ai_vs_rule_pct": lift_pct("ai", "rule")}
     if has_pair:
         metrics |= {
             "champion_revenue": total("champ"), "challenger_revenue": total("chall"),

@@ -46,13 +46,13 @@ def new_request_run(model_version: str, now: datetime | None = None) -> Run:
 
 @dataclass(frozen=True)
 class PricingSettings:
-    """`fit_elasticity` gives hybrid pricing the fit quality of each SKU's own price line;
+    """`fit_elasticity` gives hybrid pricing the fit quality of each SKU's own price line, in the row;
     without it the frame must carry elasticity_r2 and elasticity_mape, or rules decide."""
 
     tolerance: float = fv.TOLERANCE
     min_r2: float = fv.HYBRID_MIN_R2
     max_mape: float = fv.HYBRID_MAX_MAPE
-    fit_elasticity: bool = False
+    fit_elasticity: bool = True
     enabled: tuple[str, ...] = field(default=MODES)
 
 
@@ -72,7 +72,7 @@ def price(master: DataFrame, mode: str, model=None,
     swept = ai_output(ruled, model, "batch", settings.tolerance)
     if mode == "ai":
         return swept
-    if settings.fit_elasticity:
+    if settings.fit_elasticity and "elasticity_r2" not in swept.columns:
         swept = with_own_fit(swept)
     return choose_price(swept, settings.min_r2, settings.max_mape)
 

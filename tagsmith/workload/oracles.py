@@ -325,6 +325,7 @@ def _predicted(p: str, c: str, v: str, g: str) -> str:
 _IN_TEST = "substr(md5('42:' || sku_id), 1, 8) < '33333333'"
 _least_squares("tr", f"NOT ({_IN_TEST})")
 _least_squares("al", "true")
+_least_squares("t7", f"NOT ({_IN_TEST.replace('42:', '7:')})")
 PARTS["pairs"] = f"""SELECT sku_id, demand_qty AS actual,
     {_predicted('price', 'competitor_price', 'inventory_level', 'price_diff_pct')} AS predicted
   FROM clean, tr_coef WHERE {_IN_TEST}"""
@@ -364,8 +365,10 @@ def _rows(old: str, new: str, names: tuple[str, str, str, str], source: str) ->
 _CUR, _NEW, _AIR = "current_price * demand_qty", "new_price * demand_qty", \
     "ai_optimal_price * demand_qty"
 _DASH = {
-    "current_revenue": "cur", "rule_revenue": "ai", "rule_vs_current_change": "ai - cur",
-    "rule_vs_current_pct": zero_pct("ai - cur", "cur"), "ai_revenue": "ai",
+    "current_revenue": "cur", "chosen_revenue": "ai", "chosen_vs_current_change": "ai - cur",
+    "chosen_vs_current_pct": zero_pct("ai - cur", "cur"), "rule_revenue": "rul",
+    "rule_vs_current_change": "rul - cur", "rule_vs_current_pct": zero_pct("rul - cur", "cur"),
+    "ai_revenue": "ai",
     "ai_vs_rule_lift": "ai - rul", "ai_vs_rule_pct": zero_pct("ai - rul", "rul"),
     "ai_vs_current_lift": "ai - cur", "ai_vs_current_pct": zero_pct("ai - cur", "cur"),
     "champion_revenue": "champ", "challenger_revenue": "chall",
@@ -592,12 +595,14 @@ BODIES: dict[str, str] = {
     "golden_csv_fallback": "SELECT *, 'x' AS note FROM clean",
     "file_as_table": """SELECT p_partkey AS part_key, p_name AS name_en, p_retailprice AS price_eur
         FROM part""",
-    "priced_table": """SELECT s.sku_id,
-        CASE WHEN alert_flag THEN current_price ELSE new_price END AS final_price,
-        CASE WHEN alert_flag THEN 'Manual review (alert triggered)' ELSE 'Rule-based pricing' END
+    "priced_table": f"""SELECT s.sku_id,
+        {_HYBRID.format(alert='current_price', ai='ai_optimal_price', rule='new_price')}
+          AS final_price,
+        {_HYBRID.format(alert="'Manual review (alert triggered)'",
+                        ai="'AI optimized pricing'", rule="'Rule-based pricing'")}
           AS pricing_strategy, champion_revenue, challenger_revenue,
         '2024-01-31_120000' AS run_date, 'v1.0' AS model_version, 'A1B2C3' AS run_id
-      FROM swept s JOIN (SELECT sku_id, champion_revenue, challenger_revenue FROM paired) p
+      FROM swept s LEFT JOIN fits f ON s.sku_id = f.sku_id JOIN (SELECT sku_id, champion_revenue, challenger_revenue FROM paired) p
         ON s.sku_id = p.sku_id""",
     "registry_table": """
       SELECT * REPLACE (CASE WHEN model_name = '5-LOW' AND environment = 'O' THEN false
@@ -648,6 +653,14 @@ BODIES["train_rf"] = BODIES["train_gbt"] = f"""
   SELECT (SELECT count(*) FROM t) AS train_rows, true AS closer_than_mean, count(*) AS test_rows,
     count(*) AS finite_scores, {rnd('avg(abs(y - (SELECT avg(y) FROM t)))', 6)} AS mean_model_mae
   FROM s"""
+_EACH = _predicted(*_FEATURES)
+BODIES["registered_champions"] = f"""
+  WITH a AS (SELECT sku_id, {_EACH} AS champion_demand, current_price FROM sold, t7_coef),
+  b AS (SELECT sku_id, {_EACH} AS challenger_demand FROM sold, tr_coef)
+  SELECT sku_id, {rnd('champion_demand', 4)} AS champion_demand,
+    {rnd('challenger_demand', 4)} AS challenger_demand,
+    {rnd('champion_demand * current_price')} AS champion_revenue,
+    {rnd('challenger_demand * current_price')} AS challenger_revenue FROM a JOIN b USING (sku_id)"""
 BODIES["train_leafwise"] = boosted_oracle.nodes(3)
 BODIES["leafwise_demand"] = boosted_oracle.predicted(3)
 BODIES["tune_random"] = """SELECT CAST(20 AS BIGINT) AS trials, true AS in_space,

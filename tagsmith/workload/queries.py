@@ -26,7 +26,9 @@ from tagsmith.operators.sweep import ai_output as with_ai, sweep_prices
 from tagsmith.operators.tree_demand import demand_model, from_boosted
 from tagsmith.plans.pricing import PricingSettings, Run, price, stamp
 from tagsmith.plans.request_pricing import price_requests
-from tagsmith.plans.training import TrainingSpec, registered_model, train, train_and_register
+from tagsmith.plans.training import (
+    TrainingSpec, champion_and_challenger, registered_model, train, train_and_register,
+)
 from tagsmith.sources import feeds
 from tagsmith.sources.columns import sanitize_names
 from tagsmith.sources.tables import materialized, shared_folder
@@ -207,8 +209,9 @@ def elasticity_fit(spark, sf):
 
 @query
 def elasticity_price(spark, sf):
+    """The fit in the row of the master, which has one row per SKU and its sales."""
     return elasticity.optimal_price(
-        elasticity.with_fit(r.master(spark, sf), _fits(spark, sf))).select(
+        elasticity.with_own_fit(r.master_with_sales(spark, sf))).select(
         "sku_id", "current_price", "elasticity_price")
 
 
@@ -245,7 +248,7 @@ def hybrid_price(spark, sf):
 
 @query
 def priced_output_stamped(spark, sf):
-    settings = PricingSettings(max_mape=2.9, fit_elasticity=True)
+    settings = PricingSettings(max_mape=2.9)
     priced = price(r.master_with_sales(spark, sf), "hybrid", r.CHAMPION, settings)
     return stamp(priced, RUN).select(
         "sku_id", "final_price", "pricing_strategy", "run_date", "model_version", "run_id")
@@ -588,6 +591,22 @@ def registered_model_price(spark, sf):
     return with_ai(_ruled(spark, sf), model).select(*_AI)
 
 
+@query
+def registered_champions(spark, sf):
+    """Two versions trained and registered; the newest and the one before it, compared on every SKU."""
+    base = f"{shared_folder(spark)}/models_{uuid.uuid4().hex}"
+    rows = materialized(_golden_raw(spark, sf), "golden")
+    train_and_register(rows, TrainingSpec("linear"), f"{base}/models", f"{base}/1", datetime(2024, 1, 1))
+    train_and_register(rows, TrainingSpec("linear", "v2.0", seed=7), f"{base}/models", f"{base}/2",
+                       datetime(2024, 1, 2), spark.read.parquet(f"{base}/1"))
+    pair = champion_and_challenger(spark, f"{base}/2", "linear")
+    scored = revenue.score_champion_challenger(r.master_with_sales(spark, sf), *pair)
+    return scored.select("sku_id", *[round_to(F.col(f"{who}_demand"), 4).alias(f"{who}_demand")
+                                     for who in ("champion", "challenger")],
+                         *[round_to(F.col(f"{who}_revenue"), 2).alias(f"{who}_revenue")
+                           for who in ("champion", "challenger")])
+
+
 @query
 def intent_classifier(spark, sf):
     """All queries classified, and more of them right than by naming the most frequent intent."""

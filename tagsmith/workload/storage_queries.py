@@ -11,7 +11,7 @@ from tagsmith.operators.features import (
     event_counts, event_counts_from_map, inventory_features, parse_offers, sku_sales,
 )
 from tagsmith.operators.master import build_master, master_from_feeds
-from tagsmith.plans.pricing import Run, run_pricing
+from tagsmith.plans.pricing import PricingSettings, Run, run_pricing
 from tagsmith.plans.request_pricing import publish_features, reload_features
 from tagsmith.sources import feeds, tables
 from tagsmith.workload import roles as r
@@ -206,6 +206,7 @@ def priced_table(spark, sf):
     """A whole hybrid run, written and read back by its run id."""
     out = run_pricing(r.master_with_sales(spark, sf), "hybrid", f"{_folder(spark)}/priced",
                       r.CHAMPION, r.CHAMPION, r.CHALLENGER,
+                      settings=PricingSettings(max_mape=2.9),
                       run=Run("2024-01-31_120000", "v1.0", "A1B2C3"))
     return out["priced"].select("sku_id", "final_price", "pricing_strategy", "champion_revenue",
                                 "challenger_revenue", "run_date", "model_version", "run_id")

@@ -234,7 +234,9 @@ def test_pricing_job_writes_and_compares(spark, tmp_path):
     board = {r["metric"]: r["value"] for r in out["dashboard"].collect()}
     priced = out["priced"].toPandas()
     assert board["current_revenue"] == round((priced.current_price * priced.demand_qty).sum(), 2)
-    assert board["rule_revenue"] == round((priced.final_price * priced.demand_qty).sum(), 2)
+    assert board["chosen_revenue"] == round((priced.final_price * priced.demand_qty).sum(), 2)
+    assert board["rule_revenue"] == round((priced.new_price * priced.demand_qty).sum(), 2)
+    assert set(priced.pricing_strategy) >= {"AI optimized pricing", "Manual review (alert triggered)"}
     assert out["champion_challenger"].first()["champion_revenue"] > 0
     empty = first["champion_challenger"].first()
     assert empty["champion_revenue"] is None and empty["lift_pct"] is None
