@@ -2,50 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, StringIndexer, Tokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagsmith.functions import fixed_values as fv
 from tagsmith.functions.text import clean_query
+from tagsmith.operators.intents import IntentModel, predict_intents
 
 
 def clean_queries(queries: DataFrame, text_col: str = "search_query") -> DataFrame:
     return queries.withColumn(text_col, clean_query(F.col(text_col)))
 
 
-def train_intents(labelled: DataFrame, text_col: str = "search_query",
-                  label_col: str = "standard_attribute_key", n_features: int = 1 << 18,
-                  max_iter: int = 20) -> PipelineModel:
-    """Hashed, weighted words into a multinomial logistic regression."""
-    return Pipeline(stages=[
-        Tokenizer(inputCol=text_col, outputCol="_words"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=n_features),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        StringIndexer(inputCol=label_col, outputCol="_label", handleInvalid="skip",
-                      stringOrderType="alphabetAsc"),
-        LogisticRegression(featuresCol="_tfidf", labelCol="_label", maxIter=max_iter),
-    ]).fit(labelled)
-
-
-def predict_intents(model: PipelineModel, queries: DataFrame, text_col: str = "search_query",
-                    out: str = "standard_attribute_key") -> DataFrame:
-    """The most likely intent of each query and its probability."""
-    words, tf, idf, indexer, classifier = model.stages
-    scored = queries.drop(out)
-    for stage in (words, tf, idf, classifier):
-        scored = stage.transform(scored)
-    names = F.array(*[F.lit(n) for n in indexer.labels])
-    best = F.col("prediction").cast("int")
-    return scored.select(
-        *[c for c in queries.columns if c != out],
-        F.get(names, best).alias(out),
-        F.array_max(vector_to_array("probability")).alias("confidence_score"))
-
-
 def confident(predictions: DataFrame,
               threshold: float = fv.INTENT_MIN_CONFIDENCE) -> DataFrame:
     """Low-confidence predictions are ignored; each query keeps its single intent."""
@@ -67,7 +35,7 @@ def gap_counts(gap_rows: DataFrame) -> DataFrame:
         F.count_distinct("sku").alias("skus_affected"))
 
 
-def write_gap_tables(bronze: DataFrame, model: PipelineModel, sku_attributes: DataFrame,
+def write_gap_tables(bronze: DataFrame, model: IntentModel, sku_attributes: DataFrame,
                      bronze_path: str, silver_path: str, gaps_path: str,
                      threshold: float = fv.INTENT_MIN_CONFIDENCE) -> None:
     """bronze (as received) to silver (cleaned, confident) to gaps. Each step reads the table

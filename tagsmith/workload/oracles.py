@@ -669,11 +669,36 @@ BODIES["tune_grid"] = """SELECT CAST(4 AS BIGINT) AS trials, true AS in_space,
     true AS best_is_least"""
 BODIES["feature_importances"] = """SELECT CAST(4 AS BIGINT) AS features,
     CAST(4 AS BIGINT) AS shares, CAST(1 AS DOUBLE) AS total"""
-BODIES["intent_classifier"] = """SELECT sum(n)::BIGINT AS queries, sum(n)::BIGINT AS scored,
-    max(n) AS majority, true AS above_majority
-  FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)"""
-BODIES["gap_chain"] = """SELECT count(*) AS bronze_rows, true AS silver_is_part,
-    true AS silver_is_confident, true AS met_or_gap FROM documents"""
+
+
+def _bayes(condition: str) -> str:
+    """Tables best (doc_id, intent, confidence): multinomial Bayes trained on the texts that meet a condition."""
+    return f"""
+  t AS (SELECT doc_id, lang, unnest([x FOR x IN string_split(search_query, ' ') IF x <> '']) AS term
+      FROM ({BODIES['query_text_clean']}) JOIN documents ON user_pseudo_id = CAST(doc_id AS VARCHAR)),
+  c AS (SELECT lang AS intent, term, count(*) AS n FROM t WHERE {condition} AND lang IS NOT NULL GROUP BY 1, 2),
+  k AS (SELECT lang AS intent, CAST(round(ln(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM documents WHERE {condition} AND lang IS NOT NULL)) * 1000000) AS BIGINT) AS prior
+      FROM documents WHERE {condition} AND lang IS NOT NULL GROUP BY 1),
+  u AS (SELECT intent, -CAST(round(ln(coalesce(sum(n), 0) + CAST((SELECT count(DISTINCT term) FROM c) AS DOUBLE)) * 1000000) AS BIGINT) AS unseen
+      FROM k LEFT JOIN c USING (intent) GROUP BY 1),
+  known AS (SELECT doc_id, count(*) AS n FROM t WHERE term IN (SELECT term FROM c) GROUP BY 1),
+  seen AS (SELECT doc_id, intent, sum(CAST(round(ln(c.n + 1.0::DOUBLE) * 1000000) AS BIGINT)) AS weight FROM t JOIN c USING (term) GROUP BY 1, 2),
+  s AS (SELECT d.doc_id, k.intent, prior + unseen * coalesce(known.n, 0) + coalesce(weight, 0) AS score
+      FROM documents d CROSS JOIN k JOIN u USING (intent) LEFT JOIN known ON known.doc_id = d.doc_id
+      LEFT JOIN seen ON seen.doc_id = d.doc_id AND seen.intent = k.intent),
+  best AS (SELECT doc_id, arg_max(intent, (score, 0)) FILTER (WHERE place = 1) AS intent, 1 / sum(exp((score - top) / 1000000.0::DOUBLE)) AS confidence
+      FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS top, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, intent) AS place FROM s)
+      GROUP BY doc_id)"""
+
+
+BODIES["intent_classifier"] = f"""WITH {_bayes('true')}
+  SELECT CAST(doc_id AS VARCHAR) AS user_pseudo_id, intent AS standard_attribute_key, {rnd('confidence', 6)} AS confidence_score FROM best"""
+BODIES["gap_chain"] = f"""WITH {_bayes('doc_id % 2 = 0')}
+  SELECT CAST(d.doc_id AS VARCHAR) AS user_pseudo_id, q.search_query, source AS sku, intent AS standard_attribute_key,
+    {rnd('confidence', 6)} AS confidence_score, 'v1' AS model_version, TIMESTAMP '2024-01-01' + to_minutes(d.doc_id) AS event_timestamp
+  FROM best JOIN documents d USING (doc_id) JOIN ({BODIES['query_text_clean']}) q ON q.user_pseudo_id = CAST(doc_id AS VARCHAR)
+  WHERE confidence >= 0.70 AND NOT EXISTS (SELECT 1 FROM documents g JOIN labels l ON g.doc_id = l.doc_id
+    WHERE l.quality = 1 AND g.source = d.source AND g.lang = best.intent)"""
 BODIES["event_counts_json_feed"] = BODIES["ga4_preagg_counts"]
 
 

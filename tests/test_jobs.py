@@ -14,6 +14,7 @@ from tagsmith.functions import fixed_values as fv
 from tagsmith.operators import evaluation, registry, requests as rq, revenue, textgap, training
 from tagsmith.operators.demand_models import LinearDemand, MLlibDemand
 from tagsmith.operators.features import event_counts
+from tagsmith.operators.intents import train_intents
 from tagsmith.operators.ordering import running_total
 from tagsmith.operators.splits import random_split, time_split
 from tagsmith.operators.sweep import sweep_prices
@@ -241,7 +242,7 @@ def test_gap_tables(spark, tmp_path):
     bronze = spark.createDataFrame(
         data, "user_pseudo_id string, search_query string, sku string, "
         "standard_attribute_key string, model_version string, event_timestamp timestamp")
-    model = textgap.train_intents(textgap.clean_queries(bronze), max_iter=10)
+    model = train_intents(textgap.clean_queries(bronze))
     catalogue = spark.createDataFrame([("s0", "size"), ("s0", "size"), ("s1", "size"),
                                        ("s0", "colour")], "sku string, standard_attribute_key string")
     paths = [str(tmp_path / n) for n in ("bronze", "silver", "gaps")]
