@@ -24,8 +24,8 @@ from tagsmith.llm.pretokens import PreTokenizer
 HEAVY = 1 << 19
 #: Distinct strings, and bytes of packed frequencies, that a task keeps at once.
 KEPT, PACKED = 300_000, 24_000_000
-#: One frequency: document, 32 bits of its text's key, times; the highest bit of times marks a null id.
-_POST = np.dtype([("id", "<i8"), ("key", "<i4"), ("times", "<u4")])
+#: One frequency: document, 64 bits of its text's hash, times; the highest bit of times marks a null id.
+_POST = np.dtype([("id", "<i8"), ("key", "<i8"), ("times", "<u4")])
 _NULL = 1 << 31
 
 
@@ -121,16 +121,16 @@ def token_counts(docs: DataFrame, path: str, heavy: int = HEAVY, doc_id: str | C
             whole: dict[str, list] = {c: [] for c in ("doc_id", "text_key", "n_bytes", "n_tokens")}
             for i, text in zip(b["doc_id"], b["text"], strict=True):
                 text = text or ""
-                key = text_key(text) >> 32
+                key = text_key(text)
                 found, done = freq.of(text)
-                head, flag = (i or 0).to_bytes(8, "little", signed=True) + key.to_bytes(4, "little", signed=True), _NULL * (i is None)
+                head, flag = (i or 0).to_bytes(8, "little", signed=True) + key.to_bytes(8, "little", signed=True), _NULL * (i is None)
                 for t, n in found.items():
                     p = light.get(t)
                     if p is not None:
                         done += p * n
                         continue
                     post = head + (small[n] if n < 256 and not flag else (n | flag).to_bytes(4, "little"))
-                    size += 16
+                    size += _POST.itemsize
                     if t in posts:
                         posts[t] += post
                     else:
@@ -163,14 +163,14 @@ def token_counts(docs: DataFrame, path: str, heavy: int = HEAVY, doc_id: str | C
             for t in set(tokens) - known.keys():
                 known[t] = pre.pieces(t)
             each = np.frombuffer(b"".join(posts), _POST)
-            pieces = np.repeat(np.array([known[t] for t in tokens], np.int64), np.array([len(p) // 16 for p in posts]))
+            pieces = np.repeat(np.array([known[t] for t in tokens], np.int64), np.array([len(p) // _POST.itemsize for p in posts]))
             null = each["times"] >= _NULL
             ids = each["id"] if not null.any() else [None if x else i for i, x in zip(each["id"].tolist(), null.tolist(), strict=True)]
             yield {"doc_id": ids, "text_key": each["key"], "n_bytes": [None] * len(each), "n_tokens": pieces * (each["times"] % _NULL)}
 
-    rows = map_arrow(docs, frequencies, "doc_id bigint, text_key int, n_bytes bigint, n_tokens bigint, token string, posts binary")
+    rows = map_arrow(docs, frequencies, "doc_id bigint, text_key bigint, n_bytes bigint, n_tokens bigint, token string, posts binary")
     by = F.when(F.col("token").isNotNull(), F.xxhash64("token")).otherwise(F.xxhash64("doc_id", "text_key"))
-    joined = map_arrow(rows.repartition(by), join, "doc_id bigint, text_key int, n_bytes bigint, n_tokens bigint")
+    joined = map_arrow(rows.repartition(by), join, "doc_id bigint, text_key bigint, n_bytes bigint, n_tokens bigint")
     summed = joined.groupBy("doc_id", "text_key").agg(
         F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n"), F.count("n_bytes").alias("copies"))
     return summed.select(

@@ -68,6 +68,24 @@ def test_round_trip_and_counts(spark, docs):
     assert token_counts.token_counts(docs.where("false"), vocabulary()).count() == 0
 
 
+def test_counts_of_rows_whose_texts_share_half_a_hash(spark):
+    """Rows without an id are told apart by 64 bits of their text's hash, so equal upper or lower halves don't merge them."""
+    from tagsmith.llm.common import text_key
+
+    for half in (lambda k: k >> 32, lambda k: k & 0xFFFFFFFF):
+        seen, pair = {}, None
+        for i in range(2_000_000):
+            text = f"word {i} " * (1 + i % 3)
+            if (at := half(text_key(text))) in seen:
+                pair = seen[at], text
+                break
+            seen[at] = text
+        ids, _ = _library(pair)
+        docs = spark.createDataFrame([(None, t) for t in pair], "doc_id bigint, text string")
+        got = token_counts.token_counts(docs, vocabulary(), heavy=4).collect()
+        assert sorted(map(tuple, got)) == sorted((None, len(t), len(x)) for t, x in zip(pair, ids))
+
+
 def _windows(items, size):
     out = {}
     for i, t in items:
