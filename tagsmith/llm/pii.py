@@ -70,18 +70,29 @@ _CLASS = {c: a for a in _ALPHABETS for c in a}
 
 
 def permute(values: list[int], radices: list[int], key: bytes, tweak: str) -> list[int]:
-    """A keyed permutation of all lists of values under these radices: an unbalanced Feistel network."""
+    """A keyed permutation of all lists of values under these radices, none of which stays as it is (unless there
+    is only one): through an unbalanced Feistel network, one step on, and back through the network."""
     n = len(values)
     if n == 1:
         order = sorted(range(radices[0]), key=lambda v: hmac.digest(key, f"{tweak}|one|{radices[0]}|{v}".encode(), "sha256"))
         return [order[(order.index(values[0]) + 1) % radices[0]]]
     half, out = n // 2, list(values)
-    for turn in range(10):
-        mine, other = (range(half), range(half, n)) if turn % 2 else (range(half, n), range(half))
-        seed = hmac.digest(key, f"{tweak}|{radices}|{turn}|{[out[i] for i in other]}".encode(), "sha256")
+
+    def turn(number: int, sign: int) -> None:
+        mine, other = (range(half), range(half, n)) if number % 2 else (range(half, n), range(half))
+        seed = hmac.digest(key, f"{tweak}|{radices}|{number}|{[out[i] for i in other]}".encode(), "sha256")
         stream = hashlib.shake_256(seed).digest(8 * len(mine))
         for k, i in enumerate(mine):
-            out[i] = (out[i] + int.from_bytes(stream[8 * k : 8 * k + 8], "little")) % radices[i]
+            out[i] = (out[i] + sign * int.from_bytes(stream[8 * k : 8 * k + 8], "little")) % radices[i]
+
+    for number in range(10):
+        turn(number, 1)
+    for i in range(n):  # the next list, as the next number
+        out[i] = (out[i] + 1) % radices[i]
+        if out[i]:
+            break
+    for number in reversed(range(10)):
+        turn(number, -1)
     return out
 
 
