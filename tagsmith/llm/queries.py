@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tagsmith.llm import ann, bpe, collocations, decontamination, licenses, ngram_join, periodic_runs, pii, quality, suffix_tree, token_counts, token_files, urls
+from tagsmith.llm.common import fresh
 from tagsmith.llm.oracles import oracle_sql  # noqa: F401 (the entry reads it here)
 
 #: Whoever runs this on real data passes a secret of their own to `pii.pseudonymised`.
@@ -68,8 +69,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    done = quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
-    return done.select("doc_id", "quality_score.*", (F.col("quality_score.score") < 0.5).alias("rejected"))
+    name = fresh(docs, "quality_score")
+    done = quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")), name)
+    return done.select("doc_id", f"{name}.*", (F.col(f"{name}.score") < 0.5).alias("rejected"))
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

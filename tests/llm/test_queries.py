@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tagsmith.llm import pii, queries
@@ -27,6 +28,13 @@ def test_sql(spark):
         assert Counter(map(tuple, got.collect())) == Counter(con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall())
 
 
+def test_quality_beside_a_column_of_its_name(spark, tmp_path):
+    queries.read(spark, SF, "documents").withColumn("quality_score", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    queries.read(spark, SF, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op8_quality(spark, str(tmp_path))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, queries.op8_quality(spark, SF).collect()))
+
+
 def test_pipeline(spark):
     docs = queries.read(spark, SF, "documents")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
