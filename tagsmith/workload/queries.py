@@ -452,9 +452,9 @@ def stream_ga4_counts(spark, sf):
     """All events through the stream in available-now mode, then the totals."""
     stream = spark.readStream.schema(r.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
     base = f"{shared_folder(spark)}/event_counts_{uuid.uuid4().hex}"
-    run = start_event_counts(r.shape_events(stream), f"{base}/deltas", f"{base}/checkpoint")
+    run = start_event_counts(r.shape_events(stream), f"{base}/totals", f"{base}/checkpoint")
     run.awaitTermination()
-    return total_event_counts(spark, f"{base}/deltas")
+    return total_event_counts(spark, f"{base}/totals")
 
 
 @query

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tagsmith.functions import fixed_values as fv
 from tagsmith.operators import evaluation, registry, requests as rq, revenue, textgap, training
 from tagsmith.operators.demand_models import LinearDemand, MLlibDemand
-from tagsmith.operators.features import event_counts
+from tagsmith.operators.features import event_counts, event_items
 from tagsmith.operators.intents import train_intents
 from tagsmith.operators.ordering import running_total
 from tagsmith.operators.splits import random_split, time_split
@@ -24,7 +24,7 @@ from tagsmith.plans.training import (
     TrainingSpec, champion_and_challenger, registered_model, train, train_and_register,
 )
 from tagsmith.streaming.web_events import (
-    start_event_counts, total_event_counts, windowed_event_counts,
+    start_event_counts, start_window_counts, total_event_counts, total_window_counts,
 )
 from tagsmith.workload import roles as r
 
@@ -259,21 +259,44 @@ def test_stream_totals_equal_batch(spark, sf, tmp_path):
     r.table(spark, sf, "events").repartition(4).write.parquet(source)
     stream = lambda: r.shape_events(spark.readStream.schema(r.SCHEMAS["events"])
                                     .option("maxFilesPerTrigger", 1).parquet(source))
-    deltas, mark = str(tmp_path / "deltas"), str(tmp_path / "mark")
+    totals, mark = str(tmp_path / "totals"), str(tmp_path / "mark")
     for _ in range(2):  # the second start finds nothing new
-        start_event_counts(stream(), deltas, mark).awaitTermination()
-    batch = event_counts(r.events(spark, sf))
-    assert sorted(map(tuple, total_event_counts(spark, deltas).collect())) == sorted(
-        map(tuple, batch.collect()))
-    windows = windowed_event_counts(stream(), "ts", "1 day", "1 day")
-    query = (windows.writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", str(tmp_path / "wmark"))
-             .trigger(availableNow=True).start(str(tmp_path / "windows")))
-    query.awaitTermination()
-    closed = spark.read.parquet(str(tmp_path / "windows"))
-    totals = closed.agg(F.sum("views"), F.sum("add_to_cart")).first()
-    whole = batch.agg(F.sum("views"), F.sum("add_to_cart")).first()
-    assert closed.count() > 0 and 0 < totals[0] <= whole[0]
+        start_event_counts(stream(), totals, mark).awaitTermination()
+    batch = sorted(map(tuple, event_counts(r.events(spark, sf)).collect()))
+    got = total_event_counts(spark, totals)
+    assert sorted(map(tuple, got.collect())) == batch
+    # more events after a restart: the state goes on, the totals are read from one folder
+    r.table(spark, sf, "events").write.mode("append").parquet(source)
+    start_event_counts(stream(), totals, mark).awaitTermination()
+    got = total_event_counts(spark, totals)
+    assert sorted(map(tuple, got.collect())) == [(k, 2 * v, 2 * c) for k, v, c in batch]
+    assert len({f.rsplit("/", 2)[1] for f in got.inputFiles()}) == 2  # all that there is, however many batches
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in text and "PartitionFilters: [isnotnull(batch" in text
+
+
+def test_windows_of_a_stream(spark, sf, tmp_path):
+    source, table, mark = (str(tmp_path / n) for n in ("in", "windows", "mark"))
+    r.table(spark, sf, "events").repartition(3).write.parquet(source)
+
+    def run(**settings):
+        raw = spark.readStream.schema(r.SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(source)
+        start_window_counts(r.shape_events(raw), "ts", table, mark, "1 day", **settings).awaitTermination()
+        return sorted(map(tuple, total_window_counts(spark, table).collect()), key=repr)
+
+    items = event_items(r.events(spark, sf), keep=["ts"])
+    batch = items.groupBy(F.date_trunc("day", "ts").cast("timestamp").alias("d"), "sku_id").agg(
+        F.count_if(F.col("event_name") == "view_item"), F.count_if(F.col("event_name") == "add_to_cart"))
+    want = sorted(map(tuple, batch.collect()), key=repr)
+    assert run() == want
+    # one late event changes its own window alone
+    before = {f for f in spark.read.parquet(table).inputFiles()}
+    first = r.table(spark, sf, "events").where("event_type = 'view'").orderBy("ts").limit(1)
+    first.write.mode("append").parquet(source)
+    again = run()
+    assert sum(x[2] for x in again) == sum(x[2] for x in want) + 1 and len(again) == len(want)
+    gone = before - {f for f in spark.read.parquet(table).inputFiles()}
+    assert len({f.rsplit("/", 2)[1] for f in gone}) == 1
 
 
 # --- training ----------------------------------------------------------------------------------------------

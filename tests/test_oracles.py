@@ -4,12 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_file
+from tagsmith.workload import oracles, queries as workload
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
          "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
-QUERIES, ORACLES = entry_file.queries(), entry_file.oracle_sql()
+QUERIES, ORACLES = workload.registered(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
