@@ -534,6 +534,25 @@ def leafwise_demand(spark, sf):
     return scored.select("sku_id", F.col("demand_qty").alias("actual"), "predicted")
 
 
+@query
+def leafwise_importances(spark, sf):
+    """Every feature's share of what all splits have gained."""
+    model, _ = _leafwise(spark, sf)
+    rows = [(c, share) for c, share in training.feature_importances(model)]
+    frame = spark.createDataFrame(rows, "feature string, importance double")
+    return frame.withColumn("importance", round_to(F.col("importance"), 9))
+
+
+@query
+def tune_leafwise(spark, sf):
+    """Every point of a grid with its cross-validated error; one fit a fold serves all numbers of rounds."""
+    grid = {"num_leaves": [4, 8], "n_estimators": [1, 2, 3]}
+    _, best, trials = training.grid_search(_frame(spark, sf), "lightgbm", grid, "sku_id")
+    rows = [(p["num_leaves"], p["n_estimators"], mae, p == best) for p, mae in trials]
+    frame = spark.createDataFrame(rows, "num_leaves bigint, n_estimators bigint, mae double, is_best boolean")
+    return frame.withColumn("mae", round_to(F.col("mae"), 6))
+
+
 def _frame(spark, sf):
     raw = _golden_raw(spark, sf)
     rows = training.training_frame(quality.clean_golden(raw, raw.columns), keep=("sku_id",))
