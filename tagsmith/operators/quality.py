@@ -28,7 +28,7 @@ def require_columns(df: DataFrame, expected: list[str], raise_on_error: bool = T
     return not missing
 
 
-def _absent(df: DataFrame, name: str) -> Column:
+def is_absent(df: DataFrame, name: str) -> Column:
     c = F.col(name)
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
         return c.isNull() | F.isnan(c)
@@ -38,7 +38,7 @@ def _absent(df: DataFrame, name: str) -> Column:
 def null_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: its null count and the row count, from a single pass."""
     counts = df.agg(F.count(F.lit(1)).alias("row_count"),
-                    *[F.count_if(_absent(df, c)).alias(c) for c in columns])
+                    *[F.count_if(is_absent(df, c)).alias(c) for c in columns])
     return counts.unpivot("row_count", list(columns), "column_name", "null_count").select(
         "column_name", "null_count", "row_count")
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagsmith.functions import fixed_values as fv
+from tagsmith.operators import sequential
 from tagsmith.operators.boosting import BoostedModel, BoostingParams, fit_boosted
 from tagsmith.operators.tree_demand import from_boosted
 
@@ -162,7 +163,7 @@ def staged_errors(model: BoostedModel, frame: DataFrame, rounds: list[int]) -> l
 
 
 def search_boosted(train: DataFrame, candidates: list[dict], key: str, folds: int = 3,
-                   features: list[str] | None = None):
+                   features: list[str] | None = None, refit: bool = True):
     """Cross-validated search of leaf-wise trees by mean absolute error.
 
     Candidates that differ in `n_estimators` only share one fit of the largest, whose beginnings are
@@ -183,17 +184,19 @@ def search_boosted(train: DataFrame, candidates: list[dict], key: str, folds: in
             for i, k in zip(members, rounds):
                 errors[i] += found[k] / folds
     best = candidates[min(range(len(candidates)), key=errors.__getitem__)]
-    return fit_model(train, "lightgbm", best, features), best, list(zip(candidates, errors))
+    model = fit_model(train, "lightgbm", best, features) if refit else None
+    return model, best, list(zip(candidates, errors))
 
 
 def search(train: DataFrame, name: str, candidates: list[dict], key: str, folds: int = 3,
-           parallelism: int = 4):
+           parallelism: int = 4, refit: bool = True):
     """Cross-validated search by mean absolute error.
 
-    Returns the model refitted on all rows, its parameters, and [(params, mae)] of all trials.
+    Returns the model refitted on all rows (None without `refit`), its parameters, and [(params, mae)]
+    of all trials.
     """
     if name == "lightgbm":
-        return search_boosted(train, candidates, key, folds)
+        return search_boosted(train, candidates, key, folds, refit=refit)
     maps = [_set_params(make_estimator(name, c)) for c in candidates]
     base = make_estimator(name)
     validator = CrossValidator(
@@ -214,6 +217,14 @@ def random_search(train: DataFrame, name: str, key: str,
     return search(train, name, [draw(rng) for _ in range(trials)], key, folds, parallelism)
 
 
+def sequential_model_search(train: DataFrame, name: str, space: sequential.Space, key: str, trials: int = 50,
+                            folds: int = 3, seed: int = SEED):
+    """Search whose draws depend on the errors of the earlier ones; returns as `search` does."""
+    params, done = sequential.sequential_search(
+        lambda p: search(train, name, [p], key, folds, refit=False)[2][0][1], space, trials, seed)
+    return fit_model(train, name, params), params, done
+
+
 def grid_search(train: DataFrame, name: str, grid: dict[str, list], key: str, folds: int = 3,
                 parallelism: int = 4):
     """Search over every combination of a parameter grid."""

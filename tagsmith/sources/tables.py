@@ -6,12 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagsmith.functions.fixed_values import GOLDEN_COLUMNS
-from tagsmith.operators.quality import clean_golden
+from tagsmith.operators.quality import clean_golden, is_absent, require_columns
 from tagsmith.sources.columns import sanitize_names
 
 
@@ -65,6 +65,18 @@ def file_to_table(spark: SparkSession, source: str, target: str,
     table.write.format(fmt).mode("overwrite").option("overwriteSchema", "true").save(target)
 
 
+def write_measured(df: DataFrame, path: str, columns: list[str]) -> DataFrame:
+    """Write the frame and return its null report (column_name, null_count, row_count), which is counted
+    while the rows are written: the frame is neither computed nor read a second time."""
+    require_columns(df, columns)
+    seen = Observation()
+    nulls = [F.count_if(is_absent(df, c)).alias(f"nulls_{i}") for i, c in enumerate(columns)]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *nulls).write.mode("errorifexists").parquet(path)
+    found = seen.get
+    rows = [(c, found[f"nulls_{i}"], found["rows"]) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "column_name string, null_count bigint, row_count bigint")
+
+
 # --- priced output -----------------------------------------------------------------------
 def output_name(mode: str, run_date: str, model_version: str, run_id: str) -> str:
     return f"{mode}_pricing_output_{run_date}_{model_version}_{run_id}.csv"

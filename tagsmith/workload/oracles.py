@@ -662,6 +662,7 @@ BODIES["registered_champions"] = f"""
     {rnd('champion_demand * current_price')} AS champion_revenue,
     {rnd('challenger_demand * current_price')} AS challenger_revenue FROM a JOIN b USING (sku_id)"""
 BODIES["train_leafwise"] = boosted_oracle.nodes(3)
+BODIES["written_null_report"] = BODIES["null_report"]
 BODIES["leafwise_importances"] = boosted_oracle.importances(3)
 BODIES["tune_leafwise"] = boosted_oracle.grid_errors([4, 8], [1, 2, 3], 3)
 BODIES["leafwise_demand"] = boosted_oracle.predicted(3)

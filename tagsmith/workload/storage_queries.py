@@ -173,6 +173,13 @@ def feeds_to_master(spark, sf):
     return master_from_feeds(feeds.load_all(spark, folder))
 
 
+@query
+def written_null_report(spark, sf):
+    """Nulls of the raw training rows, counted by the write itself."""
+    raw = _golden(spark, sf)
+    return tables.write_measured(raw, f"{_folder(spark)}/golden", raw.columns)
+
+
 def _golden(spark, sf):
     return golden.master_to_golden(r.master(spark, sf), r.orders(spark, sf))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagsmith.operators.features import (
     event_counts, event_counts_from_map, one_item_per, parse_offers,
 )
+from tagsmith.operators import quality
 from tagsmith.operators.master import master_from_feeds
 from tagsmith.operators.requests import find_ids, find_requested
 from tagsmith.plans.pricing import Run, stamp
@@ -221,6 +222,26 @@ def test_priced_output(spark, tmp_path):
     assert spark.read.csv(target, header=True).first()["m"] == '{"s":"1"}'
 
 
+def test_a_write_counts_its_nulls(spark, tmp_path):
+    counter = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        counter.add(1)
+        return x
+
+    seen = F.udf(count, "double")
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 4 > 0, seen(F.col("id").cast("double"))).alias("x"), F.lit(None).cast("string").alias("y"))
+    got = tables.write_measured(rows, f"{tmp_path}/t", ["id", "x", "y"])
+    assert sorted(map(tuple, got.collect())) == [("id", 0, 1000), ("x", 250, 1000), ("y", 1000, 1000)]
+    written = spark.read.parquet(f"{tmp_path}/t")
+    assert written.count() == 1000 and counter.value == 1000  # the rows were computed once
+    assert sorted(map(tuple, quality.null_report(written, ["id", "x", "y"]).collect())) == sorted(map(tuple, got.collect()))
+    none = tables.write_measured(rows.where("id < 0"), f"{tmp_path}/none", ["x"])
+    assert [tuple(r) for r in none.collect()] == [("x", 0, 0)]
+    with pytest.raises(ValueError):
+        tables.write_measured(rows, f"{tmp_path}/u", ["absent"])
+
+
 def test_published_versions_stay_and_are_laid_out_for_lookups(spark, tmp_path):
     rows = spark.range(1000).select(F.concat(F.lit("s"), "id").alias("sku_id"), F.map_from_arrays(
         F.array(F.lit("a")), F.array(F.col("id").cast("string"))).alias("m"), "id")
