@@ -24,7 +24,9 @@ from tagsmith.llm.pretokens import PreTokenizer
 HEAVY = 1 << 19
 #: Distinct strings, and bytes of packed frequencies, that a task keeps at once.
 KEPT, PACKED = 300_000, 24_000_000
-#: One frequency: document, 64 bits of its text's hash, times; the highest bit of times marks a null id.
+#: Places of the bitmap of ids that come more than once.
+PLACES = 1 << 24
+#: One frequency: document, 64 bits of its text's hash if its id comes again, times; the highest bit of times marks a null id.
 _POST = np.dtype([("id", "<i8"), ("key", "<i8"), ("times", "<u4")])
 _NULL = 1 << 31
 
@@ -101,6 +103,17 @@ def heavy_pretokens(docs: DataFrame, path: str, most: int = HEAVY) -> DataFrame:
     return map_arrow(heavy, pieces, "token string, n_pieces bigint")
 
 
+def _repeated(docs: DataFrame) -> bytes:
+    """A bitmap of the places of all ids that come more than once. Places that ids share only make it fuller: a row
+    whose place is marked carries its text's hash, and needs it or not."""
+    places = docs.groupBy("doc_id", "place").agg(F.count("*").alias("n")).where("n > 1")
+    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, place & 63)")).alias("bits")).toArrow()
+    out = np.zeros(PLACES >> 6, "<i8")
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.tobytes()
+
+
 def token_counts(docs: DataFrame, path: str, heavy: int = HEAVY, doc_id: str | Column = "doc_id") -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, n_bytes, n_tokens.
 
@@ -110,18 +123,23 @@ def token_counts(docs: DataFrame, path: str, heavy: int = HEAVY, doc_id: str | C
     """
     spark = docs.sparkSession
     docs = docs.select(docs[doc_id].cast("bigint").alias("doc_id") if isinstance(doc_id, str) else doc_id.alias("doc_id"), "text")
+    docs = docs.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).cast("int"))
+    again = spark.sparkContext.broadcast(_repeated(docs))
     pieces = heavy_pretokens(docs, path, heavy).toArrow()
     common = spark.sparkContext.broadcast(dict(zip(pieces["token"].to_pylist(), pieces["n_pieces"].to_pylist(), strict=True)))
 
     def frequencies(batches: Iterator[dict]) -> Iterator[dict]:
+        bits = np.frombuffer(again.value, np.uint8)
         freq, light, small = _Frequencies(path), common.value, [n.to_bytes(4, "little") for n in range(256)]
         posts: dict[str, bytearray] = {}
         size = 0
         for b in batches:
             whole: dict[str, list] = {c: [] for c in ("doc_id", "text_key", "n_bytes", "n_tokens")}
-            for i, text in zip(b["doc_id"], b["text"], strict=True):
+            repeated = np.unpackbits(bits[np.array(b["place"], np.int64) >> 3][:, None], axis=1, bitorder="little")
+            repeated = repeated[np.arange(len(repeated)), np.array(b["place"], np.int64) & 7]
+            for i, text, twice in zip(b["doc_id"], b["text"], repeated.tolist(), strict=True):
                 text = text or ""
-                key = text_key(text)
+                key = text_key(text) if twice else 0
                 found, done = freq.of(text)
                 head, flag = (i or 0).to_bytes(8, "little", signed=True) + key.to_bytes(8, "little", signed=True), _NULL * (i is None)
                 for t, n in found.items():
