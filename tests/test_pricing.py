@@ -241,3 +241,15 @@ def test_pricing_job_writes_and_compares(spark, tmp_path):
     empty = first["champion_challenger"].first()
     assert empty["champion_revenue"] is None and empty["lift_pct"] is None
     assert set(priced.run_id) == {out["run"].run_id} and len(out["run"].run_id) == 6
+
+
+def test_stored_fits_joined_equal_fits_in_the_row(spark):
+    rows = spark.createDataFrame(
+        [("a", 10.0, 5.0), ("b", 20.0, 0.0), ("c", 30.0, None), ("d", 12.5, 900.0), ("e", None, 4.0)],
+        "sku_id string, current_price double, demand_qty double")
+    names = ["sku_id", "slope", "intercept", "elasticity_r2", "elasticity_mae", "elasticity_mape"]
+    own = elasticity.with_own_fit(rows).select(*names)
+    stored = elasticity.fit(elasticity.base_point(rows))
+    joined = elasticity.with_fit(rows, stored).select(*names)
+    assert sorted(map(tuple, joined.collect()), key=repr) == sorted(map(tuple, own.collect()), key=repr)
+    assert {r["sku_id"] for r in joined.where("slope IS NOT NULL").collect()} == {"a", "d"}
