@@ -47,7 +47,10 @@ def test_totals_survive_any_amount(spark):
 
 def test_unknown_parameters_are_an_error():
     with pytest.raises(ValueError, match="num_leaves"):
-        training.make_estimator("lightgbm", {"num_leaves": 31})
+        training.make_estimator("xgboost", {"num_leaves": 31})
+    with pytest.raises(ValueError, match="bagging"):
+        training.boosting_params({"num_leaves": 31, "bagging": 0.5})
+    assert training.boosting_params({"num_leaves": 63}).num_leaves == 63
 
 
 def test_prices_as_text_have_no_exponent(spark):
