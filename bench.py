@@ -1,7 +1,9 @@
 """Times the headline queries and prints one JSON line.
 
 Every query is run twice in a warm session and written to the `noop` sink, so the whole result is
-computed and nothing is collected. `queries` holds the second run, `first_run` the first.
+computed and nothing is collected. `queries` holds the second run, `first_run` the first. The feeds and the
+published table that queries read are written before, timed on their own under `fixtures`. `more` holds one run of
+queries that aren't part of the total, model fits and streams among them.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import time
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from tagsmith.workload import roles  # noqa: E402
 from tagsmith.workload.queries import registered  # noqa: E402
 
 HEADLINE = [
@@ -27,6 +30,14 @@ HEADLINE = [
     "classification_metrics", "registry_resolve", "registry_champion", "registry_promote",
     "query_text_clean", "gap_counts", "stream_ga4_counts", "rule_outcomes",
 ]
+MORE = ["sweep_mllib", "registered_champions", "train_leafwise", "intent_classifier", "gap_chain",
+        "stream_ga4_windows", "feeds_to_master", "priced_table"]
+
+
+def seconds(run) -> float:
+    started = time.perf_counter()
+    run()
+    return round(time.perf_counter() - started, 3)
 
 
 def main() -> None:
@@ -47,14 +58,19 @@ def main() -> None:
     only = sys.argv[1:] or HEADLINE
     first: dict[str, float] = {}
     second: dict[str, float] = {}
+    fixtures = {name: seconds(lambda role=getattr(roles, name): role(spark, sf_dir))
+                for name in ("competitor_feed", "competitor_feed_by_name", "published")}
+
+    def whole(name: str) -> float:
+        return seconds(lambda: registered()[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
+
     for name in only:
-        for target in (first, second):
-            started = time.perf_counter()
-            registered()[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            target[name] = round(time.perf_counter() - started, 3)
+        first[name] = whole(name)
+        second[name] = whole(name)
+    more = {name: whole(name) for name in MORE} if only is HEADLINE else {}
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(second.values()), 3),
-        "unit": "sec", "queries": second, "first_run": first,
+        "unit": "sec", "queries": second, "first_run": first, "fixtures": fixtures, "more": more,
         "sf": os.path.basename(sf_dir).removeprefix("sf"), "cpus": int(cpus),
     }))
     spark.stop()

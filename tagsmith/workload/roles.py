@@ -18,7 +18,7 @@ from tagsmith.operators.features import event_counts, sku_sales
 from tagsmith.operators.master import build_master, typed_features
 from tagsmith.plans.request_pricing import reload_features
 from tagsmith.sources.feeds import order_lines, prices, sku_names, stock
-from tagsmith.sources.tables import publish_table, shared_folder
+from tagsmith.sources.tables import materialized, publish_table, shared_folder
 
 CHAMPION = LinearDemand(1500.0, price=-0.5, competitor=0.1, inventory=0.02, gap=-1.0)
 CHALLENGER = LinearDemand(1400.0, price=-0.4, competitor=0.05, inventory=0.01, gap=-2.0)
@@ -146,21 +146,22 @@ def _shop_prices(spark, sf) -> DataFrame:
 
 @once
 def competitor_feed(spark, sf) -> DataFrame:
-    """One feed item per SKU, carrying our id."""
-    return _shop_prices(spark, sf).select(
-        "sku_id", "name", "feed_pos", _summary(F.col("offers")).alias("summary"))
+    """One feed item per SKU, carrying our id; written once, as a feed arrives."""
+    return materialized(_shop_prices(spark, sf).select(
+        "sku_id", "name", "feed_pos", _summary(F.col("offers")).alias("summary")), "feed_by_sku")
 
 
 @once
 def competitor_feed_by_name(spark, sf) -> DataFrame:
-    """One feed item per product name, as shops list it: each shop once, at its best price."""
+    """One feed item per product name, as shops list it: each shop once, at its best price; written once."""
     each = _shop_prices(spark, sf).select("name", "feed_pos", F.explode("offers").alias("o"))
     best = each.groupBy("name", "o.shop").agg(
         F.min("feed_pos").alias("feed_pos"), F.min("o.price").alias("price"))
     named = best.groupBy("name").agg(
         F.min("feed_pos").alias("feed_pos"),
         F.sort_array(F.collect_list(F.struct("shop", "price"))).alias("offers"))
-    return named.select("name", "feed_pos", _summary(F.col("offers")).alias("summary"))
+    return materialized(
+        named.select("name", "feed_pos", _summary(F.col("offers")).alias("summary")), "feed_by_name")
 
 
 @once
