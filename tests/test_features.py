@@ -230,3 +230,26 @@ def test_class_counts_of_the_small_tables(spark, sf):
     texts = master.filter("all_competitors_json is not null").first()["all_competitors_json"]
     assert json.loads(texts)
     master.unpersist()
+
+
+def _shuffled_by_sku_with(spark, df, column):
+    """Exchanges by SKU whose rows carry the column."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return [part for part in text.split("\n\n") if "Exchange\n" in part and column in part and "hashpartitioning(sku_id" in part]
+
+
+def test_a_text_per_sku_is_not_shuffled(spark):
+    skus = 2 * ft.SKUS_PER_COPY + 1
+    sku = spark.range(skus).select(F.col("id").cast("string").alias("sku_id"), F.lit("mug").alias("display_name"))
+    price = sku.select("sku_id", F.lit(10.0).alias("list_price"))
+    items = feed(spark, [("mug", None, {"s": "9", "t": "11"}), ("jar", None, {"s": "1"})])
+    got = ft.competitor_features(items, sku, price)
+    assert not _shuffled_by_sku_with(spark, got, "all_competitors")
+    found = got.groupBy("all_competitors_json", "competitor_price", F.col("sku_id").isNull().alias("lost")).agg(
+        F.count_distinct("sku_id").alias("skus"), F.count(F.lit(1)).alias("n")).collect()
+    assert sorted(tuple(x) for x in found) == [
+        ('{"s":"1.0"}', 1.0, True, 0, 1), ('{"s":"9.0","t":"11.0"}', 9.0, False, skus, skus)]
