@@ -253,3 +253,8 @@ def test_a_text_per_sku_is_not_shuffled(spark):
         F.count_distinct("sku_id").alias("skus"), F.count(F.lit(1)).alias("n")).collect()
     assert sorted(tuple(x) for x in found) == [
         ('{"s":"1.0"}', 1.0, True, 0, 1), ('{"s":"9.0","t":"11.0"}', 9.0, False, skus, skus)]
+
+
+def test_master_shuffles_no_text_per_sku(spark, small_feeds):
+    for variant in ("service", "batch"):
+        assert not _shuffled_by_sku_with(spark, build(small_feeds, variant), "all_competitors")
