@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tagsmith.sources.tables import materialized
 
 UNIT = 1_000_000
+#: Terms up to which a query's words are added up where they are joined, as Spark may then broadcast the weights.
+FEW_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -76,8 +78,11 @@ def predict_intents(model: IntentModel, queries: DataFrame, text_col: str = "sea
     nothing = F.lit(None).cast("string")
     # besides its weights, every known word counts one under no intent
     own = F.concat(F.array(F.struct(nothing.alias("intent"), F.lit(1).cast("bigint").alias("weight"))), "intents")
-    sums = words.join(model.weights, "term").select("row", F.inline(own)).groupBy("row", "intent").agg(
-        F.sum("weight").alias("weight"))
+    weighed = words.join(model.weights, "term").select("row", own.alias("own"))
+    if model.weights.count() > FEW_TERMS:
+        # joined by term, every task has words of almost every query: sums there would hold one entry for each
+        weighed = weighed.repartition("row")
+    sums = weighed.select("row", F.inline("own")).groupBy("row", "intent").agg(F.sum("weight").alias("weight"))
     found = sums.groupBy("row").agg(
         F.max(F.when(F.col("intent").isNull(), F.col("weight"))).alias("known"),
         F.map_from_entries(F.collect_list(F.when(F.col("intent").isNotNull(), F.struct("intent", "weight")))).alias("sums"))

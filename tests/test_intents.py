@@ -53,3 +53,17 @@ def test_a_model_of_nothing(spark):
     got = intents.predict_intents(model, spark.createDataFrame([(1, "a b", "x", 1)], SCHEMA)).collect()
     assert [(r["standard_attribute_key"], r["confidence_score"]) for r in got] == [(None, None)]
     assert intents.predict_intents(model, empty).count() == 0
+
+
+def test_many_terms_are_summed_by_query(spark, monkeypatch):
+    """With many terms nothing is added up before a query's words are together, and nothing else changes."""
+    texts = spark.createDataFrame(
+        [(i, f"w{i % 3} w{i % 5} same", f"a{i % 2}") for i in range(40)],
+        "user_pseudo_id int, search_query string, standard_attribute_key string")
+    model = intents.train_intents(texts)
+    few = sorted(intents.predict_intents(model, texts).collect())
+    monkeypatch.setattr(intents, "FEW_TERMS", 0)
+    many = intents.predict_intents(model, texts)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
+    assert sorted(many.collect()) == few
