@@ -176,3 +176,33 @@ def test_trained_registered_and_priced(spark, golden, tmp_path):
     assert model == tree_demand.from_boosted(out["model"])
     with pytest.raises(ValueError):
         tree_demand.demand_model(spark, boosting.fit_boosted(golden, ["price"], params=BoostingParams(1)))
+
+
+def test_fits_to_a_fold_share_its_binned_rows(spark, golden, monkeypatch):
+    """A search sorts and bins the rows of a fold once for all its fits; the winner's fit bins all rows."""
+    frame, made, binned = training.training_frame(golden, keep=("sku_id",)), [], boosting.bin_rows
+
+    def counted(*args):
+        made.append(args[3])
+        return binned(*args)
+
+    monkeypatch.setattr(training, "bin_rows", counted)
+    candidates = [{"n_estimators": 1, "num_leaves": n, "max_bin": m} for n in (2, 3) for m in (15, 255)]
+    _, _, trials = training.search(frame, "lightgbm", candidates, "sku_id", folds=2)
+    assert sorted(made) == [15, 15, 255, 255]
+    alone = [training.search(frame, "lightgbm", [c], "sku_id", folds=2, refit=False)[2][0] for c in candidates]
+    assert trials == alone
+
+
+def test_staged_errors_equal_scores_in_the_row(spark, golden):
+    frame = training.training_frame(golden, keep=("sku_id",))
+    model = training.fit_model(frame, "lightgbm", {"n_estimators": 3, "num_leaves": 5, "learning_rate": 0.3})
+    missing = frame.limit(1).withColumn("label", F.lit(None).cast("double"))
+    judged = frame.unionByName(missing)
+    found = training.staged_errors(model, judged, [0, 3, 1])
+    values = training.vector_to_array("features")
+    for k, error in zip([0, 3, 1], found):
+        scored = tree_demand.from_boosted(model, k).score(frame, "p", tuple(values[i] for i in range(4)))
+        assert error == pytest.approx(scored.agg(F.avg(F.abs(F.col("label") - F.col("p")))).first()[0], abs=1e-12)
+    with pytest.raises(ValueError):
+        training.staged_errors(model, frame.where("false"), [1])
