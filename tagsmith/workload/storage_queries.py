@@ -230,8 +230,7 @@ def feature_snapshot(spark, sf):
     publish_features(loaded | {"competitors": loaded["competitors"].filter("false")}, counts,
                      f"{name}_1", f"{base}/1")
     publish_features(loaded, counts, f"{name}_2", f"{base}/2")
-    return reload_features(spark, f"{name}_2").withColumn(
-        "all_competitors_json", F.to_json("all_competitors_json"))
+    return reload_features(spark, f"{name}_2", as_text=True)
 
 
 @query

@@ -12,7 +12,7 @@ from tagsmith.operators import quality
 from tagsmith.operators.master import master_from_feeds
 from tagsmith.operators.requests import find_ids, find_requested
 from tagsmith.plans.pricing import Run, stamp
-from tagsmith.plans.request_pricing import publish_features, reload_features
+from tagsmith.plans.request_pricing import publish_features, reload_features, with_shops
 from tagsmith.sources import columns, feeds, tables
 
 
@@ -166,6 +166,33 @@ def test_whole_folder_to_published_features(spark, tmp_path):
     assert again.count() == 1 and again.first()["all_competitors_json"] == {"s": "8.0"}
 
 
+def test_published_shops_lie_once_a_product(spark, tmp_path):
+    n = 40
+    shops = {f"site_{k}": {"price": str(k + 1)} for k in range(500)}
+    sku = spark.range(n).select(F.col("id").cast("string").alias("sku_id"), F.lit("mug").alias("display_name"))
+    extra = spark.createDataFrame([("x", "cup"), ("y", None)], "sku_id string, display_name string")
+    sku = sku.unionByName(extra)
+    kind = "name string, feed_pos bigint, summary map<string,struct<price:string>>"
+    items = spark.createDataFrame([("mug", 0, {"old": {"price": "3"}}), ("mug", 1, shops), ("jar", 2, shops)],
+                                  kind)
+    loaded = {
+        "sku": sku, "price": sku.select("sku_id", F.lit(10.0).alias("list_price")), "competitors": items,
+        "orders": sku.select("sku_id", F.lit(1.0).alias("quantity")), "inventory": sku.select("sku_id", F.lit(5.0).alias("stock"))}
+    counts = spark.createDataFrame([], "sku_id string, views bigint, add_to_cart bigint")
+    publish_features(loaded, counts, "apart_1", f"{tmp_path}/1")
+    assert "all_competitors_json" not in spark.table("apart_1").columns  # a list of 500 shops in each row
+    held = {x["_item"]: len(x["all_competitors_json"]) for x in spark.table("apart_1_items").collect()}
+    assert held == {"mug": 500, "jar": 500}
+    maps, texts = ({x["sku_id"]: x["all_competitors_json"] for x in reload_features(spark, "apart_1", t).collect()} for t in (False, True))
+    assert len(maps) == n + 2 and maps["x"] is None and maps["y"] is None and texts["x"] is None
+    assert all(maps[str(k)] == {f"site_{i}": f"{i + 1}.0" for i in range(500)} for k in range(n))
+    assert {k: v and json.loads(v) for k, v in texts.items()} == maps
+    one = with_shops(spark.table("apart_1").where("sku_id = '7'"), "apart_1")
+    assert one.columns == reload_features(spark, "apart_1").columns and len(one.first()["all_competitors_json"]) == 500
+    with pytest.raises(AnalysisException):
+        publish_features(loaded, counts, "apart_1", f"{tmp_path}/3")
+
+
 # --- tables -----------------------------------------------------------------------------------------
 GOLDEN = ("sku_id string, extra int, price double, competitor_price double, "
           "inventory_level double, price_diff_pct double, demand_qty double")
