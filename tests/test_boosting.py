@@ -206,3 +206,47 @@ def test_staged_errors_equal_scores_in_the_row(spark, golden):
         assert error == pytest.approx(scored.agg(F.avg(F.abs(F.col("label") - F.col("p")))).first()[0], abs=1e-12)
     with pytest.raises(ValueError):
         training.staged_errors(model, frame.where("false"), [1])
+
+
+def test_boosted_trees_of_many_rows_are_fitted_to_alike_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(float(rng.randrange(8)), float(rng.randrange(6)) / 4, rng.gauss(0, 1)) for _ in range(4000)]
+    df = spark.createDataFrame([(a, b, 3 * a - 5 * (b > 0.6) * a + c) for a, b, c in rows], "a double, b double, label double")
+    frame = training.training_frame(df, ["a", "b"], "label").cache()
+    params = {"n_estimators": 8, "max_depth": 3, "subsample": 1.0, "colsample_bytree": 1.0}
+    want = {tuple(r["features"]): r["prediction"] for r in training.fit_model(frame, "xgboost", params).transform(frame).collect()}
+
+    def of(n):
+        monkeypatch.setattr(training, "SINGLE_ROWS", n)
+        model = training.fit_model(frame, "xgboost", params)
+        return model, {tuple(r["features"]): r["prediction"] for r in model.transform(frame).collect()}
+
+    limits = training.split_points(frame, 32)
+    assert limits == [[k + 0.5 for k in range(7)], [k / 4 + 0.125 for k in range(5)]]
+    points = training.like_rows(frame, limits, 40)
+    got = points.agg(F.count("*"), F.sum("weight"), F.max("weight")).first()
+    assert got[0] <= 48 + 100 and got[1] == 4000 and got[2] < 80
+    for n in (100, 3999):
+        model, found = of(n)
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    assert model.getNumTrees == 8 and abs(sum(model.featureImportances.toArray()) - 1) < 1e-9
+    scored = tree_demand.from_mllib(spark, model).score(df, "s", (F.col("a"), F.col("b"))).collect()
+    assert all(abs(r["s"] - want[r["a"], r["b"]]) < 1e-9 for r in scored)
+
+
+def test_points_have_limits_that_rows_fall_by(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.random() ** 3, rng.gauss(0, 1) if rng.random() < 0.5 else 0.25) for _ in range(3000)]
+    df = spark.createDataFrame([(a, b, (a > 0.1) * 7.0 + (b > 0.3)) for a, b in rows], "a double, b double, label double")
+    frame = training.training_frame(df, ["a", "b"], "label").cache()
+    limits = training.split_points(frame, 32)
+    assert all(0 < len(x) < 32 and x == sorted(set(x)) for x in limits)
+    monkeypatch.setattr(training, "SINGLE_ROWS", 500)
+    model = training.fit_model(frame, "xgboost", {"n_estimators": 20, "learning_rate": 0.3})
+    trees = [t.toDebugString for t in model.trees]
+    used = {float(line.split("<=")[1].strip(" )")) for t in trees for line in t.splitlines() if "<=" in line}
+    assert used and used <= {v for x in limits for v in x}
+    worst = model.transform(frame).agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0]
+    assert worst < 0.3
+    with pytest.raises(Exception, match="[Ll]abel"):
+        training.fit_model(frame.withColumn("label", F.when(F.col("label") < 8, F.col("label"))), "xgboost", {"n_estimators": 2})
