@@ -261,6 +261,36 @@ def test_language_model_counts_all_ngrams(spark, monkeypatch, parts, most):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
 
 
+def test_language_model_in_rounds(spark, monkeypatch, tmp_path):
+    """Rounds change no score; of what they write only the scores stay, and shuffle files are freed only meanwhile."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefg", k=60)) for _ in range(40)] + [None, "", "one"]
+    docs = spark.createDataFrame([*enumerate(texts), (7, texts[7])], "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(suffix_tree, "shared_folder", lambda _: f"file://{tmp_path}")
+    tables = {t.name for t in spark.catalog.listTables()}
+    one = Counter(tuple(r) for r in suffix_tree.score_documents(docs).collect())
+    monkeypatch.setattr(suffix_tree, "ROUND_CHARS", 100)
+    many = Counter(tuple(r) for r in suffix_tree.score_documents(docs).collect())
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    rounded = lambda rows: Counter((*r[:5], round(r[5], 6), round(r[6], 6)) for r in rows.elements())
+    assert rounded(one) == rounded(many) and sum(many.values()) == len(texts) + 1
+    kept = sorted(p.name.split("-")[0] for p in tmp_path.iterdir())
+    assert kept == ["scores", "scores"]
+    assert sorted(len(list(p.glob("round=*"))) for p in tmp_path.iterdir()) == [1, suffix_tree.SCORE_ROUNDS]
+    assert spark.conf.get(suffix_tree._FREED, "false") == "false"
+
+
+def test_language_model_words_side_by_side():
+    """The hashes of whole texts tell exactly those words apart that `words` does."""
+    texts = ["Aa aA\tb\n\x0bb\x0c c\r", None, "", " ", "x" * 63 + " " + "x" * 64 + " " + "X" * 65 + " " + "x" * 65, "\0 \0\0 a\0 \0a a",
+             "é É ü\u00a0v \x1c 漢字漢字漢字 漢字漢字漢", "abcdefgh abcdefghi abcdefg abcdefghabcdefgh", "end"]
+    h, sizes = suffix_tree._text_hashes(texts)
+    want = [suffix_tree.words(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    flat = [w for ws in want for w in ws]
+    assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
+
+
 def test_states_add_up_to_one():
     texts = [suffix_tree.words(t) for t in ["a b a b a b c"] * 30 + ["b a c"] * 9]
     g = suffix_tree.ngrams(texts)
