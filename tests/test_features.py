@@ -7,6 +7,7 @@ from tagsmith.operators import features as ft, golden, quality
 from tagsmith.operators.master import (
     build_master, dedup_skus, feature_table_info, last_row_per_sku, typed_features,
 )
+from tagsmith.sources import tables
 from tagsmith.sources.feeds import EVENT_SCHEMA
 from tagsmith.workload import roles as r
 
@@ -258,3 +259,29 @@ def test_a_text_per_sku_is_not_shuffled(spark):
 def test_master_shuffles_no_text_per_sku(spark, small_feeds):
     for variant in ("service", "batch"):
         assert not _shuffled_by_sku_with(spark, build(small_feeds, variant), "all_competitors")
+
+
+def test_files_keep_a_long_text_once_for_its_rows(spark, tmp_path):
+    """Two texts of more than a megabyte beside 400 rows: not 400 copies of them in the file."""
+    shops = F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.struct(
+        F.concat(F.lit("site_"), i.cast("string")), F.struct((i * 1.25 + F.col("id")).cast("string").alias("price"))))
+    items = spark.range(2).select(F.concat(F.lit("n"), "id").alias("name"), F.lit("x").alias("sku_id"),
+                                  F.col("id").alias("feed_pos"), F.map_from_entries(shops).alias("summary"))
+    sku = spark.range(400).select(F.col("id").cast("string").alias("sku_id"),
+                                  F.concat(F.lit("n"), F.col("id") % 2).alias("display_name"))
+    price = sku.select("sku_id", F.lit(7.0).alias("list_price"))
+    path = str(tmp_path / "out")
+    ft.competitor_features(items, sku, price).write.parquet(path)
+    files = [f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")]
+    assert sum(files) < 10_000_000
+    got = spark.read.parquet(path).select("sku_id", F.length("all_competitors_json").alias("n")).collect()
+    assert len({r["sku_id"] for r in got}) == len(got) == 400 and min(r["n"] for r in got) > 700_000
+
+
+def test_a_session_keeps_its_own_parquet_settings(spark):
+    session = spark.newSession()
+    session.conf.set("parquet.dictionary.page.size", "12345")
+    tables.keep_texts_once(session, "c")
+    tables.keep_texts_once(session, "c")
+    assert session.conf.get("parquet.dictionary.page.size") == "12345"
+    assert session.conf.get("parquet.column.statistics.enabled#c") == "false"
